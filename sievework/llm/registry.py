@@ -5,6 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
+from .quality import op6_quality
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_pack_sequences": op7_pack_sequences, "op9_source_mix": op9_source_mix}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_pack_sequences": op7_pack_sequences,
+    "op9_source_mix": op9_source_mix,
+}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_source_mix": OP9_SQL}
