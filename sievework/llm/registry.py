@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
@@ -9,6 +10,7 @@ from .quality import op6_quality
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_nearest": op4_nearest,
     "op6_quality": op6_quality,
     "op7_pack_sequences": op7_pack_sequences,
     "op9_source_mix": op9_source_mix,
