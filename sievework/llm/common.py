@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of all contracts: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, bool)
@@ -38,14 +40,32 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_roots[app]}"
 
 
+#: Drops the shuffle files of a query when it has ended; a written table needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that lineage ends there and a lost executor costs no more than a read."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/sievework/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (doc_id, null as the largest), tag and text: rows with one doc_id and different texts differ in tag, which follows from the content."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("doc_id", text).alias("tag"), text.alias("text"), "doc_id")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, for clusters on which it isn't installed."""
     app = spark.sparkContext.applicationId
@@ -154,3 +174,33 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         m = max(0, len(step) - width)
         step = mix(step[:m] * np.uint64(0xA0761D6478BD642F) + step[width : width + m])
         width *= 2
+
+
+def span_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 128-bit BLAKE2 digest of each span of bytes, as two columns of 64-bit integers."""
+    view, digest = memoryview(buf.tobytes()), hashlib.blake2b
+    out = b"".join(digest(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(out, "<i8").reshape(-1, 2)
+
+
+def squeezed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, their starts and ends there, and the rows' word offsets."""
+    starts, ends, rows = words_of(buf, offsets)
+    solid = ~SPACES[buf]
+    size = ends - starts
+    after = np.cumsum(size + 1)
+    out = np.full(int(after[-1]) if len(after) else 0, 0x20, np.uint8)
+    filled = np.ones(len(out), bool)
+    filled[after - 1] = False
+    out[filled] = buf[solid]
+    return out, after - 1 - size, after - 1, rows
+
+
+def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that the spans cover together."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.append(True, starts[1:] > reach[:-1])
+    return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]

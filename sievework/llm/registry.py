@@ -7,6 +7,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
 from .quality import op6_quality
+from .substring_dedup import OP10_SQL, op10_window_dedup
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_pack_sequences": op7_pack_sequences,
     "op9_source_mix": op9_source_mix,
+    "op10_window_dedup": op10_window_dedup,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_source_mix": OP9_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL}
