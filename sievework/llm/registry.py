@@ -7,10 +7,12 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
 from .quality import op6_quality
+from .suffix_dedup import op3_suffix_dedup
 from .substring_dedup import OP10_SQL, op10_window_dedup
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_nearest": op4_nearest,
     "op6_quality": op6_quality,
     "op7_pack_sequences": op7_pack_sequences,

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, keyed, materialize, merged_spans, ship, span_digests, span_hashes, squeezed
+from .common import chunks, gram_hashes, keyed, materialize, ship, span_digests, span_hashes, squeezed
 from .runs import maybe_repeated, repeated_cells, sketched, window_runs
 
 WINDOW, GRAM = 13, 4
