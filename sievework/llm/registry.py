@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .jaccard import op8_jaccard_join
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
 from .quality import op6_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_nearest": op4_nearest,
     "op6_quality": op6_quality,
     "op7_pack_sequences": op7_pack_sequences,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_source_mix": op9_source_mix,
     "op10_window_dedup": op10_window_dedup,
 }
