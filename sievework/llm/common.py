@@ -66,6 +66,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("doc_id", text).alias("tag"), text.alias("text"), "doc_id")
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs with ``__tag``, which with doc_id names a row by its content."""
+    return docs.withColumn("__tag", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def keep_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs that chosen names by doc_id and tag, each once, with all their columns."""
+    own = tagged(docs)
+    names = chosen.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__key"))
+    found = own.join(names, own["doc_id"].eqNullSafe(names["__id"]) & (own["__tag"] == names["__key"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "__tag"]).select(*docs.columns)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, for clusters on which it isn't installed."""
     app = spark.sparkContext.applicationId

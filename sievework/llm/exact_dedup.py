@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, ship
+from .common import SPACE_CLASS, keep_rows, materialize, ship
 
 BLOCK_BYTES = 8192
 #: A task's names start at its number times this.
@@ -98,23 +98,24 @@ def named(rows: DataFrame, tag: str = "tag") -> DataFrame:
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """tag, doc_id, text_sha256 and the identity (rounds, name) of every row; tag tells rows with one doc_id apart."""
-    text = docs.select("doc_id", F.monotonically_increasing_id().alias("tag"), normalized(F.col("text")).alias("t"))
-    text = text.select("doc_id", "tag", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), F.col("t").cast("binary").alias("t"))
+    """tag, key, doc_id, text_sha256 and the identity (rounds, name) of every row; tag tells any two rows apart, key those of one doc_id with different texts."""
+    text = docs.select("doc_id", F.monotonically_increasing_id().alias("tag"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), normalized(F.col("text")).alias("t"))
+    text = text.select("doc_id", "tag", "key", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), F.col("t").cast("binary").alias("t"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("t") / F.lit(block_bytes)).cast("int"))
     blocks = text.select(
         "tag",
         n.alias("n"),
+        "key",
         "doc_id",
         "text_sha256",
         F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("t"), i * block_bytes + 1, F.lit(block_bytes)))).alias("i", "content"),
     )
-    blocks = blocks.withColumns({"doc_id": F.when(F.col("i") == 0, F.col("doc_id")), "text_sha256": F.when(F.col("i") == 0, F.col("text_sha256"))})
+    blocks = blocks.withColumns({"key": F.when(F.col("i") == 0, F.col("key")), "doc_id": F.when(F.col("i") == 0, F.col("doc_id")), "text_sha256": F.when(F.col("i") == 0, F.col("text_sha256"))})
     rows = materialize(named(blocks), "blocks")
-    whole = rows.where("i = 0").select("tag", "doc_id", "text_sha256", "n", F.col("name").alias("first"))
+    whole = rows.where("i = 0").select("tag", "key", "doc_id", "text_sha256", "n", F.col("name").alias("first"))
     longest = rows.agg(F.max("n")).first()[0] or 1
     if longest == 1:
-        return whole.select("tag", "doc_id", "text_sha256", F.lit(0).alias("rounds"), F.col("first").alias("name"))
+        return whole.select("tag", "key", "doc_id", "text_sha256", F.lit(0).alias("rounds"), F.col("first").alias("name"))
     done, left, rounds = None, rows.where("n > 1").select("tag", "n", "i", "name"), 0
     while longest > 1:
         rounds += 1
@@ -128,21 +129,26 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         done = ended if done is None else done.unionByName(ended)
         left, longest = level.where("n > 1"), (longest + 1) // 2
     own = whole.where("n > 1").drop("n", "first").join(done, "tag")
-    return whole.where("n = 1").select("tag", "doc_id", "text_sha256", F.lit(0).alias("rounds"), F.col("first").alias("name")).unionByName(own)
+    return whole.where("n = 1").select("tag", "key", "doc_id", "text_sha256", F.lit(0).alias("rounds"), F.col("first").alias("name")).unionByName(own)
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    """doc_id, key, keep_id, group_size, kept and text_sha256 of every row."""
     rows = materialize(identities(docs, block_bytes), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tag"))
     groups = rows.groupBy("rounds", "name").agg(F.min(order).alias("keep"), F.count("*").alias("group_size"))
     # Small rows on both sides; adaptive execution splits a hot group's side of the join.
-    return rows.join(groups, ["rounds", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("group_size").cast("long"), (F.col("keep.tag") == F.col("tag")).alias("kept"), "text_sha256")
+    return rows.join(groups, ["rounds", "name"]).select("doc_id", "key", F.col("keep.doc_id").alias("keep_id"), F.col("group_size").cast("long"), (F.col("keep.tag") == F.col("tag")).alias("kept"), "text_sha256")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return keep_rows(docs, exact_groups(docs).where("kept").select("doc_id", F.col("key").alias("tag")))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` with the copy that stays."""
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")
 
 
 GROUPS_SQL = r"""

@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, lowered, materialize, mix, ship, span_hashes, words_of
+from .common import chunks, gram_hashes, keep_rows, lowered, materialize, mix, ship, span_hashes, words_of
 from .components import components
-from .runs import CELLS, cells, maybe_repeated, repeated_cells, sketched
+from .runs import maybe_repeated, repeated_cells, sketched
 
 WORDS, PERCENT = 4, 85
 #: Bits of a class's bitmap; cells of the sketch that orders tokens, and its parts.
@@ -257,9 +257,9 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and the class of every row."""
+    """doc_id, tag, n_shingles, component_id and the root class of every row."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("tag"))
     order = token_order(docs, words)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +268,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                 n = np.diff(offsets)
                 bits, excess = bitmaps(flat, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(n)), pa.array(_classes(flat, offsets), pa.binary()), pa.array(n), pa.array(excess), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "cls", "n", "excess", "bits"]
+                    [batch.column(0).slice(a, len(n)), batch.column(2).slice(a, len(n)), pa.array(_classes(flat, offsets), pa.binary()), pa.array(n), pa.array(excess), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "tag", "cls", "n", "excess", "bits"]
                 )
 
-    rows = materialize(docs.mapInArrow(classes, "doc_id bigint, cls binary, n bigint, excess bigint, bits binary"), "classes")
+    rows = materialize(docs.mapInArrow(classes, "doc_id bigint, tag bigint, cls binary, n bigint, excess bigint, bits binary"), "classes")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -328,14 +328,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = links.unionByName(linked(docs, pairs, words, percent))
     final = materialize(components(links), "components")
 
-    rooted = rows.select("doc_id", "cls", "n").join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    rooted = rows.select("doc_id", "tag", "cls", "n").join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "tag", "n", F.coalesce("root", "cls").alias("root"))
     rooted = materialize(rooted, "rooted")
     names = materialize(rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "names")
     return rooted.join(names, (rooted["root"] == names["root"]) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "cls"
+        "doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), rooted["root"]
     )
 
 
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay when one document of each component does, that with the smallest doc_id; those without shingles all stay."""
+    found = materialize(jaccard_components(docs, words, percent), "joined")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tag"))
+    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.col("x.tag").alias("tag"))
+    return keep_rows(docs, chosen.unionByName(found.where("n_shingles = 0").select("doc_id", "tag")))
+
+
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` with its set's size and its component."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, materialize
+from .common import WORD_CLASS, materialize, tagged
 
 #: Characters that clean prose hardly has; their share lowers a document's quality weight.
 JUNK = "0123456789#$%&*|!"
@@ -81,9 +81,9 @@ def sized(docs: DataFrame, weight: Column | None = None, keep: list[str] | None
     )
 
 
-def mix_sources(docs: DataFrame, cap: int = CAP, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and sample_key of every document."""
-    rows = materialize(sized(docs, weight), "mixing")
+def mix_sources(docs: DataFrame, cap: int = CAP, weight: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and sample_key of every document, and the columns to keep."""
+    rows = materialize(sized(docs, weight, keep), "mixing")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     aims = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), cap)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +97,27 @@ def mix_sources(docs: DataFrame, cap: int = CAP, weight: Column | None = None) -
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0))
     rest = goal - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("bucket_start") - F.col("inside")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "sample_key")
+    return joined.select(*(keep or []), "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "sample_key")
+
+
+def mixed(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """The rows of the mix, with the columns of docs: a document once for each whole taking of it, and cut to its first words for the part taken at the budget's end.
+
+    Rows alike in doc_id and text are one document here that takes what they take together.
+    The words of a cut text are joined by single spaces; n_chars, where docs has it, is that of the row's text."""
+    own = tagged(docs)
+    plan = mix_sources(own, cap, keep=["__tag"])
+    plan = plan.groupBy("doc_id", "__tag").agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("__tag").alias("__key"), "__size", "__taken")
+    single = own.dropDuplicates(["doc_id", "__tag"])
+    rows = single.join(plan, single["doc_id"].eqNullSafe(plan["__id"]) & (single["__tag"] == plan["__key"]))
+    rows = rows.where("__taken > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("__taken") / F.col("__size")))))
+    left = F.least(F.col("__size"), F.col("__taken") - (F.col("__n") - 1) * F.col("__size")).cast("int")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD_CLASS})")), 1, left), " ")
+    rows = rows.withColumn("text", F.when(left < F.col("__size"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(left < F.col("__size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:

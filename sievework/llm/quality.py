@@ -219,20 +219,35 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, limit: int = FI
     return Network(np.stack([np.frombuffer(bytes(r["x"]), "<f4") for r in got]).astype(np.float64), np.array([r["label"] for r in got]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns (doc_id by default) of every row, and its score."""
+def _scored(docs: DataFrame, labels: DataFrame, limit: int, carry: list[str], least: float | None) -> DataFrame:
+    """The carried columns and the score of rows with at least that score; the text is read from the column after the carried ones."""
     vectors = word_vectors(docs)
     network = fit(docs, labels, vectors, limit)
-    carry = carry or ["doc_id"]
+    texts = carry.index("text") if "text" in carry else len(carry)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offsets in chunks(batch.column(len(carry)), BLOCK):
+            for a, b, buf, offsets in chunks(batch.column(texts), BLOCK):
                 found = network.scores(pooled(buf, offsets, vectors))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(carry))), pa.array(found, pa.float64())], names=[*carry, "score"])
+                columns = [batch.column(i).slice(a, b - a) for i in range(len(carry))]
+                if least is not None:
+                    at = pa.array(np.flatnonzero(found >= least))
+                    yield pa.RecordBatch.from_arrays([c.take(at) for c in columns], names=carry)
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=[*carry, "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(score, f"{kinds}, score double")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + ["score double"] * (least is None)
+    return docs.select(*carry, *(["text"] if texts == len(carry) else [])).mapInArrow(score, ", ".join(kinds))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+    """doc_id and score of every row."""
+    return _scored(docs, labels, limit, ["doc_id"], None)
+
+
+def good(docs: DataFrame, labels: DataFrame, least: float = 0.5, limit: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs with at least that score, with all their columns."""
+    return _scored(docs, labels, limit, docs.columns, least)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
