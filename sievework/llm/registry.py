@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard import op8_jaccard_join
+from .language_id import op1_language_id
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
 from .quality import op6_quality
@@ -12,6 +13,7 @@ from .suffix_dedup import op3_suffix_dedup
 from .substring_dedup import OP10_SQL, op10_window_dedup
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_nearest": op4_nearest,
