@@ -6,6 +6,7 @@ from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard import op8_jaccard_join
 from .language_id import op1_language_id
+from .license_scan import op5_license_scan
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
 from .quality import op6_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_nearest": op4_nearest,
+    "op5_license_scan": op5_license_scan,
     "op6_quality": op6_quality,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_jaccard_join": op8_jaccard_join,
