@@ -30,8 +30,8 @@ from .runs import maybe_repeated, repeated_cells, sketched, window_runs
 from .suffix_sort import sort_suffixes
 
 LENGTH, GRAM = 200, 32
-#: Different runs of one gram that are sorted together in one task at most.
-BUCKET = 256
+#: Different runs of one gram that are sorted together in one task at most: some 2 MB of text, 200 MB of arrays.
+BUCKET = 8192
 BLOCK = 1 << 20
 REFS = "doc bigint, tag bigint, v bigint, d1 bigint, d2 bigint, start int, n int"
 
