@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import scan_queries
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (scan_queries,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
