@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 
 def occurrences(findings: DataFrame) -> DataFrame:
     """Number identical (rule, path, match) from the top, from 0."""
@@ -39,6 +41,7 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 def shifted(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Same rule, path and match, greedily nearest, each entry claimed once. A group is one rule's equal matches in one file."""
+    ship(findings.sparkSession)
     keys, cols = ["rule", "path", "match"], ["rule", "path", "match", "line", "occurrence"]
     left, right = (df.select(*cols).groupBy(*keys) for df in (findings, baseline))
     return left.cogroup(right).applyInPandas(_nearest, "rule string, path string, match string, line long, occurrence long, base_line long")
