@@ -12,7 +12,8 @@ with one and the same set are a class and are compared once. The join is exact:
    of their tokens and their size; a node holds the OR of its bitmaps and the range of sizes. The tree is traversed
    against itself from the root; a pair of nodes is dropped if even the largest overlap that bitmaps and
    sizes allow is too small for a link, or if all of both nodes is one component already.
-4. The pairs that remain are compared set by set.
+   The token's places in both orders bound the overlap as well: before it, neither set shares anything with the other.
+4. The pairs that remain are compared by fine bitmaps of four bits a token, which leave few, and those set by set.
 
 Scale: texts are never shuffled; sets are, of classes in remaining pairs alone, and each goes to a block of pairs once, not to
 each pair. The two sketches and the filter have fixed sizes. A token with more than ``GROUP`` members is dealt as pairs of
@@ -41,9 +42,9 @@ from .runs import maybe_repeated, repeated_cells, sketched
 
 WORDS, PERCENT = 4, 85
 #: Bits of a class's bitmap; cells of the sketch that orders tokens, and its parts.
-BITS, ORDER_CELLS, ORDER_PARTS = 1024, 1 << 20, 16
-#: Members of a token that one task compares, and pairs in a block of comparisons.
-GROUP, PAIRS = 2048, 2000
+BITS, ORDER_CELLS, ORDER_PARTS = 1024, 1 << 23, 32
+#: Members of a token that one task compares, and pairs in a block of comparisons by fine bitmaps and by sets.
+GROUP, COARSE, PAIRS = 2048, 20000, 2000
 BLOCK = 2 << 20
 
 
@@ -74,35 +75,39 @@ def token_order(docs: DataFrame, words: int) -> np.ndarray:
     part = ORDER_CELLS // ORDER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ORDER_CELLS, np.uint32)
+        total = np.zeros(ORDER_CELLS, np.uint32)  # counts beyond 16 bits say no more than that a token is very common
         for batch in batches:
             for _, flat, _ in sets_of(batch.column(0), words):
-                total += np.bincount((flat & np.uint64(ORDER_CELLS - 1)).astype(np.int64), minlength=ORDER_CELLS).astype(np.uint32)
-        rows = [total[i * part : (i + 1) * part].tobytes() for i in range(ORDER_PARTS)]
+                np.add.at(total, (flat & np.uint64(ORDER_CELLS - 1)).astype(np.int64), np.uint32(1))
+        small = np.minimum(total, 0xFFFF).astype(np.uint16)
+        rows = [small[i * part : (i + 1) * part].tobytes() for i in range(ORDER_PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(ORDER_PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(data.as_buffer(), np.uint32).astype(np.uint64)
-                sums[i] = sums[i] + x if i in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+                x = np.frombuffer(data.as_buffer(), np.uint16)
+                sums.setdefault(i, np.zeros(part, np.uint32))
+                sums[i] += x
+                np.minimum(sums[i], 0xFFFF, out=sums[i])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
-    out = np.zeros((ORDER_PARTS, part), np.uint32)
+    out = np.zeros((ORDER_PARTS, part), np.uint16)
     for r in docs.select("text").mapInArrow(count, schema).repartition(ORDER_PARTS, "part").mapInArrow(merge, schema).collect():
-        out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
+        out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.uint16)
     return out.ravel()
 
 
-def prefixes(flat: np.ndarray, offsets: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token) of the tokens by which the sets have to be found."""
+def prefixes(flat: np.ndarray, offsets: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token, place in the order) of the tokens by which the sets have to be found."""
     n = np.diff(offsets)
     row = np.repeat(np.arange(len(n)), n)
     rank = np.argsort((row << 32) | order[(flat & np.uint64(ORDER_CELLS - 1)).astype(np.int64)].astype(np.int64), kind="stable")
-    keep = np.arange(len(flat)) - offsets[:-1][row] < (n - -(-percent * n // 100) + 1)[row]
-    return row[keep], flat[rank][keep]
+    place = np.arange(len(flat)) - offsets[:-1][row]
+    keep = place < (n - -(-percent * n // 100) + 1)[row]
+    return row[keep], flat[rank][keep], place[keep]
 
 
 def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,24 +120,45 @@ def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.packbits(dense, axis=1).view(np.uint64), n - dense.sum(1)
 
 
+def fine_bitmap(tokens: np.ndarray) -> bytes:
+    """Four bits or more for each token, a power of two of them, so that a larger bitmap folds to a smaller one's size."""
+    size = max(512, 1 << int(4 * len(tokens) - 1).bit_length())
+    dense = np.zeros(size, bool)
+    dense[(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(dense).tobytes()
+
+
+def fine_bound(a: np.ndarray, n: int, b: np.ndarray, m: int) -> int:
+    """The largest overlap that two fine bitmaps of n and m tokens allow."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    ones = lambda x: int(np.bitwise_count(x).sum())
+    return min(n, m, ones(a & b) + min(n - ones(a), m - ones(b)))
+
+
 def allowed(i: tuple, j: tuple, percent: int) -> np.ndarray:
-    """Whether nodes i and j (bitmap, least size, largest size, excess) can hold a pair that links: shared tokens are at most shared bits plus the smaller excess."""
+    """Whether nodes i and j (bitmap, least size, largest size, excess, component, least place) can hold a pair that links: shared tokens are at most shared bits plus the smaller excess."""
     shared = np.bitwise_count(i[0] & j[0]).sum(1).astype(np.int64) + np.minimum(i[3], j[3])
     shared = np.minimum(shared, np.minimum(i[2], j[2]))
-    return ((100 + percent) * shared >= percent * (i[1] + j[1])) & (100 * i[2] >= percent * j[1]) & (100 * j[2] >= percent * i[1])
+    ok = ((100 + percent) * shared >= percent * (i[1] + j[1])) & (100 * i[2] >= percent * j[1]) & (100 * j[2] >= percent * i[1])
+    # What comes before the token isn't shared, if it is the first that is.
+    least = -(-percent * (i[1] + j[1]) // (100 + percent))
+    return ok & (i[5] <= i[2] - least) & (j[5] <= j[2] - least)
 
 
 class SignatureTree:
     """Levels from the members up to one root; level l + 1 ORs pairs of nodes of level l."""
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, excess: np.ndarray, component: np.ndarray):
-        level = (bits, n, n, excess, component)
+    def __init__(self, bits: np.ndarray, n: np.ndarray, excess: np.ndarray, component: np.ndarray, place: np.ndarray):
+        level = (bits, n, n, excess, component, place)
         self.levels = [level]
         while len(level[0]) > 1:
             if len(level[0]) % 2:
                 level = tuple(np.concatenate([x, x[-1:]]) for x in level)
             a, b = (tuple(x[k::2] for x in level) for k in (0, 1))
-            level = (a[0] | b[0], np.minimum(a[1], b[1]), np.maximum(a[2], b[2]), np.maximum(a[3], b[3]), np.where(a[4] == b[4], a[4], -1))
+            level = (a[0] | b[0], np.minimum(a[1], b[1]), np.maximum(a[2], b[2]), np.maximum(a[3], b[3]), np.where(a[4] == b[4], a[4], -1), np.minimum(a[5], b[5]))
             self.levels.append(level)
 
     def pairs(self, other: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +194,12 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
         n, excess = rows.column("n").to_numpy().astype(np.int64), rows.column("excess").to_numpy().astype(np.int64)
         component = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        place = rows.column("place").to_numpy().astype(np.int64)
         order = np.lexsort((bits[:, 1], bits[:, 0], component, n))
         trees = []
         for s in np.unique(side):
             own = order[side[order] == s]
-            trees.append((own, SignatureTree(bits[own], n[own], excess[own], component[own])))
+            trees.append((own, SignatureTree(bits[own], n[own], excess[own], component[own], place[own])))
         if rows.column("left")[0].as_py() != rows.column("right")[0].as_py() and len(trees) < 2:
             return [], []
         i, j = trees[0][1].pairs(trees[-1][1], percent)
@@ -225,12 +252,30 @@ def _compare(key: tuple, pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Ta
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of classes whose sets link."""
-    count = pairs.count()
-    blocks = max(1, -(-count // PAIRS))
+def _coarse(key: tuple, pairs: pa.Table, maps: pa.Table, percent: int) -> pa.Table:
+    own = {c: (np.frombuffer(t, np.uint64), n) for c, n, t in zip(*(maps.column(k).to_pylist() for k in ("cls", "n", "fine")), strict=True)}
+    a, b = [], []
+    for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        (u, n), (v, m) = own[x], own[y]
+        if (100 + percent) * fine_bound(u, n, v, m) >= percent * (n + m):
+            a.append(x)
+            b.append(y)
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _in_blocks(pairs: DataFrame, side: DataFrame, each: int, compare) -> DataFrame:
+    """The pairs that compare keeps, block by block; a class's row of ``side`` goes to a block once, however many of its pairs are there."""
+    blocks = max(1, -(-pairs.count() // each))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
     need = materialize(pairs.select("block", F.col("a").alias("cls")).unionByName(pairs.select("block", F.col("b").alias("cls"))).distinct(), "needed")
+    placed = need.join(side, "cls")
+    return pairs.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(compare, "a binary, b binary")
+
+
+def linked(docs: DataFrame, own: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of classes whose sets link: by fine bitmaps first, then by the sets of what those leave."""
+    pairs = materialize(_in_blocks(pairs, own.select("cls", "n", "fine"), COARSE, lambda k, x, y: _coarse(k, x, y, percent)), "coarse")
+    need = materialize(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "needed")
 
     def key(cls: list[bytes]) -> np.ndarray:
         return mix(np.frombuffer(b"".join(cls), "<u8").reshape(-1, 2)[:, 0])
@@ -239,7 +284,7 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
         # Twice, since a cell has to count two.
         yield from sketched(np.repeat(key(batch.column(0).to_pylist()), 2) for batch in batches if batch.num_rows)
 
-    bits = repeated_cells(need.select("cls").distinct().mapInArrow(mark, "shard int, cells binary"))
+    bits = repeated_cells(need.mapInArrow(mark, "shard int, cells binary"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +295,8 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
                     [pa.array([cls[i] for i in rows], pa.binary()), pa.array([flat[offsets[i] : offsets[i + 1]].astype("<u8").tobytes() for i in rows], pa.binary())], names=["cls", "tokens"]
                 )
 
-    sets = docs.select("text").mapInArrow(wanted, "cls binary, tokens binary").join(need.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
-    sets = materialize(sets, "sets")
-    placed = need.join(sets, "cls").select("block", "cls", "tokens")
-    return pairs.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(lambda k, x, y: _compare(k, x, y, percent), "a binary, b binary")
+    sets = docs.select("text").mapInArrow(wanted, "cls binary, tokens binary").join(need, "cls", "left_semi").dropDuplicates(["cls"])
+    return materialize(_in_blocks(pairs, materialize(sets, "sets"), PAIRS, lambda k, x, y: _compare(k, x, y, percent)), "links")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -268,10 +311,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                 n = np.diff(offsets)
                 bits, excess = bitmaps(flat, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(n)), batch.column(2).slice(a, len(n)), pa.array(_classes(flat, offsets), pa.binary()), pa.array(n), pa.array(excess), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "tag", "cls", "n", "excess", "bits"]
+                    [batch.column(0).slice(a, len(n)), batch.column(2).slice(a, len(n)), pa.array(_classes(flat, offsets), pa.binary()), pa.array(n), pa.array(excess), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([fine_bitmap(flat[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())],
+                    names=["doc_id", "tag", "cls", "n", "excess", "bits", "fine"],
                 )
 
-    rows = materialize(docs.mapInArrow(classes, "doc_id bigint, tag bigint, cls binary, n bigint, excess bigint, bits binary"), "classes")
+    rows = materialize(docs.mapInArrow(classes, "doc_id bigint, tag bigint, cls binary, n bigint, excess bigint, bits binary, fine binary"), "classes")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -281,51 +325,34 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     bits = repeated_cells(docs.select("text").mapInArrow(lambda it: sketched(t[3] for t in tokens(it)), "shard int, cells binary"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flat, offsets, row, token in tokens(batches):
+        for flat, offsets, row, token, place in tokens(batches):
             ok = np.flatnonzero(maybe_repeated(token, bits))
             cls = pa.array(_classes(flat, offsets), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(token[ok].view(np.int64)), cls.take(pa.array(row[ok]))], names=["token", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[ok].view(np.int64)), cls.take(pa.array(row[ok])), pa.array(place[ok], pa.int32())], names=["token", "cls", "place"])
 
-    found = materialize(docs.select("text").mapInArrow(emit, "token bigint, cls binary").distinct(), "tokens")
+    found = materialize(docs.select("text").mapInArrow(emit, "token bigint, cls binary, place int").distinct(), "tokens")
     pivots = found.groupBy("token").agg(F.count("*").alias("members"), F.min("cls").alias("p1"), F.max("cls").alias("p2"), F.min_by("cls", F.xxhash64("cls")).alias("p3"))
     pivots = materialize(pivots.where("members > 1"), "pivots")
     members = materialize(found.join(pivots.select("token", "members"), "token"), "members")
-    own = materialize(rows.join(members.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "excess", "bits"), "signatures")
-
-    def pair_up(pairs: DataFrame) -> DataFrame:
-        a, b = (own.select(F.col("cls").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "excess", "bits"))) for k in ("a", "b"))
-        joined = pairs.join(a.select("a", "a_n"), "a").join(b.select("b", "b_n"), "b").where(f"100 * a_n >= {percent} * b_n and 100 * b_n >= {percent} * a_n")
-        full = joined.select("a", "b").join(a, "a").join(b, "b")
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-                if not batch.num_rows:
-                    continue
-                sides = []
-                for k in ("a", "b"):
-                    words_ = np.frombuffer(b"".join(at[f"{k}_bits"].to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                    n, excess = (at[f"{k}_{c}"].to_numpy(zero_copy_only=False) for c in ("n", "excess"))
-                    sides.append((words_, n, n, excess))
-                ok = pa.array(np.flatnonzero(allowed(*sides, percent)))
-                yield pa.RecordBatch.from_arrays([at["a"].take(ok), at["b"].take(ok)], names=["a", "b"])
-
-        return full.mapInArrow(keep, "a binary, b binary")
+    own = materialize(rows.join(members.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "excess", "bits", "fine"), "signatures")
 
     near = members.select("token", "cls").join(pivots, "token").select("cls", F.explode(F.array("p1", "p2", "p3")).alias("p")).where("cls <> p")
     near = near.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
-    links = materialize(linked(docs, materialize(pair_up(near), "near"), words, percent), "links")
+    sizes = own.select("cls", "n")
+    near = near.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("a_n")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("b_n")), "b")
+    near = materialize(near.where(f"100 * a_n >= {percent} * b_n and 100 * b_n >= {percent} * a_n").select("a", "b"), "near")
+    links = linked(docs, own, near, words, percent)
     known = materialize(components(links), "components")
 
-    with_component = members.join(known, F.col("cls") == F.col("node"), "left").select("token", "cls", "members", F.coalesce("root", "cls").alias("component"))
+    with_component = members.join(known, F.col("cls") == F.col("node"), "left").select("token", "cls", "place", "members", F.coalesce("root", "cls").alias("component"))
     with_component = materialize(with_component, "members")
     split = materialize(with_component.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token"), "split")
     left = with_component.join(split, "token").withColumn("parts", F.ceil(F.col("members") / GROUP).cast("int"))
     left = left.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select("token", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "component")
-    dealt = left.join(own, "cls").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
-    pairs = materialize(dealt.select("token", "left", "right", "side", "cls", "component", "n", "excess", "bits").mapInArrow(lambda it: _tree_pairs(it, percent), "a binary, b binary").distinct(), "pairs")
-    links = links.unionByName(linked(docs, pairs, words, percent))
+    left = left.select("token", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "place", "component")
+    dealt = left.join(own.drop("fine"), "cls").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
+    pairs = materialize(dealt.select("token", "left", "right", "side", "cls", "place", "component", "n", "excess", "bits").mapInArrow(lambda it: _tree_pairs(it, percent), "a binary, b binary").distinct(), "pairs")
+    links = links.unionByName(linked(docs, own, pairs, words, percent))
     final = materialize(components(links), "components")
 
     rooted = rows.select("doc_id", "tag", "cls", "n").join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "tag", "n", F.coalesce("root", "cls").alias("root"))
