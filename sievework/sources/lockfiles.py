@@ -57,11 +57,13 @@ def pnpm(text: str) -> Iterator[dict]:
     section, current = "", None
     for line in text.splitlines():
         if m := re.match(r"^([a-zA-Z]+):", line):
-            section = m[1]
-        elif section in ("packages", "snapshots") and (m := re.match(r"^  '?/?(@?[^@'\s]+)@([^:'(\s]+)[^:]*'?:", line)):
-            if current and section == "packages":
+            if current:
                 yield current
-            current = _row(m[1], m[2]) if section == "packages" else None
+            section, current = m[1], None
+        elif section == "packages" and (m := re.match(r"^  '?/?(@?[^@'\s]+)@([^:'(\s]+)[^:]*'?:", line)):
+            if current:
+                yield current
+            current = _row(m[1], m[2])
         elif current and (m := re.match(r"^    resolution: \{(.*)\}", line)):
             fields = dict(re.findall(r"(\w+): '?([^,'}]+)'?", m[1]))
             current["integrity"] = fields.get("integrity")
