@@ -61,7 +61,7 @@ class Forest:
         self.children: list[list[int]] = []
         self.leaves = 0
         self.roots = [self._grow(sample, np.arange(len(sample)), rng, leaf) for _ in range(trees)]
-        self.plane = np.array(self.planes, np.float32).reshape(len(self.planes), -1)
+        self.plane = np.array(self.planes, np.float32).reshape(len(self.planes), sample.shape[1])
         self.offset = np.array(self.offsets, np.float32)
         self.child = np.array(self.children, np.int64).reshape(-1, 2)
 

@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import chunks, gram_hashes, keep_rows, lowered, materialize, mix, ship, span_hashes, words_of
 from .components import components
-from .runs import maybe_repeated, repeated_cells, sketched
+from .runs import Packed, maybe_repeated, repeated_cells, sketched
 
 WORDS, PERCENT = 4, 85
 #: Bits of a class's bitmap; cells of the sketch that orders tokens, and its parts.
-BITS, ORDER_CELLS, ORDER_PARTS = 1024, 1 << 23, 32
+BITS, ORDER_CELLS, ORDER_PARTS = 1024, 1 << 22, 16
 #: Members of a token that one task compares, and pairs in a block of comparisons by fine bitmaps and by sets.
 GROUP, COARSE, PAIRS = 2048, 20000, 2000
 BLOCK = 2 << 20
@@ -70,8 +70,8 @@ def _classes(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(view[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def token_order(docs: DataFrame, words: int) -> np.ndarray:
-    """For each cell of a sketch, in how many documents its tokens stand: a table of fixed size."""
+def token_order(docs: DataFrame, words: int) -> Packed:
+    """For each cell of a sketch, eight times the logarithm of how many documents its tokens stand in: a table of fixed size."""
     part = ORDER_CELLS // ORDER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +94,17 @@ def token_order(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
-    out = np.zeros((ORDER_PARTS, part), np.uint16)
+    out = np.zeros((ORDER_PARTS, part), np.uint8)
     for r in docs.select("text").mapInArrow(count, schema).repartition(ORDER_PARTS, "part").mapInArrow(merge, schema).collect():
-        out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.uint16)
-    return out.ravel()
+        out[r["part"]] = (8 * np.log2(1.0 + np.frombuffer(bytes(r["counts"]), np.uint16))).astype(np.uint8)
+    return Packed(out.ravel())
 
 
-def prefixes(flat: np.ndarray, offsets: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(flat: np.ndarray, offsets: np.ndarray, order: Packed, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, token, place in the order) of the tokens by which the sets have to be found."""
     n = np.diff(offsets)
     row = np.repeat(np.arange(len(n)), n)
-    rank = np.argsort((row << 32) | order[(flat & np.uint64(ORDER_CELLS - 1)).astype(np.int64)].astype(np.int64), kind="stable")
+    rank = np.argsort((row << 32) | order.array[(flat & np.uint64(ORDER_CELLS - 1)).astype(np.int64)].astype(np.int64), kind="stable")
     place = np.arange(len(flat)) - offsets[:-1][row]
     keep = place < (n - -(-percent * n // 100) + 1)[row]
     return row[keep], flat[rank][keep], place[keep]

@@ -9,6 +9,7 @@ less than the number of any of its windows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,20 @@ PLACE_BITS = 24
 HELD = 1 << 21
 
 
+class Packed:
+    """An array that travels to the workers compressed: sketches of small inputs are mostly zeros."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array
+
+    def __getstate__(self) -> tuple:
+        return zlib.compress(self.array.tobytes(), 1), self.array.dtype.str, self.array.shape
+
+    def __setstate__(self, state: tuple) -> None:
+        data, kind, shape = state
+        self.array = np.frombuffer(zlib.decompress(data), kind).reshape(shape)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive entries, by doubling."""
     n, size = len(x) - w + 1, 1
@@ -116,18 +131,18 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())], names=["shard", "bits"])
 
 
-def repeated_cells(parts: DataFrame) -> np.ndarray:
+def repeated_cells(parts: DataFrame) -> Packed:
     """For each sketch row the packed bits of the cells that count two or more: DEPTH * CELLS / 8 bytes, whatever the corpus."""
     rows = parts.repartition(SHARDS, "shard").mapInArrow(_merged, "shard int, bits binary").collect()
     out = np.zeros((DEPTH * SHARDS, CELLS // SHARDS // 8), np.uint8)
     for r in rows:
         out[r["shard"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.reshape(DEPTH, -1)
+    return Packed(out.reshape(DEPTH, -1))
 
 
-def maybe_repeated(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def maybe_repeated(h: np.ndarray, bits: Packed) -> np.ndarray:
     """Whether the sketch counts each hash twice or more; never false for one that is."""
     ok = np.ones(len(h), bool)
-    for row, c in zip(bits, cells(h), strict=True):
+    for row, c in zip(bits.array, cells(h), strict=True):
         ok &= (row[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
     return ok

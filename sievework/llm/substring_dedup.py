@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, gram_hashes, keyed, materialize, ship, span_digests, span_hashes, squeezed
-from .runs import maybe_repeated, repeated_cells, sketched, window_runs
+from .runs import Packed, maybe_repeated, repeated_cells, sketched, window_runs
 
 WINDOW, GRAM = 13, 4
 BLOCK = 2 << 20
@@ -45,7 +45,7 @@ def _runs(column: pa.Array, window: int) -> Iterator[tuple]:
         yield a, text, starts, ends, words[row], row, first, n, v
 
 
-def sketch(docs: DataFrame, window: int) -> np.ndarray:
+def sketch(docs: DataFrame, window: int) -> Packed:
     """Bits of the keys that occur twice or more, by count-min over all runs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
