@@ -42,7 +42,7 @@ FOLDS, HELD_FOLD = 3, 1
 PARTS = 16
 #: Context tables that are merged in a first round, before the parts' totals.
 SALTS = 64
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -86,7 +86,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     dense = np.zeros((rows, DIMENSIONS))
     np.put_along_axis(dense, places, signs, 1)
     by_place, by_sign = np.ascontiguousarray(places.T), np.ascontiguousarray(signs.T)
-    total = np.zeros((rows, DIMENSIONS))
+    total, pairs = np.zeros((rows, DIMENSIONS)), np.zeros(SHAPES * SHAPES)
     for batch in batches:
         for _, _, buf, offsets in chunks(batch.column(0), BLOCK):
             word, shape, bounds = units(buf, offsets)
@@ -100,8 +100,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     base, other = word[a] * DIMENSIONS, word[b]
                     for at, sign in zip(by_place, by_sign, strict=True):
                         total += np.bincount(base + at[other], sign[other], rows * DIMENSIONS).reshape(rows, DIMENSIONS)
-                    pairs = np.bincount((shape[a] - BUCKETS) * SHAPES + shape[b] - BUCKETS, minlength=SHAPES * SHAPES)
-                    total[BUCKETS:] += pairs.reshape(SHAPES, SHAPES) @ dense[BUCKETS:]
+                    pairs += np.bincount((shape[a] - BUCKETS) * SHAPES + shape[b] - BUCKETS, minlength=SHAPES * SHAPES)
+    total[BUCKETS:] += pairs.reshape(SHAPES, SHAPES) @ dense[BUCKETS:]
     task = TaskContext.get().partitionId()
     each = np.array_split(total, PARTS)
     yield pa.RecordBatch.from_arrays(
