@@ -136,9 +136,13 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, key, keep_id, group_size, kept and text_sha256 of every row."""
     rows = materialize(identities(docs, block_bytes), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tag"))
-    groups = rows.groupBy("rounds", "name").agg(F.min(order).alias("keep"), F.count("*").alias("group_size"))
-    # Small rows on both sides; adaptive execution splits a hot group's side of the join.
-    return rows.join(groups, ["rounds", "name"]).select("doc_id", "key", F.col("keep.doc_id").alias("keep_id"), F.col("group_size").cast("long"), (F.col("keep.tag") == F.col("tag")).alias("kept"), "text_sha256")
+    groups = rows.groupBy("rounds", "name").agg(F.min(order).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
+    # Both sides are plain tables, so adaptive execution splits the rows of a hot group.
+    joined = rows.join(materialize(groups, "groups"), ["rounds", "name"], "left")
+    return joined.select(
+        "doc_id", "key", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("keep.tag") == F.col("tag"), F.lit(True)).alias("kept"), "text_sha256",
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
