@@ -9,7 +9,10 @@ from ..functions import licenses as L
 from ..functions import versions as V
 from ..operators import advisories as A
 from ..operators import deps as D
-from .scan_queries import table
+from .scan_queries import table, whole
+
+#: The rows that queries read whose SQL has the same filter; each has a twin, *_all, over the whole table.
+FEW_SUPPLIERS, FEW_ORDERS = "l_suppkey <= 5", "l_orderkey <= 400"
 
 
 def _packages(spark, sf_dir):
@@ -96,9 +99,9 @@ def release_signals(spark, sf_dir):
     return D.release_signals(joined, F.lit("1998-08-01 00:00:00").cast("timestamp")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def deps_diff(spark, sf_dir):
+def deps_diff(spark, sf_dir, where=FEW_SUPPLIERS):
     """Lockfiles are suppliers, packages are parts; what they hold before and from 1995 on."""
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey <= 5").select(
+    rows = table(spark, sf_dir, "lineitem").where(where).select(
         F.col("l_suppkey").alias("lockfile"), (F.col("l_partkey") % 50).alias("name"), F.concat_ws(".", F.col("l_linenumber").cast("string"), (F.col("l_orderkey") % 5).cast("string"), F.lit("0")).alias("version"), "l_shipdate"
     )
     cut = F.lit("1995-06-01").cast("timestamp")
@@ -182,9 +185,9 @@ def typosquat(spark, sf_dir):
     return D.typosquats(words, POPULAR).select("name", "near")
 
 
-def bom_components(spark, sf_dir):
+def bom_components(spark, sf_dir, where=FEW_ORDERS):
     """Parts depend on the parts of their supplier's next line."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400")
+    li = table(spark, sf_dir, "lineitem").where(where)
     name = F.concat(F.lit("part "), (F.col("l_partkey") % 40).cast("string"))
     packages = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("node"), D.purl(F.lit("npm"), name, F.lit("1.0.0+b")).alias("purl"))
     edges = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("src"), F.concat_ws(":", "l_orderkey", (F.col("l_linenumber") + 1).cast("string")).alias("dst"))
@@ -350,3 +353,5 @@ WHERE p_brand NOT IN (SELECT name FROM p WHERE git) AND (p_brand, p_size) NOT IN
   (5, NULL, 'unknown', ''), (6, 'Apache-2.0', 'allowed', ''), (7, 'LGPL-2.1 WITH exception', 'denied', 'LGPL-2.1'), (8, NULL, 'unknown', '')) AS t(m, license, verdict, ids) ON p_partkey % 9 = m GROUP BY ALL""",
     "name_normal": "SELECT '__' || replace(c_name, '#', '._-') || '.' AS name, lower(regexp_replace(replace(c_name, '#', '._-'), '[-_.]+', '-', 'g')) AS normal FROM customer",
 }
+for _name, _where in ((deps_diff, FEW_SUPPLIERS), (bom_components, FEW_ORDERS)):
+    whole(_name, _where, QUERIES, ORACLES)

@@ -10,7 +10,10 @@ from ..sources import lockfiles as K
 from ..sources import manifests as Y
 from ..sources import patches as P
 from ..sources import registry as R
-from .scan_queries import table
+from .scan_queries import table, whole
+
+#: The rows that queries read whose SQL has the same filter; each has a twin, *_all, over the whole table.
+FEW_SUPPLIERS, FEW_ORDERS = "l_suppkey <= 20", "l_orderkey <= 300"
 
 
 def _joined(order: str, *parts):
@@ -18,9 +21,9 @@ def _joined(order: str, *parts):
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(*parts).alias("t")))), lambda x: x["t"]), "\n")
 
 
-def _lcov(spark, sf_dir):
+def _lcov(spark, sf_dir, where="true"):
     """One report a supplier, one record a part, one line entry a line item."""
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20")
+    li = table(spark, sf_dir, "lineitem").where(where)
     s = lambda c: F.col(c).cast("string")
     parts = li.groupBy("l_suppkey", "l_partkey").agg(
         F.concat(F.lit("SF:src/p"), F.first(s("l_partkey")), F.lit(".py\n"), _joined("l_orderkey", F.lit("DA:"), s("l_orderkey"), F.lit(","), F.floor("l_quantity").cast("string")), F.lit("\nLH:"),
@@ -29,12 +32,12 @@ def _lcov(spark, sf_dir):
     return parts.groupBy(F.col("l_suppkey").alias("report")).agg(_joined("l_partkey", F.col("t")).alias("text"))
 
 
-def lcov_totals(spark, sf_dir):
-    return C.lcov_totals(_lcov(spark, sf_dir))
+def lcov_totals(spark, sf_dir, where=FEW_SUPPLIERS):
+    return C.lcov_totals(_lcov(spark, sf_dir, where))
 
 
-def lcov_lines(spark, sf_dir):
-    return C.lcov_lines(_lcov(spark, sf_dir)).groupBy("report").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 25).alias("covered"))
+def lcov_lines(spark, sf_dir, where=FEW_SUPPLIERS):
+    return C.lcov_lines(_lcov(spark, sf_dir, where)).groupBy("report").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 25).alias("covered"))
 
 
 def cobertura_totals(spark, sf_dir):
@@ -46,26 +49,26 @@ def cobertura_totals(spark, sf_dir):
     return C.cobertura_totals(reports)
 
 
-def _patches(spark, sf_dir):
+def _patches(spark, sf_dir, where="true"):
     """One patch an order, one file a line: two hunks, an added line with plus signs, a removed one."""
     n = F.col("l_linenumber").cast("string")
     body = F.concat(
         F.lit("diff --git a/f"), n, F.lit(".py b/f"), n, F.lit(".py\n--- a/f"), n, F.lit(".py\n+++ b/f"), n, F.lit(".py\n@@ -1,2 +"), F.col("l_partkey").cast("string"),
         F.lit(",3 @@ head\n-old\n+++ counted\n keep\n+if x and y: pass\n@@ -9 +90 @@\n-gone\n+last"),
     )
-    return table(spark, sf_dir, "lineitem").where("l_orderkey <= 300").groupBy(F.col("l_orderkey").alias("patch")).agg(_joined("l_linenumber", body).alias("text"))
+    return table(spark, sf_dir, "lineitem").where(where).groupBy(F.col("l_orderkey").alias("patch")).agg(_joined("l_linenumber", body).alias("text"))
 
 
-def patch_lines(spark, sf_dir):
-    return P.diff_lines(_patches(spark, sf_dir)).where("kind = '+'").select("patch", "path", "line", "content")
+def patch_lines(spark, sf_dir, where=FEW_ORDERS):
+    return P.diff_lines(_patches(spark, sf_dir, where)).where("kind = '+'").select("patch", "path", "line", "content")
 
 
-def patch_files(spark, sf_dir):
-    return P.changed_files(P.diff_lines(_patches(spark, sf_dir)))
+def patch_files(spark, sf_dir, where=FEW_ORDERS):
+    return P.changed_files(P.diff_lines(_patches(spark, sf_dir, where)))
 
 
-def patch_complexity(spark, sf_dir):
-    added = P.diff_lines(_patches(spark, sf_dir)).where("kind = '+'")
+def patch_complexity(spark, sf_dir, where=FEW_ORDERS):
+    added = P.diff_lines(_patches(spark, sf_dir, where)).where("kind = '+'")
     return A.complexity_nodes(added)
 
 
@@ -186,3 +189,5 @@ SELECT rule, line, count(*) AS n FROM p JOIN (VALUES
 SELECT content, count(*) AS n FROM p JOIN (VALUES (0, NULL, 'eval(2)'), (1, false, 'safe'), (2, NULL, 'unsafe'), (2, NULL, 'ls'), (2, NULL, 'x'), (3, NULL, 'no unwrap() here'), (3, NULL, 'ls')) AS r(k2, when_, content)
 ON k = k2 AND (when_ IS NULL OR when_ = big) GROUP BY content""",
 }
+for _name, _where in ((lcov_totals, FEW_SUPPLIERS), (lcov_lines, FEW_SUPPLIERS), (patch_lines, FEW_ORDERS), (patch_files, FEW_ORDERS), (patch_complexity, FEW_ORDERS)):
+    whole(_name, _where, QUERIES, ORACLES)
