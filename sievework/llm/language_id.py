@@ -40,7 +40,8 @@ EVIDENCE = 40.0
 HOST_LEAN, DOMAIN_LEAN, TABLE_LEAN = 5.0, 20.0, 1.0
 
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|template|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+HTML = re.compile(r"<html\b", re.I)
+DECLARED = re.compile(r"\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", re.I)
 
 
@@ -49,6 +50,18 @@ def visible(page: str | None) -> str:
     return html.unescape(HIDDEN.sub(" ", page or ""))
 
 
+def declaration_of(page: str | None) -> str | None:
+    """The language that the first html tag with one declares, wherever it stands; each character is looked at once."""
+    page, at = page or "", 0
+    while m := HTML.search(page, at):
+        end = page.find(">", m.end())
+        # A tag that is never closed goes on to the end, and takes in all later ones.
+        at = end if end >= 0 else len(page)
+        if found := DECLARED.search(page, m.end(), at):
+            return found[1].lower()
+    return None
+
+
 def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of the byte trigrams within each row, letters in lower case and everything that is no letter as a space."""
     low = lowered(buf)
@@ -99,8 +112,8 @@ def evidence(pages: DataFrame, names: list[str], model: np.ndarray) -> DataFrame
             pages_, urls = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             declared = []
             for p in pages_:
-                m = DECLARED.search((p or "")[: 1 << 16])
-                declared.append((m[1].lower() if m[1].lower() in known else "other") if m else "none")
+                m = declaration_of(p)
+                declared.append((m if m in known else "other") if m else "none")
             hosts = [(m[1].lower().strip(".") if (m := HOST.match(u or "")) else "") for u in urls]
             labels = [h.split(".") for h in hosts]
             like = np.zeros((len(pages_), len(names)))
