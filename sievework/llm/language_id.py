@@ -9,7 +9,7 @@ added to its host and domain is taken out again.
 
 Scale: pages are read once and reduced to a few numbers each; html is never shuffled. Hosts and suffixes are joined as
 plain tables, which adaptive execution splits at a host that holds a third of all pages. The models, and the
-table of declarations, are bounded by the number of languages.
+table of declarations, are bounded by the number of languages: every label of a document is one, 256 KB of model each.
 
 Defined cases: null or empty html has no text evidence, and a page without evidence of any kind gets the overall prior; a
 missing, unknown or odd declaration is a value of its own; null or odd addresses have host, domain and suffix ''; rows
@@ -25,14 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, lowered, materialize, mix, ship
 
-#: Labelled documents that the text models are fitted on at most, by the smallest hashes of their ids.
-FIT_ROWS = 4000
-LANGUAGES = 64
+#: Labelled documents that the text models are fitted on, in equal shares by the smallest hashes of their ids, and the least share of a language.
+FIT_ROWS, LEAST_ROWS = 4000, 50
 CELLS = 1 << 15
 #: Trigrams count as so many independent ones at most: neighbours overlap, and pages quote other languages.
 EVIDENCE = 40.0
@@ -76,11 +75,20 @@ def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(documents: DataFrame, limit: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """The languages and each one's log probabilities of the cells, from at most ``limit`` labelled documents."""
+    """Every language that a document is labelled with and each one's log probabilities of the cells, from about ``limit`` documents dealt evenly."""
     known = documents.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
-    # Ids alone are ordered; ``limit`` of them at most are broadcast to the texts.
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    labelled = known.join(F.broadcast(chosen), "doc_id")
+    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())
+    if not names:
+        return [], np.zeros((0, CELLS))
+    share = max(LEAST_ROWS, limit // len(names))
+    # Small hashes, about twice a language's share of them and its least one always, are ordered; texts are not.
+    low = (F.col("h") / 2.0**64 + 0.5) * F.col("n") < 2.0 * share
+    few = ids.join(F.broadcast(sizes), "lang").where(low | (F.col("h") == F.col("least"))).select("lang", "doc_id", "h").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = few.withColumn("nth", nth).where(F.col("nth") <= share).select("lang", "doc_id")
+    labelled = known.join(F.broadcast(chosen), ["lang", "doc_id"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -98,7 +106,6 @@ def fit(documents: DataFrame, limit: int = FIT_ROWS) -> tuple[list[str], np.ndar
     sums: dict[str, np.ndarray] = {}
     for r in parts.collect():
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(bytes(r["counts"]), "<f4").astype(float)
-    names = sorted(sorted(sums, key=lambda k: (-sums[k].sum(), k))[:LANGUAGES])
     table = np.array([sums[k] for k in names]).reshape(len(names), CELLS) + 0.5
     return names, np.log(table / table.sum(1, keepdims=True))
 
