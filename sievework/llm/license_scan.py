@@ -1,13 +1,15 @@
 """License scan: a trained paragraph classifier, with DataFrame operations only.
 
-A paragraph (a line of text) is the set of its word unigrams and bigrams. A multinomial logistic regression over a sparse
+A paragraph is a line of text, or a run of lines up to a blank one, under its first line's number. It is the set of its word unigrams and bigrams. A multinomial logistic regression over a sparse
 vocabulary of them, fitted here on licence notices and on sentences that only sound like them, gives each licence family
 and ``unknown`` a probability. A temperature, fitted on wordings kept aside, calibrates them. A family counts only if it is
 likelier than ``LEAST``, and is confirmed if the paragraph also has enough bigrams in common with one of the family's templates.
 
-A paragraph is scored if it holds an anchor, a word or name that every notice has; others are unknown by definition.
+A run of lines counts as one notice if none of its lines is one, or if lines are named otherwise and less likely; else its lines count.
 
-Scale: a document without an anchor costs one regular expression. Paragraphs with one are few and short; their n-grams
+A paragraph without an anchor is dropped only if the most that its n-grams can add to a family leaves it unknown for certain.
+
+Scale: paragraphs are reduced to the n-grams that the model or a template knows, which
 meet the weights, a table of a fixed size that is broadcast, and are summed by paragraph, by a key that
 spreads even if all documents hold the same notice. Texts are never shuffled.
 
@@ -22,7 +24,7 @@ import re
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -107,6 +109,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work was licensed for the stage and not for film.",
         "Mozilla announced a new browser and a public beta.",
         "The creative commons room is open to all students.",
+        "Er kommt mit dem Zug und mit seinen Kindern.",
+        "Das Haus mit dem Garten liegt am Ende der Stadt.",
+        "Sie spricht mit der Lehrerin.",
+        "Wir fahren mit.",
+        "Kaffee mit Milch und Tee mit Zucker.",
+        "Ein Tag mit viel Regen ist es heute.",
     ),
 }
 FAMILIES = tuple(TEMPLATES)
@@ -114,6 +122,7 @@ ANCHORS = r"(?i)licen[cs]e|copyright|permission|redistribut|warranty|public doma
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 #: Least probability of a family, and least share of a paragraph's or a template's bigrams in common.
 LEAST, CONFIRMED = 0.6, 0.5
+KEYS = ("doc_id", "tag", "block", "line", "whole")
 
 
 def grams(text: str) -> list[str]:
@@ -171,43 +180,85 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+@cache
+def bounds() -> tuple[list[tuple[float, list[str]]], float]:
+    """Steps of n-grams by the most that one adds to any family over unknown, and the sum below which a paragraph is unknown for certain."""
+    vocabulary, w, b, temperature = model()
+    most = (w[:, :-1] - w[:, [-1]]).max(1)
+    steps, low = [], 0.0
+    for high in (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, float(most.max())):
+        steps.append((high, [g for g, m in zip(vocabulary, most, strict=True) if low < m <= high]))
+        low = max(low, high)
+    # A family of probability p leads unknown by the logarithm of p / (1 - p) at least; from 0 on, as the best one does.
+    return [x for x in steps if x[1]], float((b[-1] - b[:-1]).min())
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, block, line, whole and p: each line that isn't blank, and each run of several such lines as a whole, under its first line's number."""
+    number = lambda line, i: F.when(line.rlike(r"\S"), F.concat((i + 1).cast("string"), F.lit("\x01"), line)).otherwise("")
+    numbered = F.btrim(F.array_join(F.transform(F.split("text", "\n", -1), number), "\n"), F.lit("\n"))
+    blocks = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tag"), F.explode(F.split(numbered, "\n{2,}")).alias("b")).where("b <> ''")
+    first = lambda x: F.substring_index(x, "\x01", 1).cast("int")
+    unit = lambda x, whole: F.struct(first(x).alias("line"), F.lit(whole).alias("whole"), F.regexp_replace(x, "(?:^|\n)[0-9]+\x01", " ").alias("p"))
+    lines = F.transform(F.split("b", "\n"), lambda x: unit(x, False))
+    several = F.when(F.contains("b", F.lit("\n")), F.concat(lines, F.array(unit(F.col("b"), True)))).otherwise(lines)
+    return blocks.select("doc_id", "tag", first(F.col("b")).alias("block"), F.inline(several))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, line and grams of the paragraphs with an anchor."""
-    hit = docs.where(F.col("text").rlike(ANCHORS)).select("doc_id", F.xxhash64("doc_id", "text").alias("tag"), F.posexplode(F.split("text", "\n", -1)).alias("line", "p"))
+    """doc_id, tag, block, line, whole, n_bigrams and the known grams of the paragraphs with an anchor and of all others that may be a notice."""
+    vocabulary = model()[0]
+    known = sorted({*vocabulary, *(g for f in FAMILIES[:-1] for t in TEMPLATES[f] for g in grams(t))})
     words = F.regexp_extract_all(F.lower("p"), F.lit(f"({WORD})"))
-    lines = hit.where(F.col("p").rlike(ANCHORS)).select("doc_id", "tag", (F.col("line") + 1).alias("line"), words.alias("w")).where(F.size("w") > 0)
+    rows = units(docs).select("doc_id", "tag", "block", "line", "whole", words.alias("w"), F.col("p").rlike(ANCHORS).alias("anchor")).where(F.size("w") > 0)
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return lines.select("doc_id", "tag", "line", F.array_distinct(pairs).alias("bigrams"), F.array_distinct(F.concat("w", pairs)).alias("grams"))
+    rows = rows.withColumn("pairs", pairs).withColumn("grams", F.array_distinct(F.filter(F.concat("w", "pairs"), lambda g: g.isin(known))))
+    steps, least = bounds()
+
+    def most(g):
+        out = F.lit(0.0)
+        for high, of in steps:
+            out = F.when(g.isin(of), high).otherwise(out)
+        return out
+
+    may = F.aggregate("grams", F.lit(0.0), lambda a, g: a + most(g)) >= least
+    return rows.where(F.col("anchor") | may).select("doc_id", "tag", "block", "line", "whole", F.size(F.array_distinct("pairs")).alias("n_bigrams"), "grams")
 
 
 def scan(docs: DataFrame, least: float = LEAST, confirmed: float = CONFIRMED) -> DataFrame:
-    """doc_id, tag, line, family, probability, similarity and confirmed of every paragraph with an anchor; family is unknown where none is likely enough."""
+    """doc_id, tag, line, family, probability, similarity and confirmed of every paragraph with an anchor, and of the others that may be a notice; family is unknown where none is likely enough."""
     spark = docs.sparkSession
     vocabulary, w, b, temperature = model()
     # As many rows as the vocabulary has n-grams, fixed by the templates.
     table = json.dumps([{"gram": g, "weights": row.tolist()} for g, row in zip(vocabulary, w, strict=True)])
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<gram:string,weights:array<double>>>")))
     lines = paragraphs(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    exploded = lines.select("doc_id", "tag", "line", "bigrams", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
+    exploded = lines.select(*KEYS, "n_bigrams", F.col("grams").alias("known"), F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
     each = [F.sum(F.coalesce(F.element_at("weights", i + 1), F.lit(0.0))).alias(f"s{i}") for i in range(len(FAMILIES))]
-    summed = exploded.groupBy("doc_id", "tag", "line").agg(F.first("bigrams").alias("bigrams"), *each)
+    summed = exploded.groupBy(*KEYS).agg(F.first("n_bigrams").alias("n_bigrams"), F.first("known").alias("known"), *each)
     logits = F.array(*((F.col(f"s{i}") + F.lit(float(v))) / temperature for i, v in enumerate(b)))
-    scored = summed.select("doc_id", "tag", "line", "bigrams", logits.alias("logits")).withColumn("top", F.array_max("logits"))
+    scored = summed.select(*KEYS, "n_bigrams", "known", logits.alias("logits")).withColumn("top", F.array_max("logits"))
     mass = F.aggregate(F.transform("logits", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     best = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("logits", F.col("top")).cast("int"))
-    scored = scored.select("doc_id", "tag", "line", "bigrams", best.alias("best"), (1 / mass).alias("probability"))
+    scored = scored.select(*KEYS, "n_bigrams", "known", best.alias("best"), (1 / mass).alias("probability"))
     common = F.lit(0.0)
     for family in FAMILIES[:-1]:
         tries = []
         for template in TEMPLATES[family]:
             own = [g for g in grams(template) if " " in g] or grams(template)
-            both = F.size(F.array_intersect("bigrams", F.array(*map(F.lit, own))))
-            tries.append(both / F.least(F.greatest(F.size("bigrams"), F.lit(1)), F.lit(len(own))))
+            both = F.size(F.array_intersect("known", F.array(*map(F.lit, own))))
+            tries.append(both / F.least(F.greatest("n_bigrams", F.lit(1)), F.lit(len(own))))
         common = F.when(F.col("best") == family, F.greatest(*tries) if len(tries) > 1 else tries[0]).otherwise(common)
     named = F.when(F.col("probability") >= least, F.col("best")).otherwise(UNKNOWN)
-    return scored.select("doc_id", "tag", "line", named.alias("family"), F.round("probability", 4).alias("probability"), F.round(common, 4).alias("similarity")).withColumn(
-        "confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= confirmed)
-    )
+    judged = scored.select(*KEYS, named.alias("family"), F.round("probability", 4).alias("probability"), F.round(common, 4).alias("similarity"))
+    # Several lines are one notice if none of them is one, or if they contradict it and are less likely.
+    block = Window.partitionBy("doc_id", "tag", "block")
+    judged = judged.withColumn("joint", F.max(F.when(F.col("whole"), F.col("family"))).over(block)).withColumn("joint_p", F.max(F.when(F.col("whole"), F.col("probability"))).over(block))
+    line = ~F.col("whole") & (F.col("family") != UNKNOWN)
+    likeliest, other = F.max(F.when(line, F.col("probability"))).over(block), F.max(line & (F.col("family") != F.col("joint"))).over(block)
+    stands = F.coalesce((F.col("joint") != UNKNOWN) & (likeliest.isNull() | (other & (F.col("joint_p") > likeliest))), F.lit(False))
+    kept = judged.withColumn("stands", stands).where(F.col("whole") == F.col("stands"))
+    return kept.select("doc_id", "tag", "line", "family", "probability", "similarity").withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= confirmed))
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
