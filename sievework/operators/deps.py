@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("lockfile", "name", "from_version", "to_version", kind.alias("kind"))
 
 
-def why(spark, edges: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
+def why(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, depth and chain: a shortest chain of dependencies from a root to each node, the first by name.
 
     Level by level, so each node is settled once; a tree's depth bounds the rounds."""
     level = roots.select("node", F.array("node").alias("chain")).distinct()
     found = level.withColumn("depth", F.lit(0))
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = level.join(edges, level["node"] == edges["src"]).select(edges["dst"].alias("node"), F.concat("chain", F.array(edges["dst"])).alias("chain"))
         step = step.groupBy("node").agg(F.min("chain").alias("chain")).join(found.select("node"), "node", "left_anti")
         step = step.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else step.persist()
@@ -40,7 +42,7 @@ def why(spark, edges: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
 
 
 def why_sql(edges: str, roots: str, most: int = 12) -> str:
-    """The same distances as one recursive query over views, for trees of bounded depth."""
+    """The same distances as one recursive query over views, for trees of at most ``most`` levels: deeper nodes have no row, unlike in ``why``."""
     return f"""WITH RECURSIVE reach (node, depth) AS (
   SELECT node, 0 FROM {roots} UNION ALL
   SELECT e.dst, r.depth + 1 FROM reach r JOIN {edges} e ON e.src = r.node WHERE r.depth < {most}
