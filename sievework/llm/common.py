@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,9 +31,11 @@ _shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _roots:
         _roots[app] = tempfile.mkdtemp(prefix="sievework-")
@@ -57,7 +60,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once all that is made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

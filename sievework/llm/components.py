@@ -1,7 +1,7 @@
 """Connected components of a links table, by alternating large and small stars.
 
 Each round hangs every node's greater neighbours on its least one, then every node's smaller ones; paths
-halve in length, so a few rounds suffice. Links stay as many as there were at first. No node's links are
+halve in length, so a few rounds suffice; they go on until nothing changes, since every round that changes something lowers some link's end. Links stay as many as there were at first. No node's links are
 gathered anywhere: a hub is a key of an aggregation with partial minima and of joins that adaptive execution splits.
 """
 
@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-MOST_ROUNDS = 60
+from .common import materialize, release
 
 
 def _print(edges: DataFrame):
@@ -23,13 +21,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); root is the component's least node."""
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = _print(edges)
-    for _ in range(MOST_ROUNDS if seen[0] else 0):
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        release(edges, least)
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        release(large, least)
         now = _print(edges)
         if now == seen:
             break

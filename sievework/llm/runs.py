@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import mix
 
 #: Cells of a sketch row, rows, and parts that merge on their own.
 CELLS, DEPTH, SHARDS = 1 << 26, 2, 64
@@ -85,7 +86,8 @@ def window_runs(grams: np.ndarray, bounds: np.ndarray, width: int, gram: int) ->
 
 
 def cells(h: np.ndarray) -> list[np.ndarray]:
-    """The cell of each hash in each sketch row."""
+    """The cell of each hash in each sketch row. Keys that are minima of hashes have few high bits, hence the mixing."""
+    h = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
     return [((h >> np.uint64(38 * i)) & np.uint64(CELLS - 1)).astype(np.int64) for i in range(DEPTH)]
 
 
