@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -47,19 +50,32 @@ def shared_root(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows that go to a Python worker at once: texts are long, and both sides hold a batch.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that lineage ends there and a lost executor costs no more than a read."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/sievework/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, {_CLEANUP: "true", _BATCH: str(batch)}):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -72,6 +88,34 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def gathered(df: DataFrame, batch: int = BATCH_ROWS) -> list:
+    """The few rows of df, with batches of that size for its Python workers."""
+    with settings(df.sparkSession, {_BATCH: str(batch)}):
+        return df.collect()
+
+
+def tidy(work: Callable[..., Iterator[pa.RecordBatch]], *args) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow; a worker that waits for its next task holds no freed memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches, *args)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where that can be done."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc (doc_id, null as the largest), tag and text: rows with one doc_id and different texts differ in tag, which follows from the content."""
     text = F.coalesce("text", F.lit(""))

@@ -23,7 +23,7 @@ documents that stand for a class with candidates are cut into shingles; they are
 lets more through when it is full and loses none. A token with more than ``GROUP`` members is cut into bands of sizes, of which only equal and adjacent ones can link, and
 bands with more into parts that meet two by two. Links and components stay tables, and tables are deleted once they have been read for the last time.
 
-Shingles are compared by 64-bit hashes of their words, classes by a 128-bit digest of theirs.
+Shingles are compared by 64-bit hashes of their words, classes by a 128-bit digest of theirs, tokens' lists of members by their length and two 64-bit sums of hashes.
 
 Defined cases: null and empty texts have no shingles and link with nothing, not even each other; with fewer
 words than a shingle has, the whole sequence is the one shingle; rows with one doc_id are documents of their
@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, keep_rows, lowered, materialize, mix, release, ship, span_hashes, words_of
+from .common import chunks, gram_hashes, keep_rows, lowered, materialize, mix, release, ship, span_hashes, tidy, words_of
 from .components import components
 from .repeats import CHUNK_ROWS, CHUNK_SCHEMA, Plan, answers, chunk_rows, groups_of, repeated_items
 from .runs import maybe_repeated, repeated_cells, sketched
@@ -53,7 +53,7 @@ BITS = 1024
 GROUP, HELD, FRONTIER = 2048, 20000, 1 << 16
 #: Pairs in a block of comparisons by fine bitmaps and by sets.
 COARSE, PAIRS = 20000, 2000
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def sets_of(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -359,7 +359,7 @@ def _sets(docs: DataFrame, own: DataFrame, words: int) -> DataFrame:
                     [pa.array(_classes(flat, offsets), pa.binary()), pa.array([flat[a:b].astype("<u8").tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["cls", "tokens"]
                 )
 
-    return docs.select("tag", "text").mapInArrow(wanted, "cls binary, tokens binary")
+    return docs.select("tag", "text").mapInArrow(tidy(wanted), "cls binary, tokens binary")
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
@@ -405,20 +405,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("tag"))
     plan = Plan.of(docs)
     schema = f"{CHUNK_SCHEMA}, row int, doc_id bigint, tag bigint, cls binary, n bigint"
-    cut = materialize(docs.select("doc_id", "tag", "text").mapInArrow(lambda it: _cut(it, words, plan), schema), "chunks")
+    cut = materialize(docs.select("doc_id", "tag", "text").mapInArrow(tidy(_cut, words, plan), schema), "chunks")
     rows = cut.where("shard < 0").select("chunk", "row", "doc_id", "tag", "cls", "n")
     none = {c: F.lit(None).cast(t) for c, t in (("a", "binary"), ("b", "binary"), ("row", "int"), ("tag", "bigint"), ("cls", "binary"), ("n", "bigint"))}
     home = cut.select("chunk", "shard", F.lit(0).alias("kind"), F.col("counts").alias("a"), F.col("rows").alias("b"), "row", "tag", "cls", "n")
     found = materialize(answers(cut, plan), "answers")
     found_rows = found.select("chunk", "shard", F.lit(1).alias("kind"), F.col("marks").alias("a"), F.col("repeated").alias("b"), *(none[c].alias(c) for c in ("row", "tag", "cls", "n")))
     together = home.unionByName(found_rows).repartition("chunk").sortWithinPartitions("chunk", "shard")
-    able = materialize(together.mapInArrow(lambda it: _candidates(it, plan, percent), _CANDIDATE).dropDuplicates(["cls"]), "able")
+    able = materialize(together.mapInArrow(tidy(_candidates, plan, percent), _CANDIDATE).dropDuplicates(["cls"]), "able")
     rows = materialize(rows.select("doc_id", "tag", "cls", "n"), "rows")
     release(cut, found)
 
     place = able.select("cls", "n", "first", F.posexplode("tokens").alias("at", "token")).groupBy("token", "cls").agg(F.first("n").alias("n"), F.min(F.col("first") + F.col("at")).alias("place"))
     place = materialize(place, "tokens")
-    several = place.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    # Of tokens with the same members one does, the first in the order: what shares one of them shares it.
+    same = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    lists = place.groupBy("token").agg(F.count("*").alias("k"), F.sum("place").alias("places"), *same).where("k > 1")
+    several = lists.groupBy("k", "x0", "x1").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
     members = materialize(place.join(several, "token"), "members")
     own = materialize(able.join(members.select("cls").distinct(), "cls", "left_semi").drop("tokens"), "signatures")
     release(place, able)
@@ -436,7 +439,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         else:
             dealt = _dealt(at, GROUP, percent).join(own.select("cls", "excess", "bits"), "cls").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
             names = ("token", "left", "right", "side", "cls", "n", "place", "component", "excess", "bits")
-            pairs = dealt.select(*names).mapInArrow(lambda it, every=step == "every": _tree_pairs(it, percent, every), "a binary, b binary").distinct()
+            pairs = dealt.select(*names).mapInArrow(tidy(_tree_pairs, percent, step == "every"), "a binary, b binary").distinct()
         pairs = materialize(pairs, "pairs")
         if links is not None and pairs.isEmpty():
             release(at, pairs)

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Bytes of text a shard, as a power of two, and the most shards, as another: beyond them shards grow, to 60 million fingerprints at 100 TB.
 SHARD_TEXT, MOST_SHARDS = 23, 18
 #: Items and rows of a chunk.
-CHUNK_ITEMS, CHUNK_ROWS = 1 << 20, 1 << 16
+CHUNK_ITEMS, CHUNK_ROWS = 1 << 19, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -148,7 +150,7 @@ def _answers(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
 def answers(chunks: DataFrame, plan: Plan) -> DataFrame:
     """(chunk, shard, marks, repeated): the class of each distinct fingerprint, and the fingerprints that repeat."""
     asked = chunks.where("shard >= 0").select("chunk", "shard", "prints", "counts")
-    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, plan), "chunk bigint, shard int, marks binary, repeated binary")
+    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_answers, plan), "chunk bigint, shard int, marks binary, repeated binary")
 
 
 def repeated_items(counts: list[bytes], rows: list[bytes], shards: list[int], marks: list[bytes], repeated: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix
+from .common import gathered, mix, tidy
 
 #: Cells of a sketch row, rows, and parts that merge on their own.
 CELLS, DEPTH, SHARDS = 1 << 26, 2, 64
@@ -135,7 +135,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_cells(parts: DataFrame) -> Packed:
     """For each sketch row the packed bits of the cells that count two or more: DEPTH * CELLS / 8 bytes, whatever the corpus."""
-    rows = parts.repartition(SHARDS, "shard").mapInArrow(_merged, "shard int, bits binary").collect()
+    rows = gathered(parts.repartition(SHARDS, "shard").mapInArrow(tidy(_merged), "shard int, bits binary"))
     out = np.zeros((DEPTH * SHARDS, CELLS // SHARDS // 8), np.uint8)
     for r in rows:
         out[r["shard"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
