@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, tidy
 
 TREES = 12
 #: Rows that the trees are fitted on at most, by the smallest hashes of their ids.
@@ -156,7 +156,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES
             row = np.repeat(np.arange(batch.num_rows), leaf.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel(), pa.int64()), batch.column(0).take(pa.array(row))], names=["leaf", "vec_id"])
 
-    homes = materialize(index.select("vec_id", "v").mapInArrow(route, "leaf bigint, vec_id bigint"), "homes")
+    homes = materialize(index.select("vec_id", "v").mapInArrow(tidy(route), "leaf bigint, vec_id bigint"), "homes")
     held = homes.groupBy("leaf").count().collect()  # leaves are bounded by the sample
     sizes = np.zeros(forest.leaves, np.int64)
     sizes[[r["leaf"] for r in held]] = [r["count"] for r in held]
@@ -179,7 +179,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES
 
     # Each distinct query vector once, wherever its copies are asked.
     wanted = asked.select("vector").distinct().join(distinct, "vector").select("vector", "v")
-    visits = wanted.mapInArrow(search, "leaf bigint, part int, vector bigint, q array<double>")
+    visits = wanted.mapInArrow(tidy(search), "leaf bigint, part int, vector bigint, q array<double>")
     many = [int(i) for i in np.flatnonzero(tasks > 1)]
     counts = F.create_map(*[x for i in many for x in (F.lit(i), F.lit(int(tasks[i])))]) if many else None
     spread = F.coalesce(F.element_at(counts, F.col("leaf").cast("int")), F.lit(1)) if many else F.lit(1)

@@ -70,11 +70,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that lineage ends there and a lost executor costs no more than a read."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/sievework/{name}-{uuid.uuid4().hex}"
-    with settings(spark, {_CLEANUP: "true", _BATCH: str(batch)}):
+    with settings(spark, {_CLEANUP: "true"}):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -88,12 +88,6 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def gathered(df: DataFrame, batch: int = BATCH_ROWS) -> list:
-    """The few rows of df, with batches of that size for its Python workers."""
-    with settings(df.sparkSession, {_BATCH: str(batch)}):
-        return df.collect()
-
-
 def tidy(work: Callable[..., Iterator[pa.RecordBatch]], *args) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """work for mapInArrow; a worker that waits for its next task holds no freed memory."""
 
@@ -136,7 +130,9 @@ def keep_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, for clusters on which it isn't installed."""
+    """Send this package to the executors once, for clusters on which it isn't installed; and keep batches for Python workers small where the session doesn't set their size."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, keep_rows, materialize, ship
+from .common import SPACE_CLASS, keep_rows, materialize, ship, tidy
 
 BLOCK_BYTES = 8192
 #: A task's names start at its number times this.
@@ -88,7 +88,7 @@ def named(rows: DataFrame, tag: str = "tag") -> DataFrame:
     payload = [c for c in rows.columns if c != "content"]
     ordered = rows.withColumn("h", F.xxhash64("content")).repartitionByRange("h", tag).sortWithinPartitions("h", "content")
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in payload]
-    table = materialize(ordered.mapInArrow(lambda it: _name_sorted(it, payload), ", ".join([*kinds, "name bigint", "edge binary"])), "names")
+    table = materialize(ordered.mapInArrow(tidy(_name_sorted, payload), ", ".join([*kinds, "name bigint", "edge binary"])), "names")
     ends = table.where(F.col("edge").isNotNull()).select("edge", "name")
     smallest = ends.groupBy("edge").agg(F.min("name").alias("own"))
     # At most the contents at both ends of each task: a bound that doesn't depend on the rows.

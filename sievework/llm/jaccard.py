@@ -54,6 +54,8 @@ GROUP, HELD, FRONTIER = 2048, 20000, 1 << 16
 #: Pairs in a block of comparisons by fine bitmaps and by sets.
 COARSE, PAIRS = 20000, 2000
 BLOCK = 1 << 20
+#: Cells of each of the two rows of the filter by which documents that stand for a class are found.
+FILTER = 1 << 26
 
 
 def sets_of(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -345,9 +347,9 @@ def _sets(docs: DataFrame, own: DataFrame, words: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Twice, since a cell has to count two.
-        yield from sketched(np.repeat(mix(batch.column(0).to_numpy().view(np.uint64)), 2) for batch in batches if batch.num_rows)
+        yield from sketched((np.repeat(mix(batch.column(0).to_numpy().view(np.uint64)), 2) for batch in batches if batch.num_rows), FILTER)
 
-    bits = repeated_cells(own.select("tag").mapInArrow(mark, "shard int, cells binary"))
+    bits = repeated_cells(own.select("tag").mapInArrow(tidy(mark), "shard int, cells binary"), FILTER)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, lowered, materialize, mix, ship
+from .common import chunks, lowered, materialize, mix, ship, tidy
 
 #: Labelled documents that the text models are fitted on, in equal shares by the smallest hashes of their ids, and the least share of a language.
 FIT_ROWS, LEAST_ROWS = 4000, 50
@@ -102,7 +102,7 @@ def fit(documents: DataFrame, limit: int = FIT_ROWS) -> tuple[list[str], np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.string()), pa.array([t.astype("<f4").tobytes() for t in tables.values()], pa.binary())], names=["lang", "counts"])
 
     # The chosen few are scattered over the scan's tasks, so the tables are merged before they come to the driver.
-    parts = labelled.select("lang", "text").repartition(4).mapInArrow(count, "lang string, counts binary")
+    parts = labelled.select("lang", "text").repartition(4).mapInArrow(tidy(count), "lang string, counts binary")
     sums: dict[str, np.ndarray] = {}
     for r in parts.collect():
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(bytes(r["counts"]), "<f4").astype(float)
@@ -138,7 +138,7 @@ def evidence(pages: DataFrame, names: list[str], model: np.ndarray) -> DataFrame
             )
 
     schema = "page_id bigint, host string, domain string, suffix string, declared string, likelihood array<double>, says array<double>"
-    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(scan, schema)
+    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(tidy(scan), schema)
 
 
 def identify(pages: DataFrame, documents: DataFrame, limit: int = FIT_ROWS) -> DataFrame:

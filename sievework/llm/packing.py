@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, lowered, materialize, ship, words_of
+from .common import SPACES, chunks, lowered, materialize, ship, tidy, words_of
 
 MAX_TOKENS = 4096
 END_ID = 2
@@ -273,7 +273,7 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
     path = path or tokenizer_path()
     ship(docs.sparkSession)
-    cut = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: _pieces(it, path, max_tokens, end_id), PIECE_SCHEMA)
+    cut = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(_pieces, path, max_tokens, end_id), PIECE_SCHEMA)
     pieces = materialize(cut, "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
@@ -281,7 +281,7 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["task", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(lambda it: _placed(it, table), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(tidy(_placed, table), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op7_pack_sequences(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lowered, ship, span_hashes, words_of
+from .common import chunks, lowered, ship, span_hashes, tidy, words_of
 
 BUCKETS = 1 << 13
 SHAPES = 1 << 9
@@ -105,7 +105,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     each = np.array_split(total, PARTS)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(range(PARTS), pa.int32()), pa.array([task % SALTS] * PARTS, pa.int32()), pa.array([x.astype("<f4").tobytes() for x in each], pa.binary())], names=["part", "salt", "sums"]
+        [pa.array(range(PARTS), pa.int32()), pa.array([task % SALTS] * PARTS, pa.int32()), pa.array([x.astype("<f8").tobytes() for x in each], pa.binary())], names=["part", "salt", "sums"]
     )
 
 
@@ -114,10 +114,10 @@ def _merge(batches: Iterator[pa.RecordBatch], by_salt: bool) -> Iterator[pa.Reco
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for part, salt, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key, x = (part, salt if by_salt else 0), np.frombuffer(data, "<f4").astype(np.float64)
+            key, x = (part, salt if by_salt else 0), np.frombuffer(data, "<f8")
             sums[key] = sums[key] + x if key in sums else x
     yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([x.astype("<f4").tobytes() for x in sums.values()], pa.binary())], names=["part", "salt", "sums"]
+        [pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "salt", "sums"]
     )
 
 
@@ -125,14 +125,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors of all rows of the hashed vocabulary, over all documents."""
     ship(docs.sparkSession)
     schema = "part int, salt int, sums binary"
-    own = docs.select("text").mapInArrow(_contexts, schema)
-    first = own.repartition(4 * PARTS, "part", "salt").mapInArrow(lambda it: _merge(it, True), schema)
-    parts = first.repartition(PARTS, "part").mapInArrow(lambda it: _merge(it, False), schema).collect()
-    rows = {r["part"]: np.frombuffer(bytes(r["sums"]), "<f4") for r in parts}
+    own = docs.select("text").mapInArrow(tidy(_contexts), schema)
+    first = own.repartition(4 * PARTS, "part", "salt").mapInArrow(tidy(_merge, True), schema)
+    parts = first.repartition(PARTS, "part").mapInArrow(tidy(_merge, False), schema).collect()
+    rows = {r["part"]: np.frombuffer(bytes(r["sums"]), "<f8") for r in parts}
     if not rows:
         return np.zeros((BUCKETS + SHAPES, DIMENSIONS), np.float32)
     table = np.concatenate([rows[i] for i in range(PARTS)]).reshape(BUCKETS + SHAPES, DIMENSIONS)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def pooled(buf: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, limit: int = FI
     )
     # ``limit`` rows at most are broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(lambda it: _features(it, vectors), "doc_id bigint, label double, x binary").orderBy("doc_id", "label", "x").limit(4 * limit).collect()
+    got = rows.mapInArrow(tidy(_features, vectors), "doc_id bigint, label double, x binary").orderBy("doc_id", "label", "x").limit(4 * limit).collect()
     if not got:
         return Network(np.zeros((0, 2 * DIMENSIONS + 2)), np.zeros(0))
     return Network(np.stack([np.frombuffer(bytes(r["x"]), "<f4") for r in got]).astype(np.float64), np.array([r["label"] for r in got]))
@@ -237,7 +237,7 @@ def _scored(docs: DataFrame, labels: DataFrame, limit: int, carry: list[str], le
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=[*carry, "score"])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + ["score double"] * (least is None)
-    return docs.select(*carry, *(["text"] if texts == len(carry) else [])).mapInArrow(score, ", ".join(kinds))
+    return docs.select(*carry, *(["text"] if texts == len(carry) else [])).mapInArrow(tidy(score), ", ".join(kinds))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:

@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import gathered, mix, tidy
+from .common import mix, tidy
 
-#: Cells of a sketch row, rows, and parts that merge on their own.
-CELLS, DEPTH, SHARDS = 1 << 26, 2, 64
+#: Rows of a sketch, parts of a row that merge on their own, and the fewest and most cells of a row.
+DEPTH, SHARDS, FEWEST, MOST = 2, 64, 1 << 20, 1 << 28
 #: Low bits of a key that hold a place within the block of text.
 PLACE_BITS = 24
 #: Cells that a task holds before it hands them on.
@@ -85,16 +85,22 @@ def window_runs(grams: np.ndarray, bounds: np.ndarray, width: int, gram: int) ->
     return row, start, end - start, grams[place[start]]
 
 
-def cells(h: np.ndarray) -> list[np.ndarray]:
+def cells_for(docs: DataFrame, each: int) -> int:
+    """Cells of a sketch row for a corpus: a power of two, one for every ``each`` bytes of text, up to a bound of what a worker holds (32 MB a row)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST, max(FEWEST, 1 << (size // each).bit_length()))
+
+
+def cells(h: np.ndarray, count: int) -> list[np.ndarray]:
     """The cell of each hash in each sketch row. Keys that are minima of hashes have few high bits, hence the mixing."""
     h = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
-    return [((h >> np.uint64(38 * i)) & np.uint64(CELLS - 1)).astype(np.int64) for i in range(DEPTH)]
+    return [((h >> np.uint64(32 * i)) & np.uint64(count - 1)).astype(np.int64) for i in range(DEPTH)]
 
 
-def _hand_on(held: list[np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
+def _hand_on(held: list[np.ndarray], depth: int, count: int) -> Iterator[pa.RecordBatch]:
     own = np.sort(np.concatenate(held))
-    shard = CELLS // SHARDS
-    cuts = np.searchsorted(own, np.arange(0, CELLS + 1, shard))
+    shard = count // SHARDS
+    cuts = np.searchsorted(own, np.arange(0, count + 1, shard))
     # Two of a cell say as much as more of them.
     twice = np.ones(len(own), bool)
     twice[2:] = own[2:] != own[:-2]
@@ -102,29 +108,29 @@ def _hand_on(held: list[np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARDS) + depth * SHARDS, pa.int32()), pa.array(data, pa.binary())], names=["shard", "cells"])
 
 
-def sketched(hashes: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def sketched(hashes: Iterator[np.ndarray], count: int) -> Iterator[pa.RecordBatch]:
     """A task's part of the sketch: its runs' cells by shard, each twice at most."""
     held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
     size = 0
     for h in hashes:
-        for i, c in enumerate(cells(h)):
+        for i, c in enumerate(cells(h, count)):
             held[i].append(c)
         size += len(h)
         if size >= HELD:
             for i in range(DEPTH):
-                yield from _hand_on(held[i], i)
+                yield from _hand_on(held[i], i, count)
             held, size = [[] for _ in range(DEPTH)], 0
     if size:
         for i in range(DEPTH):
-            yield from _hand_on(held[i], i)
+            yield from _hand_on(held[i], i, count)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
     seen: dict[int, np.ndarray] = {}
     for batch in batches:
         for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             c = np.frombuffer(data.as_buffer(), "<u4")
-            counts = seen.setdefault(shard, np.zeros(CELLS // SHARDS, np.uint8))
+            counts = seen.setdefault(shard, np.zeros(count // SHARDS, np.uint8))
             again = c[1:][c[1:] == c[:-1]]
             counts[again] = 2
             once = c[np.append(True, c[1:] != c[:-1])] if len(c) else c
@@ -133,10 +139,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())], names=["shard", "bits"])
 
 
-def repeated_cells(parts: DataFrame) -> Packed:
-    """For each sketch row the packed bits of the cells that count two or more: DEPTH * CELLS / 8 bytes, whatever the corpus."""
-    rows = gathered(parts.repartition(SHARDS, "shard").mapInArrow(tidy(_merged), "shard int, bits binary"))
-    out = np.zeros((DEPTH * SHARDS, CELLS // SHARDS // 8), np.uint8)
+def repeated_cells(parts: DataFrame, count: int) -> Packed:
+    """For each sketch row the packed bits of the cells that count two or more: DEPTH * count / 8 bytes."""
+    rows = parts.repartition(SHARDS, "shard").mapInArrow(tidy(_merged, count), "shard int, bits binary").collect()
+    out = np.zeros((DEPTH * SHARDS, count // SHARDS // 8), np.uint8)
     for r in rows:
         out[r["shard"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return Packed(out.reshape(DEPTH, -1))
@@ -145,6 +151,6 @@ def repeated_cells(parts: DataFrame) -> Packed:
 def maybe_repeated(h: np.ndarray, bits: Packed) -> np.ndarray:
     """Whether the sketch counts each hash twice or more; never false for one that is."""
     ok = np.ones(len(h), bool)
-    for row, c in zip(bits.array, cells(h), strict=True):
+    for row, c in zip(bits.array, cells(h, 8 * bits.array.shape[1]), strict=True):
         ok &= (row[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
     return ok

@@ -7,7 +7,7 @@ only windows that the sketch counts twice or more, which loses none that repeats
 first whole runs by a 128-bit digest of their words, then, where runs with one gram differ, their single windows by a
 digest of theirs. A window is removed from a document if it also stands in one with a smaller doc_id.
 
-Scale: the sketch is DEPTH * CELLS bits in the driver and in each worker, whatever the corpus; when a corpus fills it, more
+Scale: the sketch grows with the corpus up to 32 MB a row in the driver and in each worker; when a corpus fills it, more
 windows pass and the exact grouping has more rows, but none is lost. Grouping is by aggregation with partial sums,
 and by joins of plain tables, which adaptive execution splits where a passage is very common. Texts are
 shuffled twice, once for the windows of differing runs and once for the result.
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, keyed, materialize, ship, span_digests, span_hashes, squeezed
-from .runs import Packed, maybe_repeated, repeated_cells, sketched, window_runs
+from .common import chunks, gram_hashes, keyed, materialize, ship, span_digests, span_hashes, squeezed, tidy
+from .runs import Packed, cells_for, maybe_repeated, repeated_cells, sketched, window_runs
 
 WINDOW, GRAM = 13, 4
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Bytes of text for each cell of the sketch: about four cells a run.
+CELL_TEXT = 8
 REFS = "doc bigint, tag bigint, v bigint, d1 bigint, d2 bigint, start int, n int"
 
 
@@ -47,11 +49,12 @@ def _runs(column: pa.Array, window: int) -> Iterator[tuple]:
 
 def sketch(docs: DataFrame, window: int) -> Packed:
     """Bits of the keys that occur twice or more, by count-min over all runs."""
+    count = cells_for(docs, CELL_TEXT)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sketched(r[-1] for batch in batches for r in _runs(batch.column(0), window))
+        yield from sketched((r[-1] for batch in batches for r in _runs(batch.column(0), window)), count)
 
-    return repeated_cells(docs.select("text").mapInArrow(scan, "shard int, cells binary"))
+    return repeated_cells(docs.select("text").mapInArrow(tidy(scan), "shard int, cells binary"), count)
 
 
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
@@ -68,7 +71,7 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
                 columns = [pa.array(v[ok].view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(first - base[ok], pa.int32()), pa.array(n, pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc", "tag", "v", "d1", "d2", "start", "n"])
 
-    return materialize(docs.select("doc", "tag", "text").mapInArrow(scan, REFS), "runs")
+    return materialize(docs.select("doc", "tag", "text").mapInArrow(tidy(scan), REFS), "runs")
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = judged.where("not whole").groupBy("doc", "tag").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"))
     texts = docs.select("doc", "tag", "text").dropDuplicates(["doc", "tag"])
     asked = texts.join(first, ["doc", "tag"]).select("doc", "tag", "text", "spans")
-    windows = materialize(asked.mapInArrow(lambda it: _windows(it, window), "doc bigint, tag bigint, w1 bigint, w2 bigint, start int"), "windows")
+    windows = materialize(asked.mapInArrow(tidy(_windows, window), "doc bigint, tag bigint, w1 bigint, w2 bigint, start int"), "windows")
     earliest = materialize(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("w1", "w2", "least"), "windows-first")
     single = windows.join(earliest, ["w1", "w2"]).where("doc > least").select("doc", "tag", "start", F.lit(window).alias("length"))
     return judged.where("whole").select("doc", "tag", "start", (F.col("n") + window - 1).alias("length")).unionByName(single)
@@ -143,7 +146,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = materialize(spans, "spans")
     none = F.array().cast("array<struct<start:int,length:int>>")
     joined = own.join(spans, ["doc", "tag"], "left").select(F.col("doc_id").cast("bigint"), "text", F.coalesce("spans", none).alias("spans"))
-    out = joined.mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
+    out = joined.mapInArrow(tidy(_kept), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 

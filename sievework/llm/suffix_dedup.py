@@ -7,7 +7,7 @@ run (see ``runs``); a count-min sketch drops runs whose gram occurs once. Runs w
 copy of each such run goes to its gram's bucket, where the suffixes of the bucket's runs are sorted by
 hash comparisons (``suffix_sort``), and neighbours with LENGTH bytes in common are the repeated windows.
 
-Scale: the sketch has a fixed size; runs are grouped by aggregation with partial sums. A gram with more than ``BUCKET``
+Scale: the sketch grows with the corpus up to 32 MB a row in each worker; beyond that more runs pass, and none is lost. Runs are grouped by aggregation with partial sums. A gram with more than ``BUCKET``
 different runs (a very common line in ever different surroundings) isn't put into one task: its windows are dealt
 by digests of their own, and counted. Texts are shuffled for the runs that have to be sorted and once for the result.
 
@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, keyed, materialize, merged_spans, ship, span_digests
-from .runs import maybe_repeated, repeated_cells, sketched, window_runs
+from .common import chunks, gram_hashes, keyed, materialize, merged_spans, ship, span_digests, tidy
+from .runs import cells_for, maybe_repeated, repeated_cells, sketched, window_runs
 from .suffix_sort import sort_suffixes
 
 LENGTH, GRAM = 200, 32
 #: Different runs of one gram that are sorted together in one task at most: some 2 MB of text, 200 MB of arrays.
 BUCKET = 8192
 BLOCK = 1 << 20
+#: Bytes of text for each cell of the sketch: about five cells a run.
+CELL_TEXT = 16
 REFS = "doc bigint, tag bigint, v bigint, d1 bigint, d2 bigint, start int, n int"
 
 
@@ -47,11 +49,12 @@ def _runs(column: pa.Array, length: int) -> Iterator[tuple]:
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """The runs that the sketch counts twice or more, with digests of their bytes."""
+    count = cells_for(docs, CELL_TEXT)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sketched(r[-1] for batch in batches for r in _runs(batch.column(0), length))
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from sketched((r[-1] for batch in batches for r in _runs(batch.column(0), length)), count)
 
-    bits = repeated_cells(docs.select("text").mapInArrow(count, "shard int, cells binary"))
+    bits = repeated_cells(docs.select("text").mapInArrow(tidy(sketch), "shard int, cells binary"), count)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +66,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
                 columns = [pa.array(v[ok].view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(start - base[ok], pa.int32()), pa.array(n, pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc", "tag", "v", "d1", "d2", "start", "n"])
 
-    return materialize(docs.select("doc", "tag", "text").mapInArrow(scan, REFS), "runs")
+    return materialize(docs.select("doc", "tag", "text").mapInArrow(tidy(scan), REFS), "runs")
 
 
 SPANS = "array<struct<start:int,n:int,v:bigint,alone:boolean,large:boolean>>"
@@ -196,10 +199,10 @@ def removals(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> Dat
     listed = judged.where("speaks").groupBy("doc", "tag").agg(F.sort_array(F.collect_set(span)).cast(SPANS).alias("spans"))
     texts = docs.select("doc", "tag", "text").dropDuplicates(["doc", "tag"])
     asked = materialize(texts.join(listed, ["doc", "tag"]).select("doc", "tag", "text", "spans"), "asked")
-    spans = asked.mapInArrow(lambda it: _spans(it, length), "doc bigint, tag bigint, start int, n int, v bigint, alone boolean, data binary")
-    small = materialize(spans.repartition("v").sortWithinPartitions("v").mapInArrow(lambda it: _sorted_buckets(it, length), "doc bigint, tag bigint, start int, length int"), "sorted")
+    spans = asked.mapInArrow(tidy(_spans, length), "doc bigint, tag bigint, start int, n int, v bigint, alone boolean, data binary")
+    small = materialize(spans.repartition("v").sortWithinPartitions("v").mapInArrow(tidy(_sorted_buckets, length), "doc bigint, tag bigint, start int, length int"), "sorted")
     many = asked.where(F.exists("spans", lambda x: x["large"]))
-    windows = materialize(many.mapInArrow(lambda it: _windows(it, length), "doc bigint, tag bigint, w1 bigint, w2 bigint, start int, alone boolean"), "windows")
+    windows = materialize(many.mapInArrow(tidy(_windows, length), "doc bigint, tag bigint, w1 bigint, w2 bigint, start int, alone boolean"), "windows")
     often = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("copies")).where("copies > 1").select("w1", "w2"), "windows-often")
     single = windows.where("alone").join(often, ["w1", "w2"]).select("doc", "tag", "start", F.lit(length).alias("length"))
     return whole.unionByName(small).unionByName(single)
@@ -233,7 +236,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) ->
     spans = materialize(removals(own, length, bucket).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "spans")
     none = F.array().cast("array<struct<start:int,length:int>>")
     joined = own.join(spans, ["doc", "tag"], "left").select(F.col("doc_id").cast("bigint"), "text", F.coalesce("spans", none).alias("spans"))
-    return joined.mapInArrow(_kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return joined.mapInArrow(tidy(_kept), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
