@@ -2,12 +2,13 @@
 
 A paragraph is a line of text, or a run of lines up to a blank one, under its first line's number. It is the set of its word unigrams and bigrams. A multinomial logistic regression over a sparse
 vocabulary of them, fitted here on licence notices and on sentences that only sound like them, gives each licence family
-and ``unknown`` a probability. A temperature, fitted on wordings kept aside, calibrates them. A family counts only if it is
+and ``unknown`` a probability. A temperature, fitted on templates that the weights didn't see, calibrates them. A family counts only if it is
 likelier than ``LEAST``, and is confirmed if the paragraph also has enough bigrams in common with one of the family's templates.
 
-A run of lines counts as one notice if none of its lines is one, or if lines are named otherwise and less likely; else its lines count.
+A run of lines counts as one notice if none of its lines is one, if lines are named otherwise and less likely, or if it has twice the odds of any line; else its lines count.
 
-A paragraph without an anchor is dropped only if the most that its n-grams can add to a family leaves it unknown for certain.
+A paragraph is left out only if it is unknown for certain: where none of the words occurs that n-grams which speak for some family hold (``telling``), or, without an
+anchor, where the most that its n-grams can add to a family is too little. One pattern finds the words, so most texts cost one pass.
 
 Scale: paragraphs are reduced to the n-grams that the model or a template knows, which
 meet the weights, a table of a fixed size that is broadcast, and are summed by paragraph, by a key that
@@ -34,41 +35,51 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "This project is distributed under the terms of the Apache License 2.0.",
+        "Released under Apache 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "MIT": (
         "Released under the MIT License.",
         "This software is licensed under the MIT License; see the LICENSE file.",
+        "Licensed under MIT.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "Distributed under GPL v3 or later.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
+        "Distributed under GPL v2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
         "You can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Released under LGPL 2.1.",
         "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "AGPL-3.0": (
         "This program is licensed under the GNU Affero General Public License, version 3.",
+        "Released under AGPL v3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "BSD": (
         "Licensed under the BSD 3-Clause License.",
+        "Distributed under the BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Released under MPL 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "CC-BY-NC": (
@@ -86,6 +97,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "CC0": (
         "Dedicated to the public domain under CC0 1.0.",
+        "Released under CC0.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     ),
     "proprietary": (
@@ -109,6 +121,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work was licensed for the stage and not for film.",
         "Mozilla announced a new browser and a public beta.",
         "The creative commons room is open to all students.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
+        "You should have received a copy of the license along with this program.",
+        "The film was released under a new title and distributed under the name of his son.",
+        "Redistribution of land was the aim of the law.",
         "Er kommt mit dem Zug und mit seinen Kindern.",
         "Das Haus mit dem Garten liegt am Ende der Stadt.",
         "Sie spricht mit der Lehrerin.",
@@ -120,6 +136,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 FAMILIES = tuple(TEMPLATES)
 ANCHORS = r"(?i)licen[cs]e|copyright|permission|redistribut|warranty|public domain|spdx|all rights reserved|waived|\bgnu\b|\bcc[ -]?(?:by|0)"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+#: Function words say nothing about a licence: an n-gram of them alone is no feature.
+FUNCTION_WORDS = frozenset(
+    "a about all an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its made make many may more most my no not of off on one "
+    "only or other our out over shall she should since so some such than that the their them then there these they this those to under up upon us was we were what when where which who will with would you your".split()
+)
 #: Least probability of a family, and least share of a paragraph's or a template's bigrams in common.
 LEAST, CONFIRMED = 0.6, 0.5
 KEYS = ("doc_id", "tag", "block", "line", "whole")
@@ -146,33 +167,40 @@ def _wordings(text: str, rng: np.random.Generator, n: int) -> list[str]:
 def model() -> tuple[tuple[str, ...], np.ndarray, np.ndarray, float]:
     """Vocabulary, weights, biases and temperature, from a fixed seed."""
     rng = np.random.default_rng(5)
-    rows = [(grams(t), i) for i, f in enumerate(FAMILIES) for w in TEMPLATES[f] for t in _wordings(w, rng, 12)]
+    rows = [(grams(t), i, k) for i, f in enumerate(FAMILIES) for k, w in enumerate(TEMPLATES[f]) for t in _wordings(w, rng, 12)]
     counts: dict[str, int] = {}
-    for g, _ in rows:
+    for g, _, _ in rows:
         for x in g:
             counts[x] = counts.get(x, 0) + 1
-    vocabulary = tuple(sorted(x for x, n in counts.items() if n >= 4))
+    vocabulary = tuple(sorted(x for x, n in counts.items() if n >= 4 and not FUNCTION_WORDS.issuperset(x.split())))
     at = {x: i for i, x in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
-    for r, (g, _) in enumerate(rows):
+    for r, (g, _, _) in enumerate(rows):
         x[r, [at[t] for t in g if t in at]] = 1
-    y = np.eye(len(FAMILIES))[[i for _, i in rows]]
-    aside = rng.random(len(rows)) < 0.25
-    share = y[~aside].mean(0)
-    weight = (1 / np.maximum(share, 1e-9))[y.argmax(1)]
-    w, b = np.zeros((len(vocabulary), len(FAMILIES))), np.zeros(len(FAMILIES))
+    target, template = (np.array([r[i] for r in rows]) for i in (1, 2))
+    # The temperature is that of templates which the weights haven't seen, a third of each family's at a time.
+    logits = np.zeros((len(rows), len(FAMILIES)))
+    for fold in range(3):
+        aside = template % 3 == fold
+        w, b = _fitted(x[~aside], target[~aside])
+        logits[aside] = x[aside] @ w + b
+    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(target)), target] + 1e-12).mean()
+    temperature = float(min(np.geomspace(0.3, 5, 57), key=loss).round(4))
+    return vocabulary, *_fitted(x, target), temperature
+
+
+def _fitted(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, small ones left out, and biases of a softmax regression in which all families weigh alike."""
+    y = np.eye(len(FAMILIES))[target]
+    weight = (1 / np.maximum(y.mean(0), 1e-9))[target]
+    w, b = np.zeros((x.shape[1], len(FAMILIES))), np.zeros(len(FAMILIES))
     for _ in range(250):
-        p = _softmax(x[~aside] @ w + b)
-        e = (p - y[~aside]) * weight[~aside, None] / weight[~aside].sum()
-        w = (w - 4.0 * (x[~aside].T @ e)) * (1 - 4.0 * 2e-5)
+        e = (_softmax(x @ w + b) - y) * weight[:, None] / weight.sum()
+        w = (w - 4.0 * (x.T @ e)) * (1 - 4.0 * 2e-5)
         b -= 1.0 * e.sum(0)
     # A paragraph with nothing of the vocabulary is unknown.
     b[FAMILIES.index(UNKNOWN)] += 1.0
-    w = np.where(np.abs(w) < 0.01, 0.0, w).round(6)
-    b = b.round(6)
-    logits, target = x[aside] @ w + b, y[aside].argmax(1)
-    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(target)), target] + 1e-12).mean()
-    return vocabulary, w, b, float(min(np.geomspace(0.3, 5, 57), key=loss).round(4))
+    return np.where(np.abs(w) < 0.01, 0.0, w).round(6), b.round(6)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -180,6 +208,27 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern for any of the words that branches by letter."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[:1], []).append(w[1:])
+    arms = [re.escape(c) + _trie(rest) for c, rest in sorted(first.items()) if c]
+    inner = arms[0] if len(arms) == 1 and "" not in first else f"(?:{'|'.join(arms)})" if arms else ""
+    return f"(?:{inner})?" if "" in first and inner else inner
+
+
+@cache
+def telling() -> str:
+    """A pattern that every text holds, in lower case, that has an n-gram which speaks for a family: without one, the least that unknown leads by stands.
+
+    It names of each such n-gram the words that are no function words; some word of each n-gram is none."""
+    vocabulary, w, _, _ = model()
+    most = (w[:, :-1] - w[:, [-1]]).max(1)
+    words = {max((x for x in g.split() if x not in FUNCTION_WORDS), key=lambda x: (len(x), x)) for g, m in zip(vocabulary, most, strict=True) if m > 0}
+    return f"(?<![a-z0-9]){_trie(sorted(words))}(?![a-z0-9])"
+
+
 @cache
 def bounds() -> tuple[list[tuple[float, list[str]]], float]:
     """Steps of n-grams by the most that one adds to any family over unknown, and the sum below which a paragraph is unknown for certain."""
@@ -194,15 +243,16 @@ def bounds() -> tuple[list[tuple[float, list[str]]], float]:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, block, line, whole and p: each line that isn't blank, and each run of several such lines as a whole, under its first line's number."""
+    """doc_id, tag, block, line, whole and p: each line that isn't blank, and each run of several such lines as a whole, under its first line's number, of those with a telling word."""
     number = lambda line, i: F.when(line.rlike(r"\S"), F.concat((i + 1).cast("string"), F.lit("\x01"), line)).otherwise("")
     numbered = F.btrim(F.array_join(F.transform(F.split("text", "\n", -1), number), "\n"), F.lit("\n"))
-    blocks = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tag"), F.explode(F.split(numbered, "\n{2,}")).alias("b")).where("b <> ''")
+    tells = lambda x: F.lower(x).rlike(telling())
+    blocks = docs.where(tells("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("tag"), F.explode(F.split(numbered, "\n{2,}")).alias("b")).where(tells("b"))
     first = lambda x: F.substring_index(x, "\x01", 1).cast("int")
     unit = lambda x, whole: F.struct(first(x).alias("line"), F.lit(whole).alias("whole"), F.regexp_replace(x, "(?:^|\n)[0-9]+\x01", " ").alias("p"))
     lines = F.transform(F.split("b", "\n"), lambda x: unit(x, False))
     several = F.when(F.contains("b", F.lit("\n")), F.concat(lines, F.array(unit(F.col("b"), True)))).otherwise(lines)
-    return blocks.select("doc_id", "tag", first(F.col("b")).alias("block"), F.inline(several))
+    return blocks.select("doc_id", "tag", first(F.col("b")).alias("block"), F.inline(several)).where(tells("p"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -251,12 +301,13 @@ def scan(docs: DataFrame, least: float = LEAST, confirmed: float = CONFIRMED) ->
         common = F.when(F.col("best") == family, F.greatest(*tries) if len(tries) > 1 else tries[0]).otherwise(common)
     named = F.when(F.col("probability") >= least, F.col("best")).otherwise(UNKNOWN)
     judged = scored.select(*KEYS, named.alias("family"), F.round("probability", 4).alias("probability"), F.round(common, 4).alias("similarity"))
-    # Several lines are one notice if none of them is one, or if they contradict it and are less likely.
+    # Several lines are one notice if none of them is one, if they contradict it and are less likely, or if it has twice the odds of any.
     block = Window.partitionBy("doc_id", "tag", "block")
     judged = judged.withColumn("joint", F.max(F.when(F.col("whole"), F.col("family"))).over(block)).withColumn("joint_p", F.max(F.when(F.col("whole"), F.col("probability"))).over(block))
     line = ~F.col("whole") & (F.col("family") != UNKNOWN)
     likeliest, other = F.max(F.when(line, F.col("probability"))).over(block), F.max(line & (F.col("family") != F.col("joint"))).over(block)
-    stands = F.coalesce((F.col("joint") != UNKNOWN) & (likeliest.isNull() | (other & (F.col("joint_p") > likeliest))), F.lit(False))
+    far = F.col("joint_p") * (1 - likeliest) >= 2 * likeliest * (1 - F.col("joint_p"))
+    stands = F.coalesce((F.col("joint") != UNKNOWN) & (likeliest.isNull() | F.when(other, F.col("joint_p") > likeliest).otherwise(far)), F.lit(False))
     kept = judged.withColumn("stands", stands).where(F.col("whole") == F.col("stands"))
     return kept.select("doc_id", "tag", "line", "family", "probability", "similarity").withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= confirmed))
 
