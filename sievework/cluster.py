@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +27,8 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(z.filename)
     _shipped.add(app)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint in the folder that spark.checkpoint.dir names, or kept in memory where the session names none."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()

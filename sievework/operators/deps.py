@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import settled
 from ..functions import versions as V
 
 # Fixed value: the order of kinds of change.
@@ -33,7 +34,7 @@ def why(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
     for depth in count(1):
         step = level.join(edges, level["node"] == edges["src"]).select(edges["dst"].alias("node"), F.concat("chain", F.array(edges["dst"])).alias("chain"))
         step = step.groupBy("node").agg(F.min("chain").alias("chain")).join(found.select("node"), "node", "left_anti")
-        step = step.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else step.persist()
+        step = settled(step)
         if step.isEmpty():
             break
         found = found.unionByName(step.withColumn("depth", F.lit(depth)))

@@ -13,7 +13,7 @@ INJECTION = r"\$\{\{[^}]*github\.(?:event\.pull_request\.(?:body|title|head\.ref
 SECRET_NAMES = ("SECRET", "PASSWORD", "PASSWD", "API_KEY", "TOKEN", "PRIVATE_KEY", "ACCESS_KEY", "AUTH_TOKEN", "CLIENT_SECRET")
 # What install scripts hold when they reach for the network, a shell or the environment.
 SCRIPT_SIGNALS = (
-    "eval(", "new Function(", "Buffer.from(", "atob(", "btoa(", "require('http')", 'require("http")', "require('https')", 'require("https")', "require('net')", "require('dns')", "require('tls')",
+    "eval(", "new Function(", "vm.runInContext", "vm.runInNewContext", "Buffer.from(", "atob(", "btoa(", "require('http')", 'require("http")', "require('https')", 'require("https")', "require('net')", "require('dns')", "require('tls')",
     "fetch(", "axios", "got(", "request(", "superagent", "child_process", "execSync(", "spawnSync(", "exec(", "spawn(", "process.env", "curl ", "wget ",
 )
 BLOB_LEAST = 120

@@ -105,8 +105,56 @@ def junit(findings: DataFrame) -> DataFrame:
     return findings.select("path", "line", "rule", F.concat(F.lit('<testcase classname="'), e(F.col("path")), F.lit('" name="'), e(F.col("rule")), F.lit('"><failure message="line '), F.col("line").cast("string"), F.lit('"/></testcase>')).alias("xml"))
 
 
-def gitlab(findings: DataFrame) -> DataFrame:
-    return findings.select("path", "line", "rule", mapped(F.col("severity"), GITLAB, "Medium").alias("severity"))
+def gitlab(findings: DataFrame, tool: str = "sievework") -> DataFrame:
+    """A vulnerability a finding; ids name what is found where, so that they don't depend on an order of all findings."""
+    return findings.select("path", "line", "rule", mapped(F.col("severity"), GITLAB, "Medium").alias("severity"), F.concat(F.lit(f"{tool}-"), F.md5(F.concat_ws("|", "path", F.col("line").cast("string"), "rule"))).alias("id"))
+
+
+def workflow_json(findings: DataFrame) -> DataFrame:
+    """Workflow findings as JSON objects, and as SARIF start lines: a finding about a file as a whole is on its first line there."""
+    return findings.select("path", "line", "rule", F.to_json(F.struct("path", "line", "rule")).alias("json"), F.greatest(F.col("line"), F.lit(1)).alias("start_line"))
+
+
+def summary(findings: DataFrame, shown: int = 20) -> DataFrame:
+    """One markdown text: totals by severity and the first findings by path, line and rule."""
+    n = findings.agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_RANK))
+    few = findings.orderBy("path", "line", "rule").limit(shown).agg(F.sort_array(F.collect_list(F.struct("path", "line", "rule", "severity"))).alias("rows"))
+    row = lambda x: F.concat(F.lit("| `"), x["path"], F.lit("` | "), x["line"].cast("string"), F.lit(" | `"), x["rule"], F.lit("` | **"), x["severity"], F.lit("** |"))
+    head = F.format_string("**%d finding(s)** (%d critical, %d high, %d medium, %d low)", "n", "critical", "high", "medium", "low")
+    table = F.concat(head, F.lit("\n\n| File | Line | Rule | Severity |\n|---|---|---|---|\n"), F.array_join(F.transform("rows", row), "\n"))
+    more = F.when(F.col("n") > shown, F.concat(F.lit("\n\n_...and "), (F.col("n") - shown).cast("string"), F.lit(" more._"))).otherwise("")
+    return n.crossJoin(few).select(F.when(F.col("n") == 0, "**No issues found.**").otherwise(F.concat(table, more)).alias("summary"))
+
+
+def review_lines(changes: DataFrame) -> DataFrame:
+    """A line of text a change of a dependency, as reviews show it."""
+    c = F.col
+    text = (
+        F.when(c("kind") == "Added", F.concat(F.lit("+ "), "name", F.lit(" "), "to_version"))
+        .when(c("kind") == "Removed", F.concat(F.lit("- "), "name", F.lit(" "), "from_version"))
+        .otherwise(F.concat(F.when(c("kind") == "Upgraded", "^ ").otherwise("v "), "name", F.lit(" "), "from_version", F.lit(" -> "), "to_version"))
+    )
+    return changes.select("lockfile", "name", "kind", text.alias("line"))
+
+
+def listing(packages: DataFrame, direct: DataFrame) -> DataFrame:
+    """lockfile, at and text of the packages in the order of name and version, with what is required directly."""
+    from pyspark.sql import Window
+
+    rows = packages.join(direct.select("lockfile", "name").distinct().withColumn("direct", F.lit(True)), ["lockfile", "name"], "left")
+    at = F.row_number().over(Window.partitionBy("lockfile").orderBy("name", "version"))
+    return rows.select("lockfile", at.alias("at"), F.concat(F.col("name"), F.lit("@"), F.col("version"), F.when(F.col("direct"), " direct").otherwise("")).alias("text"))
+
+
+def provenance_rows(commits: DataFrame) -> DataFrame:
+    """A JSON object a commit that a tool wrote (hash, tool, lines)."""
+    return commits.where("tool is not null").select("hash", F.to_json(F.struct("hash", "tool", "lines")).alias("json"))
+
+
+def otlp(totals: DataFrame, name: str = "sievework.findings") -> DataFrame:
+    """A data point of a gauge by severity, as OTLP's JSON has it."""
+    point = F.struct(F.array(F.struct(F.lit("severity").alias("key"), F.struct(F.coalesce("severity", F.lit("all")).alias("stringValue")).alias("value"))).alias("attributes"), F.col("findings").cast("string").alias("asInt"))
+    return totals.select(F.coalesce("severity", F.lit("all")).alias("severity"), F.to_json(F.struct(F.lit(name).alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))).alias("metric"))
 
 
 def prometheus(totals: DataFrame, name: str = "sievework_findings") -> DataFrame:

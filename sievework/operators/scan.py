@@ -84,6 +84,79 @@ def scan(files: DataFrame, key: str = "path", text: str = "text", extra: list[tu
     return found.select(key, "line", "rule", severity(F.col("rule")).alias("severity"), "value", F.col("reason").alias("suppressed"))
 
 
+def checked_patterns(extra: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """A project's own patterns, tried in the driver, so that a bad one is an error before anything runs."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    for name, pattern in extra:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as e:
+            raise ValueError(f"pattern {name!r} can't be read: {pattern}") from e
+    return list(extra)
+
+
+def history(added: DataFrame, extra: list[tuple[str, str]] | None = None, entropy: bool = True, marker: str = T.MARKER) -> DataFrame:
+    """Findings in lines that a history added (commit, path, line, content): a line with the marker is left out as a whole, and no line covers another."""
+    rows = added.where(~F.col("content").contains(marker))
+    found = active_hits(pattern_hits(rows, [(n, p) for n, p, _ in T.PATTERNS] + (extra or [])))
+    columns = ["commit", "path", "line", "rule", "value"]
+    out = found.select(*columns)
+    if entropy:
+        out = out.unionByName(entropy_hits(rows).select(*columns))
+    return out.withColumn("severity", severity(F.col("rule")))
+
+
+# Parts and ends of paths that hold credentials.
+SENSITIVE = r"\.env|\.aws/credentials|\.ssh/|etc/environment|docker-compose|\.(?:pem|key|p12|pfx)$"
+
+
+def image(files: DataFrame, extra: list[tuple[str, str]] | None = None, entropy: bool = False) -> DataFrame:
+    """Findings in an image's layers (layer, path, text): suppressions don't count there, medium ones are high in places that hold credentials, and
+    one found again in another layer at the same path and line is one finding, of the first layer by name."""
+    rows = T.lines(files.withColumn("__at", F.struct("layer", "path")), "__at").select(F.col("__at.layer").alias("layer"), F.col("__at.path").alias("path"), "line", "content")
+    found = active_hits(pattern_hits(rows, [(n, p) for n, p, _ in T.PATTERNS] + (extra or []))).select("layer", "path", "line", "rule", "value")
+    if entropy:
+        found = found.unionByName(entropy_hits(rows).select("layer", "path", "line", "rule", "value"))
+    level = severity(F.col("rule"))
+    found = found.withColumn("severity", F.when((level == "medium") & F.col("path").rlike(SENSITIVE), "high").otherwise(level))
+    return found.groupBy("path", "line", "rule", "value", "severity").agg(F.min("layer").alias("layer"))
+
+
+def image_files(entries: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Files of layers (layer, path, kind, content binary) that are read: no links, no whiteouts, nothing large, nothing binary; with their text."""
+    name = F.element_at(F.split("path", "/"), -1)
+    hidden = F.exists(F.split("path", "/"), lambda p: p.startswith(".wh."))
+    rows = entries.where((F.col("kind") == "file") & ~hidden & (F.length(name) > 0) & (F.octet_length("content") <= most) & (F.position(F.lit(b"\0"), F.col("content")) == 0))
+    return rows.select("layer", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def blamed(findings: DataFrame, blame: DataFrame) -> DataFrame:
+    """findings with ``author``: who last touched the line, as name, mail and short commit; null where it isn't known."""
+    who = F.concat(F.col("author"), F.lit(" <"), F.col("mail"), F.lit("> @ "), F.substring("commit", 1, 8))
+    return findings.join(blame.select("path", "line", who.alias("author")), ["path", "line"], "left")
+
+
+def context(findings: DataFrame, lines: DataFrame, around: int) -> DataFrame:
+    """findings (path, line) with ``context``: the lines around, numbered. Each finding asks for its own few lines, by an equal join."""
+    asked = findings.select("path", "line").distinct().select("path", F.col("line").alias("of"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - around), F.col("line") + around)).alias("line"))
+    shown = F.concat(F.lpad(F.col("line").cast("string"), 4, " "), F.lit(" | "), F.col("content"))
+    got = asked.join(lines.select("path", "line", "content"), ["path", "line"]).groupBy("path", "of").agg(F.sort_array(F.collect_list(F.struct("line", shown.alias("t")))).alias("c"))
+    return findings.join(got.select("path", F.col("of").alias("line"), F.array_join(F.transform("c", lambda x: x["t"]), "\n").alias("context")), ["path", "line"], "left")
+
+
+def redactions(files: DataFrame, findings: DataFrame, mark: str = "<REDACTED>") -> DataFrame:
+    """path, text and ``redacted`` (how many) of files with what findings (path, line, value) matched replaced in their lines, in their order; line endings stay."""
+    per_line = findings.where("value <> ''").groupBy("path", "line").agg(F.sort_array(F.collect_list(F.struct("ordinal", "value"))).alias("v"))
+    per_file = per_line.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(F.col("line").cast("int"), F.transform("v", lambda x: x["value"])))).alias("at"))
+    at = lambda a, v: F.position(v, a)
+    first = lambda a, v: F.when(at(a, v) > 0, F.concat(F.substr(a, F.lit(1), at(a, v) - 1), F.lit(mark), F.substr(a, at(a, v) + F.length(v)))).otherwise(a)
+    line = lambda l, i: F.aggregate(F.coalesce(F.element_at("at", i + 1), F.array().cast("array<string>")), l, first)  # noqa: E731, E741
+    body = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
+    return files.join(per_file, "path").select("path", body.alias("text"), F.aggregate(F.map_values("at"), F.lit(0), lambda a, v: a + F.size(v)).alias("redacted"))
+
+
 def redacted(line: Column, pattern: str, mark: str = "[REDACTED]") -> Column:
     """The line with the first match of the pattern replaced."""
     at = F.regexp_instr(line, F.lit(pattern))

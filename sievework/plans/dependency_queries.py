@@ -9,11 +9,7 @@ from ..functions import licenses as L
 from ..functions import versions as V
 from ..operators import advisories as A
 from ..operators import deps as D
-from .scan_queries import table, whole
-
-#: The rows that queries read whose SQL has the same filter; each has a twin, *_all, over the whole table.
-FEW_SUPPLIERS, FEW_ORDERS = "l_suppkey <= 5", "l_orderkey <= 400"
-
+from .scan_queries import table
 
 def _packages(spark, sf_dir):
     """One package a part: its brand as name, and a version of its size and key."""
@@ -99,9 +95,9 @@ def release_signals(spark, sf_dir):
     return D.release_signals(joined, F.lit("1998-08-01 00:00:00").cast("timestamp")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def deps_diff(spark, sf_dir, where=FEW_SUPPLIERS):
+def deps_diff(spark, sf_dir):
     """Lockfiles are suppliers, packages are parts; what they hold before and from 1995 on."""
-    rows = table(spark, sf_dir, "lineitem").where(where).select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("lockfile"), (F.col("l_partkey") % 50).alias("name"), F.concat_ws(".", F.col("l_linenumber").cast("string"), (F.col("l_orderkey") % 5).cast("string"), F.lit("0")).alias("version"), "l_shipdate"
     )
     cut = F.lit("1995-06-01").cast("timestamp")
@@ -185,9 +181,9 @@ def typosquat(spark, sf_dir):
     return D.typosquats(words, POPULAR).select("name", "near")
 
 
-def bom_components(spark, sf_dir, where=FEW_ORDERS):
+def bom_components(spark, sf_dir):
     """Parts depend on the parts of their supplier's next line."""
-    li = table(spark, sf_dir, "lineitem").where(where)
+    li = table(spark, sf_dir, "lineitem")
     name = F.concat(F.lit("part "), (F.col("l_partkey") % 40).cast("string"))
     packages = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("node"), D.purl(F.lit("npm"), name, F.lit("1.0.0+b")).alias("purl"))
     edges = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("src"), F.concat_ws(":", "l_orderkey", (F.col("l_linenumber") + 1).cast("string")).alias("dst"))
@@ -298,7 +294,7 @@ SELECT rule, count(*) AS n FROM (
   UNION ALL SELECT 'RELEASE/Withdrawn' FROM j WHERE withdrawn IS NOT NULL
 ) GROUP BY rule""",
     "deps_diff": """WITH rows AS (
-  SELECT l_suppkey AS lockfile, l_partkey % 50 AS name, l_linenumber || '.' || l_orderkey % 5 || '.0' AS version, [l_linenumber, l_orderkey % 5] AS k, l_shipdate < TIMESTAMP '1995-06-01' AS old FROM lineitem WHERE l_suppkey <= 5
+  SELECT l_suppkey AS lockfile, l_partkey % 50 AS name, l_linenumber || '.' || l_orderkey % 5 || '.0' AS version, [l_linenumber, l_orderkey % 5] AS k, l_shipdate < TIMESTAMP '1995-06-01' AS old FROM lineitem
 ),
 o AS (SELECT DISTINCT lockfile, name, version, k FROM rows WHERE old),
 n AS (SELECT DISTINCT lockfile, name, version, k FROM rows WHERE NOT old),
@@ -340,7 +336,7 @@ SELECT CASE WHEN l THEN 'low' WHEN NOT f THEN 'high' WHEN points = 0 AND a IS NO
 p AS (SELECT * FROM (SELECT unnest({POPULAR}) AS q, unnest(range({len(POPULAR)})) AS o))
 SELECT name, arg_min(q, o) AS near FROM w, p WHERE length(name) BETWEEN 3 AND 12 AND (name = q OR (length(name) >= 5 AND length(q) >= 5 AND levenshtein(name, q) <= 2))
 GROUP BY name HAVING NOT arg_min(q, o) = name""",
-    "bom_components": """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, 'pkg:npm/part%20' || l_partkey % 40 || '@1.0.0%2Bb' AS purl FROM lineitem WHERE l_orderkey <= 400),
+    "bom_components": """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, 'pkg:npm/part%20' || l_partkey % 40 || '@1.0.0%2Bb' AS purl FROM lineitem),
 d AS (SELECT a.purl, list_sort(list_distinct(list(b.purl))) AS t FROM l a JOIN l b ON a.o = b.o AND b.n = a.n + 1 GROUP BY a.purl)
 SELECT DISTINCT l.purl, coalesce(array_to_string(d.t, ','), '') AS depends_on FROM l LEFT JOIN d USING (purl)""",
     "unplanned": """WITH p AS (SELECT p_brand AS name, p_size AS v, p_partkey % 50 = 1 AS git FROM part WHERE p_partkey % 3 <> 0)
@@ -353,5 +349,3 @@ WHERE p_brand NOT IN (SELECT name FROM p WHERE git) AND (p_brand, p_size) NOT IN
   (5, NULL, 'unknown', ''), (6, 'Apache-2.0', 'allowed', ''), (7, 'LGPL-2.1 WITH exception', 'denied', 'LGPL-2.1'), (8, NULL, 'unknown', '')) AS t(m, license, verdict, ids) ON p_partkey % 9 = m GROUP BY ALL""",
     "name_normal": "SELECT '__' || replace(c_name, '#', '._-') || '.' AS name, lower(regexp_replace(replace(c_name, '#', '._-'), '[-_.]+', '-', 'g')) AS normal FROM customer",
 }
-for _name, _where in ((deps_diff, FEW_SUPPLIERS), (bom_components, FEW_ORDERS)):
-    whole(_name, _where, QUERIES, ORACLES)

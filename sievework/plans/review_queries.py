@@ -76,11 +76,6 @@ def _run_together():
 
 
 def blob_longest(spark, sf_dir):
-    """In the first 400 characters, as the SQL has it; blob_longest_all looks through the whole text."""
-    return table(spark, sf_dir, "pages").select("page_id", N.longest_blob(F.substring(_run_together(), 1, 400)).cast("long").alias("longest"))
-
-
-def blob_longest_all(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.longest_blob(_run_together()).cast("long").alias("longest"))
 
 
@@ -142,7 +137,7 @@ w AS (SELECT user_id AS path, ts, event_id, max(ts) OVER (PARTITION BY user_id O
 _LINES = "lines AS (SELECT doc_id, i AS line, l[i] AS c FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i))"
 
 QUERIES = {f.__name__: f for f in (
-    coverage_gate, new_code_coverage, coverage_paths, complexity_score, provenance_share, provenance_tools, tia_select, html_sinks, script_signals, blob_longest, blob_longest_all, workflow_rules, container_rules, manifest_rules,
+    coverage_gate, new_code_coverage, coverage_paths, complexity_score, provenance_share, provenance_tools, tia_select, html_sinks, script_signals, blob_longest, workflow_rules, container_rules, manifest_rules,
     pipeline_merge, watch_changes, watch_phantoms, events_windows,
 )}
 ORACLES = {
@@ -169,7 +164,7 @@ k AS (SELECT DISTINCT array_to_string(string_split(t, '/')[i:], '/') AS stem FRO
 SELECT DISTINCT page_id AS test FROM p WHERE path <> '' AND regexp_replace(regexp_replace(path, '^[./]+', ''), '\.(js|ts|tsx|jsx|py|go|rs)$', '') IN (SELECT stem FROM k WHERE stem <> '')""",
     "html_sinks": r"SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(coalesce(html, ''), '{p}')) AS INT) AS {k}" for k, p in {"script": "<script", "handler": r"\son[a-z]+=", "style": "<style", "frame": "<iframe", "comment": "<!--"}.items()) + " FROM pages",
     "script_signals": "SELECT page_id, array_to_string(list_filter([" + ", ".join("'" + s.replace("'", "''") + "'" for s in N.SCRIPT_SIGNALS) + "], lambda s: contains(coalesce(html, ''), s)), ',') AS signals FROM pages",
-    "blob_longest": """SELECT page_id, list_max([CAST(length(x) AS BIGINT) FOR x IN regexp_extract_all(substr(regexp_replace(coalesce(html, ''), '[^A-Za-z0-9]+', '', 'g'), 1, 400), '[A-Za-z0-9+/=_-]{120,}') IF regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')]) AS longest FROM pages""",
+    "blob_longest": """SELECT page_id, list_max([CAST(length(x) AS BIGINT) FOR x IN regexp_extract_all(regexp_replace(coalesce(html, ''), '[^A-Za-z0-9]+', '', 'g'), '[A-Za-z0-9+/=_-]{120,}') IF regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')]) AS longest FROM pages""",
     "workflow_rules": f"""WITH {_LINES}, t AS (SELECT *, regexp_extract(c, '([0-9a-f]{{40}})', 1) AS tok FROM lines)
 SELECT doc_id, line, 'CI/UnpinnedAction' AS rule FROM t WHERE tok <> '' AND doc_id % 2 = 1 UNION ALL SELECT doc_id, line, 'CI/ExpressionInjection' FROM t WHERE tok = '' AND contains(c, 'Licensed under')""",
     "container_rules": """WITH l AS (SELECT l_orderkey AS o, list(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1),
@@ -191,4 +186,3 @@ UNION ALL SELECT 'toxicity', (SELECT count(*) FROM labels WHERE toxic = 1), 1, '
 SELECT path, min(ts) FILTER (WHERE made) AS created, max(ts) FILTER (WHERE NOT made) AS deleted FROM e GROUP BY path HAVING min(ts) FILTER (WHERE made) < max(ts) FILTER (WHERE NOT made) AND arg_max(made, ts) = false AND arg_min(made, ts)""",
     "events_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
-ORACLES["blob_longest_all"] = ORACLES["blob_longest"].replace("substr(regexp_replace(coalesce(html, ''), '[^A-Za-z0-9]+', '', 'g'), 1, 400)", "regexp_replace(coalesce(html, ''), '[^A-Za-z0-9]+', '', 'g')")

@@ -27,14 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole(query, cut: str, queries: dict, oracles: dict) -> None:
-    """Registers query_all: the query over its whole table, with its SQL less the filter ``cut``."""
-    name, sql = query.__name__, f" WHERE {cut}"
-    assert sql in oracles[name], name
-    queries[f"{name}_all"] = lambda spark, sf_dir: query(spark, sf_dir, "true")
-    oracles[f"{name}_all"] = oracles[name].replace(sql, "")
-
-
 def doc_lines(spark, sf_dir) -> DataFrame:
     return T.lines(table(spark, sf_dir, "documents"), "doc_id")
 

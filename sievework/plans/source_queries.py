@@ -10,20 +10,16 @@ from ..sources import lockfiles as K
 from ..sources import manifests as Y
 from ..sources import patches as P
 from ..sources import registry as R
-from .scan_queries import table, whole
-
-#: The rows that queries read whose SQL has the same filter; each has a twin, *_all, over the whole table.
-FEW_SUPPLIERS, FEW_ORDERS = "l_suppkey <= 20", "l_orderkey <= 300"
-
+from .scan_queries import table
 
 def _joined(order: str, *parts):
     """One text of the rows' parts in order."""
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(*parts).alias("t")))), lambda x: x["t"]), "\n")
 
 
-def _lcov(spark, sf_dir, where="true"):
+def _lcov(spark, sf_dir):
     """One report a supplier, one record a part, one line entry a line item."""
-    li = table(spark, sf_dir, "lineitem").where(where)
+    li = table(spark, sf_dir, "lineitem")
     s = lambda c: F.col(c).cast("string")
     parts = li.groupBy("l_suppkey", "l_partkey").agg(
         F.concat(F.lit("SF:src/p"), F.first(s("l_partkey")), F.lit(".py\n"), _joined("l_orderkey", F.lit("DA:"), s("l_orderkey"), F.lit(","), F.floor("l_quantity").cast("string")), F.lit("\nLH:"),
@@ -32,12 +28,12 @@ def _lcov(spark, sf_dir, where="true"):
     return parts.groupBy(F.col("l_suppkey").alias("report")).agg(_joined("l_partkey", F.col("t")).alias("text"))
 
 
-def lcov_totals(spark, sf_dir, where=FEW_SUPPLIERS):
-    return C.lcov_totals(_lcov(spark, sf_dir, where))
+def lcov_totals(spark, sf_dir):
+    return C.lcov_totals(_lcov(spark, sf_dir))
 
 
-def lcov_lines(spark, sf_dir, where=FEW_SUPPLIERS):
-    return C.lcov_lines(_lcov(spark, sf_dir, where)).groupBy("report").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 25).alias("covered"))
+def lcov_lines(spark, sf_dir):
+    return C.lcov_lines(_lcov(spark, sf_dir)).groupBy("report").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 25).alias("covered"))
 
 
 def cobertura_totals(spark, sf_dir):
@@ -49,26 +45,26 @@ def cobertura_totals(spark, sf_dir):
     return C.cobertura_totals(reports)
 
 
-def _patches(spark, sf_dir, where="true"):
+def _patches(spark, sf_dir):
     """One patch an order, one file a line: two hunks, an added line with plus signs, a removed one."""
     n = F.col("l_linenumber").cast("string")
     body = F.concat(
         F.lit("diff --git a/f"), n, F.lit(".py b/f"), n, F.lit(".py\n--- a/f"), n, F.lit(".py\n+++ b/f"), n, F.lit(".py\n@@ -1,2 +"), F.col("l_partkey").cast("string"),
         F.lit(",3 @@ head\n-old\n+++ counted\n keep\n+if x and y: pass\n@@ -9 +90 @@\n-gone\n+last"),
     )
-    return table(spark, sf_dir, "lineitem").where(where).groupBy(F.col("l_orderkey").alias("patch")).agg(_joined("l_linenumber", body).alias("text"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("patch")).agg(_joined("l_linenumber", body).alias("text"))
 
 
-def patch_lines(spark, sf_dir, where=FEW_ORDERS):
-    return P.diff_lines(_patches(spark, sf_dir, where)).where("kind = '+'").select("patch", "path", "line", "content")
+def patch_lines(spark, sf_dir):
+    return P.diff_lines(_patches(spark, sf_dir)).where("kind = '+'").select("patch", "path", "line", "content")
 
 
-def patch_files(spark, sf_dir, where=FEW_ORDERS):
-    return P.changed_files(P.diff_lines(_patches(spark, sf_dir, where)))
+def patch_files(spark, sf_dir):
+    return P.changed_files(P.diff_lines(_patches(spark, sf_dir)))
 
 
-def patch_complexity(spark, sf_dir, where=FEW_ORDERS):
-    added = P.diff_lines(_patches(spark, sf_dir, where)).where("kind = '+'")
+def patch_complexity(spark, sf_dir):
+    added = P.diff_lines(_patches(spark, sf_dir)).where("kind = '+'")
     return A.complexity_nodes(added)
 
 
@@ -159,7 +155,7 @@ def static_literals(spark, sf_dir):
     return A.literal_lines(_code(spark, sf_dir)).groupBy("content").agg(F.count("*").alias("n"))
 
 
-_LI = "SELECT * FROM lineitem WHERE l_suppkey <= 20"
+_LI = "SELECT * FROM lineitem"
 QUERIES = {f.__name__: f for f in (
     lcov_totals, lcov_lines, cobertura_totals, patch_lines, patch_files, patch_complexity, name_status, lockfile_packages, osv_entries, npm_history, manifest_documents, workflow_checkouts, static_rules, static_literals,
 )}
@@ -167,10 +163,10 @@ ORACLES = {
     "lcov_totals": f"SELECT l_suppkey AS report, 'src/p' || l_partkey || '.py' AS path, count(*) FILTER (WHERE l_quantity > 25) AS hit, count(*) AS found FROM ({_LI}) GROUP BY ALL",
     "lcov_lines": f"WITH l AS (SELECT l_suppkey AS report, l_partkey, l_orderkey, max(CAST(floor(l_quantity) AS VARCHAR)) AS q FROM ({_LI}) GROUP BY ALL) SELECT report, count(*) AS lines, count(*) FILTER (WHERE CAST(q AS BIGINT) > 25) AS covered FROM l GROUP BY report",
     "cobertura_totals": "SELECT CAST(c_nationkey AS INT) AS report, 'c' || c_custkey || '.py' AS path, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS hit, count(*) AS found FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
-    "patch_lines": """WITH l AS (SELECT l_orderkey AS patch, 'f' || l_linenumber || '.py' AS path, CAST(l_partkey AS BIGINT) AS s FROM lineitem WHERE l_orderkey <= 300)
+    "patch_lines": """WITH l AS (SELECT l_orderkey AS patch, 'f' || l_linenumber || '.py' AS path, CAST(l_partkey AS BIGINT) AS s FROM lineitem)
 SELECT patch, path, s AS line, '++ counted' AS content FROM l UNION ALL SELECT patch, path, s + 2, 'if x and y: pass' FROM l UNION ALL SELECT patch, path, 90, 'last' FROM l""",
-    "patch_files": "SELECT l_orderkey AS patch, 'f' || l_linenumber || '.py' AS path, 3 * count(*) AS added, 2 * count(*) AS removed FROM lineitem WHERE l_orderkey <= 300 GROUP BY ALL",
-    "patch_complexity": "SELECT 'f' || l_linenumber || '.py' AS path, 2 * count(*) AS nodes FROM lineitem WHERE l_orderkey <= 300 GROUP BY ALL",
+    "patch_files": "SELECT l_orderkey AS patch, 'f' || l_linenumber || '.py' AS path, 3 * count(*) AS added, 2 * count(*) AS removed FROM lineitem GROUP BY ALL",
+    "patch_complexity": "SELECT 'f' || l_linenumber || '.py' AS path, 2 * count(*) AS nodes FROM lineitem GROUP BY ALL",
     "name_status": "SELECT CASE WHEN p_size % 2 = 0 THEN 'M' ELSE 'R' END AS status, count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 1) AS renamed FROM part GROUP BY 1",
     "lockfile_packages": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 0) AS h, count(DISTINCT p_brand) AS b FROM part)
 SELECT 'PackageLock' AS format, 'npm' AS ecosystem, 'registry' AS source_kind, false AS member, n AS packages, h AS hashed, 0 AS errors FROM n UNION ALL SELECT 'PackageLock', 'npm', 'registry', true, b, 0, 0 FROM n
@@ -189,5 +185,3 @@ SELECT rule, line, count(*) AS n FROM p JOIN (VALUES
 SELECT content, count(*) AS n FROM p JOIN (VALUES (0, NULL, 'eval(2)'), (1, false, 'safe'), (2, NULL, 'unsafe'), (2, NULL, 'ls'), (2, NULL, 'x'), (3, NULL, 'no unwrap() here'), (3, NULL, 'ls')) AS r(k2, when_, content)
 ON k = k2 AND (when_ IS NULL OR when_ = big) GROUP BY content""",
 }
-for _name, _where in ((lcov_totals, FEW_SUPPLIERS), (lcov_lines, FEW_SUPPLIERS), (patch_lines, FEW_ORDERS), (patch_files, FEW_ORDERS), (patch_complexity, FEW_ORDERS)):
-    whole(_name, _where, QUERIES, ORACLES)

@@ -1,4 +1,4 @@
-"""Queries whose registered form reads a subset of ids have a twin that reads the whole table."""
+"""Queries over lineitem read all of it."""
 
 from pathlib import Path
 
@@ -17,13 +17,13 @@ CUT = ["patch_lines", "patch_files", "patch_complexity", "lcov_totals", "lcov_li
 def test_all_of_lineitem(spark, name):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
-    assert "key <=" in ORACLES[name] and "key <=" not in ORACLES[f"{name}_all"]
-    df = QUERIES[f"{name}_all"](spark, SF)
-    theirs = con.execute(ORACLES[f"{name}_all"])
+    assert "key <=" not in ORACLES[name]
+    df = QUERIES[name](spark, SF)
+    theirs = con.execute(ORACLES[name])
     assert bag(df.columns, map(tuple, df.collect())) == bag([d[0] for d in theirs.description], theirs.fetchall())
 
 
 def test_every_order_and_supplier(spark):
     items = spark.read.parquet(f"{SF}/lineitem.parquet")
     for name, key, of in (("patch_lines", "patch", "l_orderkey"), ("patch_files", "patch", "l_orderkey"), ("lcov_totals", "report", "l_suppkey"), ("lcov_lines", "report", "l_suppkey"), ("deps_diff", "lockfile", "l_suppkey")):
-        assert QUERIES[f"{name}_all"](spark, SF).select(key).distinct().count() == items.select(of).distinct().count(), name
+        assert QUERIES[name](spark, SF).select(key).distinct().count() == items.select(of).distinct().count(), name
