@@ -31,13 +31,44 @@ def is_pre(version: Column) -> Column:
     return F.when(version.rlike(SEMVER), F.regexp_extract(version, SEMVER, 4) != "")
 
 
-def in_range(version: Column, events: Column) -> Column:
+# Fixed value: the grammar of Python's versions, in its groups epoch, release, kind and number of a pre-release, two ways to write a post-release, development release and local label.
+PEP440 = (
+    r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]*))?"
+    r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
+)
+
+
+def pep440_key(version: Column) -> Column:
+    """A struct that compares as Python's versions do; null for what is none. Trailing zeros of a release don't count; a
+    development release is below its pre-releases, those below the release, and that below its post-releases; a local label is above its public version."""
+    part = lambda i: F.lower(F.regexp_extract(version, PEP440, i))
+    number = lambda x: F.when(x == "", 0).otherwise(x.cast("decimal(20,0)")).cast("decimal(20,0)")
+    release = F.transform(F.split(F.regexp_replace(part(2), r"(?:\.0+)+$", ""), r"\."), lambda x: x.cast("decimal(20,0)"))
+    post, dev = (part(5) != "") | (part(6) != ""), part(8) != ""
+    kind = F.when(part(3).isin("a", "alpha"), 0).when(part(3).isin("b", "beta"), 1).when(part(3) != "", 2).when(dev & ~post, -1).otherwise(3)
+    label = F.when(part(10) == "", F.array().cast("array<string>")).otherwise(F.split(part(10), "[-_.]"))
+    whole = lambda x: x.rlike("^[0-9]+$")
+    local = F.transform(label, lambda x: F.struct(whole(x).alias("number"), F.when(whole(x), x.cast("decimal(20,0)")).alias("value"), F.when(whole(x), "").otherwise(x).alias("word")))
+    key = F.struct(
+        number(part(1)).alias("epoch"),
+        release.alias("release"),
+        kind.alias("kind"),
+        number(part(4)).alias("pre"),
+        F.when(post, number(F.concat(part(5), part(7)))).otherwise(-1).cast("decimal(20,0)").alias("post"),
+        (~dev).alias("final"),
+        number(part(9)).alias("dev"),
+        local.alias("local"),
+    )
+    return F.when(version.rlike(PEP440), key)
+
+
+def in_range(version: Column, events: Column, order=semver_key) -> Column:
     """Whether events (array of struct<kind, version>) have the version affected: introduced turns on from there, fixed off
     from there, last_affected off after it; "0" comes before all; limit is ignored. Null if a version can't be read."""
-    key = semver_key(version)
+    key = order(version)
     keyed = F.transform(
         F.filter(events, lambda e: e["kind"] != "limit"),
-        lambda e, i: F.struct(F.when(e["version"] == "0", 0).otherwise(1).alias("first"), semver_key(e["version"]).alias("key"), i.alias("i"), e["kind"].alias("kind")),
+        lambda e, i: F.struct(F.when((e["version"] == "0") & (e["kind"] == "introduced"), 0).otherwise(1).alias("first"), order(e["version"]).alias("key"), i.alias("i"), e["kind"].alias("kind")),
     )
     unread = key.isNull() | F.exists(keyed, lambda e: (e["first"] == 1) & e["key"].isNull())
     step = lambda on, e: (
@@ -47,11 +78,15 @@ def in_range(version: Column, events: Column) -> Column:
     return F.when(~unread, folded)
 
 
-def affects(version: Column, versions: Column, ranges: Column) -> Column:
-    """Whether an entry names the version, or a range of it other than GIT holds it: true, false or null for undecidable."""
+def affects(version: Column, versions: Column, ranges: Column, ecosystem: Column | None = None) -> Column:
+    """Whether an entry names the version, or a range of it other than GIT holds it: true, false or null for undecidable.
+    Python's packages order by their own rules, unless a range says SEMVER."""
     bare = F.regexp_replace(version, "^v", "")
     named = F.exists(F.coalesce(versions, F.array().cast("array<string>")), lambda v: F.regexp_replace(v, "^v", "") == bare)
-    ranged = F.exists(F.filter(ranges, lambda r: r["type"] != "GIT"), lambda r: in_range(version, r["events"]))
+    held = lambda r: in_range(version, r["events"])
+    if ecosystem is not None:
+        held = lambda r: F.when((ecosystem == "PyPI") & (r["type"] != "SEMVER"), in_range(version, r["events"], pep440_key)).otherwise(in_range(version, r["events"]))
+    ranged = F.exists(F.filter(ranges, lambda r: r["type"] != "GIT"), held)
     return named | F.coalesce(ranged, F.when(ranges.isNull() | (F.size(ranges) == 0), F.lit(False)))
 
 

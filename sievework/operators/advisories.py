@@ -16,7 +16,7 @@ RANK = {"low": 1, "moderate": 2, "medium": 2, "high": 3, "critical": 4}
 def judged(packages: DataFrame, entries: DataFrame) -> DataFrame:
     """packages x entries of the same ecosystem and name, with ``hit``: true, false, or null for undecidable."""
     keyed = packages.dropDuplicates(["ecosystem", "name", "version"]).withColumn("package_key", V.normal_name(F.col("ecosystem"), F.col("name")))
-    return keyed.join(entries, ["ecosystem", "package_key"]).withColumn("hit", V.affects(F.col("version"), F.col("versions"), F.col("ranges")))
+    return keyed.join(entries, ["ecosystem", "package_key"]).withColumn("hit", V.affects(F.col("version"), F.col("versions"), F.col("ranges"), F.col("ecosystem")))
 
 
 def matches(packages: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,13 @@ def new_code_coverage(added: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.round(percent(F.col("covered"), F.col("covered") + F.col("uncovered")), 6))
 
 
+def new_code_gate(by_file: DataFrame, least: float) -> DataFrame:
+    """One row over all files: the counts, the share of measured added lines that is covered (100 where none is measured), and whether it passes; files only explain."""
+    sums = by_file.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("covered", "uncovered", "unmeasured")))
+    share = F.round(percent(F.col("covered"), F.col("covered") + F.col("uncovered")), 6)
+    return sums.withColumn("percent", share).withColumn("passed", F.col("percent") >= least)
+
+
 def coverage_file(paths: DataFrame, covered: DataFrame) -> DataFrame:
     """For each changed path the coverage file that is it, or ends with it, or which it ends with: exact first, then the longest, then by name.
 

@@ -77,7 +77,10 @@ def ignores(lines: DataFrame, key: str = "path", marker: str = T.MARKER, followi
 
 def scan(files: DataFrame, key: str = "path", text: str = "text", extra: list[tuple[str, str]] | None = None, entropy: bool = True, marker: str = T.MARKER) -> DataFrame:
     """key, line, rule, severity, value and suppressed (null: active, else the reason) of all findings."""
-    rows = ignores(in_key_block(T.lines(files, key, text), key), key, marker)
+    # Only files with a marker or a key block have states that go from line to line; the others' lines stand alone and aren't shuffled.
+    special = F.coalesce(F.col(text).contains(marker) | F.col(text).contains("-----BEGIN") | F.col(text).contains("-----END"), F.lit(False))
+    alone = T.lines(files.where(~special), key, text).withColumns({"pem": F.lit(False), "reason": F.lit(None).cast("string")})
+    rows = alone.unionByName(ignores(in_key_block(T.lines(files.where(special), key, text), key), key, marker))
     found = active_hits(pattern_hits(rows, [(n, p) for n, p, _ in T.PATTERNS] + (extra or []))).select(key, "line", "rule", "value", "reason")
     if entropy:
         found = found.unionByName(entropy_hits(rows).select(key, "line", "rule", "value", "reason"))

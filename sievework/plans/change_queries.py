@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from ..functions import names as M
 from ..functions import versions as V
+from ..operators import advisories as A
 from ..operators import changes as C
 from ..operators import deps as D
 from ..operators import report as R
@@ -167,6 +168,24 @@ def requirement_matrix(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", V.requirement_allows(eco, spec, version).alias("allows"))
 
 
+def advisory_pypi(spark, sf_dir):
+    """Python versions of every shape, in ranges of each kind."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    base = F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"))
+    version = F.concat(F.when(k % 2 == 0, base).otherwise(F.concat(base, F.lit(".0"))), F.element_at(F.array(*map(F.lit, TAILS)), (k % len(TAILS) + 1).cast("int")))
+    packages = p.select(F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("Pkg_"), (k % 3).cast("string")).alias("name"), version.alias("version"), "p_size", "p_partkey")
+    event = lambda kind, v: F.struct(F.lit(kind).alias("kind"), F.lit(v).alias("version"))
+    kind = F.element_at(F.array(F.lit("ECOSYSTEM"), F.lit("SEMVER"), F.lit("GIT")), F.col("id").cast("int") + 1)
+    events = F.array(event("introduced", "0"), event("fixed", "1.20"), event("introduced", "1.30"), event("last_affected", "1.40.0"))
+    entries = spark.range(3).select(
+        F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("pkg-"), F.col("id").cast("string")).alias("package_key"), F.concat(F.lit("P-"), F.col("id").cast("string")).alias("id"), F.array().cast("array<string>").alias("versions"),
+        F.array(F.struct(kind.alias("type"), events.alias("events"))).alias("ranges"),
+    )
+    return A.judged(packages, entries).select("name", "version", "id", "hit")
+
+
+#: Tails of versions, from the lowest: development, alpha, candidate, release, post-release.
+TAILS = (".dev1", "a2", "-RC.1", "", ".post1", "+local.2")
 SPECS = ("^10.2.0", "5 - 20.3", "~30.4", ">=7, <40", ">=12.1,!=15.3.0", "v1.0.0")
 _PK = f"""WITH rows AS (
   SELECT l_suppkey AS lockfile, CAST(l_partkey % 50 AS VARCHAR) AS name, l_linenumber || '.' || l_orderkey % 5 || '.0' AS version, l_linenumber * 10 + l_orderkey % 5 AS k, l_shipdate FROM lineitem
@@ -187,7 +206,7 @@ _ASKED = """WITH q AS (
 
 QUERIES = {f.__name__: f for f in (
     versions_by_name, deps_changed, deps_changes_ordered, review_tally, review_lines, findings_of_changed, advisory_positional, advisories_by_package, ecosystems, lockfile_unresolved, fix_parents, fix_lowest_parent,
-    fix_lowest, fix_guidance, deps_listing, name_pep508, name_npm_range, integrity_digest, purl_qualified, strict_dates, requirement_matrix,
+    fix_lowest, fix_guidance, deps_listing, name_pep508, name_npm_range, integrity_digest, purl_qualified, strict_dates, requirement_matrix, advisory_pypi,
 )}
 ORACLES = {
     "versions_by_name": _PK + " SELECT lockfile, name, string_agg(version, ',' ORDER BY k) AS versions FROM old GROUP BY lockfile, name",
@@ -233,6 +252,11 @@ SELECT lockfile, count(*) AS packages, min_by(text, (name, version)) AS first, m
   || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '@1.0%2Bb' END
   || CASE p_partkey % 3 WHEN 0 THEN '?vcs_url=https%3A%2F%2Fh%2F%C3%A9%3Fa%3D1' || CASE WHEN p_partkey % 2 = 0 THEN '%40rev1' ELSE '' END WHEN 1 THEN '?download_url=https%3A%2F%2Fh%2F%C3%A9%3Fa%3D1' ELSE '' END AS purl FROM part""",
     "strict_dates": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(TRY_CAST('2024-02-' || lpad(CAST(p_partkey % 40 AS VARCHAR), 2, '0') AS DATE) AS VARCHAR) END AS day FROM part",
+    "advisory_pypi": """WITH v AS (
+  SELECT p_partkey % 3 AS i, p_size, p_partkey % 6 AS t, '1.' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '.0' END || ['.dev1', 'a2', '-RC.1', '', '.post1', '+local.2'][p_partkey % 6 + 1] AS version FROM (SELECT DISTINCT ON (p_partkey % 3, p_size, p_partkey % 2, p_partkey % 6) * FROM part)
+)
+SELECT 'Pkg_' || i AS name, version, 'P-' || i AS id, CASE i WHEN 2 THEN false WHEN 1 THEN NULL
+  ELSE p_size < 20 OR (p_size = 20 AND t < 3) OR (p_size > 30 AND p_size < 40) OR (p_size = 30 AND t >= 3) OR (p_size = 40 AND t <= 3) END AS hit FROM v""",
     "requirement_matrix": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size = 10 AND p_partkey % 9 >= 2 WHEN 1 THEN p_size BETWEEN 5 AND 19 OR (p_size = 20 AND p_partkey % 9 <= 3) WHEN 2 THEN p_size = 30 AND p_partkey % 9 = 4 WHEN 3 THEN p_size BETWEEN 7 AND 39
   WHEN 4 THEN (p_size > 12 OR (p_size = 12 AND p_partkey % 9 >= 1)) AND NOT (p_size = 15 AND p_partkey % 9 = 3) ELSE true END AS allows FROM part""",
 }

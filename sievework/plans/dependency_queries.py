@@ -177,7 +177,7 @@ POPULAR = ["thing", "that", "there", "would", "their", "other", "about"]
 
 
 def typosquat(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("name")).where("length(name) between 3 and 12").distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("name")).where("name <> ''").distinct()
     return D.typosquats(words, POPULAR).select("name", "near")
 
 
@@ -334,7 +334,7 @@ q AS (SELECT *, CASE WHEN a < 90 THEN 2 ELSE 0 END + CASE WHEN d < 1000 THEN 1 E
 SELECT CASE WHEN l THEN 'low' WHEN NOT f THEN 'high' WHEN points = 0 AND a IS NOT NULL AND d IS NOT NULL THEN 'low' WHEN points <= 2 THEN 'medium' ELSE 'high' END AS suspicion, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM q GROUP BY 1""",
     "typosquat": f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+')) AS name FROM documents),
 p AS (SELECT * FROM (SELECT unnest({POPULAR}) AS q, unnest(range({len(POPULAR)})) AS o))
-SELECT name, arg_min(q, o) AS near FROM w, p WHERE length(name) BETWEEN 3 AND 12 AND (name = q OR (length(name) >= 5 AND length(q) >= 5 AND levenshtein(name, q) <= 2))
+SELECT name, arg_min(q, o) AS near FROM w, p WHERE name <> '' AND (name = q OR (length(name) >= 5 AND length(q) >= 5 AND levenshtein(name, q) <= 2))
 GROUP BY name HAVING NOT arg_min(q, o) = name""",
     "bom_components": """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, 'pkg:npm/part%20' || l_partkey % 40 || '@1.0.0%2Bb' AS purl FROM lineitem),
 d AS (SELECT a.purl, list_sort(list_distinct(list(b.purl))) AS t FROM l a JOIN l b ON a.o = b.o AND b.n = a.n + 1 GROUP BY a.purl)

@@ -24,11 +24,16 @@ def coverage_gate(spark, sf_dir):
 
 
 def new_code_coverage(spark, sf_dir):
-    hits = _coverage(spark, sf_dir).where("line <= 5").groupBy("path", "line").agg(F.max("hits").alias("hits"))
+    """Lines from the sixth on are in no report: they count as unmeasured."""
+    hits = _coverage(spark, sf_dir).groupBy("path", "line").agg(F.max(F.when(F.col("line") <= 5, F.col("hits"))).alias("hits"))
     added = _coverage(spark, sf_dir).select("path", "line").distinct()
     return V.new_code_coverage(added, hits)
 
 
+def new_code_gate(spark, sf_dir):
+    return V.new_code_gate(new_code_coverage(spark, sf_dir), 60.0)
+
+
 def coverage_paths(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//[^/]+/([^?#]*)", 1).alias("path")).where("path <> ''").distinct()
     files = pages.select(F.concat(F.lit("root/"), "path").alias("path")).unionByName(pages.where("path like 'en/%'").select(F.substr("path", F.lit(4)).alias("path"))).where("path <> ''")
@@ -137,7 +142,7 @@ w AS (SELECT user_id AS path, ts, event_id, max(ts) OVER (PARTITION BY user_id O
 _LINES = "lines AS (SELECT doc_id, i AS line, l[i] AS c FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i))"
 
 QUERIES = {f.__name__: f for f in (
-    coverage_gate, new_code_coverage, coverage_paths, complexity_score, provenance_share, provenance_tools, tia_select, html_sinks, script_signals, blob_longest, workflow_rules, container_rules, manifest_rules,
+    coverage_gate, new_code_coverage, new_code_gate, coverage_paths, complexity_score, provenance_share, provenance_tools, tia_select, html_sinks, script_signals, blob_longest, workflow_rules, container_rules, manifest_rules,
     pipeline_merge, watch_changes, watch_phantoms, events_windows,
 )}
 ORACLES = {
@@ -146,6 +151,11 @@ SELECT CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(found) AS BIGINT) AS found, rou
     "new_code_coverage": f"""WITH a AS (SELECT {PATH} AS path, l_linenumber AS line, max(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS hits FROM lineitem GROUP BY 1, 2)
 SELECT path, count(*) FILTER (WHERE line <= 5 AND hits > 0) AS covered, count(*) FILTER (WHERE line <= 5 AND hits = 0) AS uncovered, count(*) FILTER (WHERE line > 5) AS unmeasured,
   round(coalesce(100.0 * (count(*) FILTER (WHERE line <= 5 AND hits > 0))::DOUBLE / nullif(count(*) FILTER (WHERE line <= 5), 0), 100.0), 6) AS percent FROM a GROUP BY path""",
+    "new_code_gate": f"""WITH f AS (WITH a AS (SELECT {PATH} AS path, l_linenumber AS line, max(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS hits FROM lineitem GROUP BY 1, 2)
+SELECT path, count(*) FILTER (WHERE line <= 5 AND hits > 0) AS covered, count(*) FILTER (WHERE line <= 5 AND hits = 0) AS uncovered, count(*) FILTER (WHERE line > 5) AS unmeasured,
+  round(coalesce(100.0 * (count(*) FILTER (WHERE line <= 5 AND hits > 0))::DOUBLE / nullif(count(*) FILTER (WHERE line <= 5), 0), 100.0), 6) AS percent FROM a GROUP BY path),
+t AS (SELECT CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(uncovered) AS BIGINT) AS uncovered, CAST(sum(unmeasured) AS BIGINT) AS unmeasured FROM f)
+SELECT *, round(coalesce(100.0 * covered::DOUBLE / nullif(covered + uncovered, 0), 100.0), 6) AS percent, round(coalesce(100.0 * covered::DOUBLE / nullif(covered + uncovered, 0), 100.0), 6) >= 60 AS passed FROM t""",
     "coverage_paths": """WITH p AS (SELECT DISTINCT regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS path FROM pages),
 q AS (SELECT path FROM p WHERE path <> ''),
 f AS (SELECT DISTINCT file FROM (SELECT 'root/' || path AS file FROM q UNION ALL SELECT substr(path, 4) FROM q WHERE path LIKE 'en/%') WHERE file <> '')
