@@ -473,3 +473,19 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` with its set's size and its component."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ')) AS s FROM words, unnest(range(1, greatest(len(w) - 2, 2))) AS r(i) WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reached (doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(w.doc_id, (SELECT min(other) FROM reached r WHERE r.doc_id = w.doc_id)), w.doc_id) AS component_id
+FROM words w LEFT JOIN sizes z ON w.doc_id = z.doc_id
+"""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
-from .jaccard import op8_jaccard_join
+from .jaccard import OP8_SQL, op8_jaccard_join
 from .language_id import op1_language_id
 from .license_scan import op5_license_scan
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
 from .quality import op6_quality
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .substring_dedup import OP10_SQL, op10_window_dedup
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_window_dedup": op10_window_dedup,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL}

@@ -242,3 +242,22 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) ->
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` without the 200-byte strings that stand elsewhere too."""
     return dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Bytes as two hexadecimal digits each; a window is named by the MD5 of its digits.
+OP3_SQL = r"""
+WITH bytes AS (SELECT doc_id, row_number() OVER () AS d, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT d, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM bytes, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS r(p)),
+often AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT d, p FROM windows WHERE m IN (SELECT m FROM often)),
+heads AS (SELECT d, p, coalesce(p > lag(p) OVER (PARTITION BY d ORDER BY p) + 200, true) AS head FROM hits),
+runs AS (SELECT d, p, sum(CAST(head AS INT)) OVER (PARTITION BY d ORDER BY p) AS run FROM heads),
+spans AS (SELECT d, run, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY d, run),
+gaps AS (SELECT d, a, b, lag(b) OVER (PARTITION BY d ORDER BY a) AS before FROM spans),
+pieces AS (
+  SELECT g.d, string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (a - coalesce(before, 0))), '' ORDER BY a) AS t, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS last FROM gaps g JOIN bytes y ON g.d = y.d GROUP BY g.d
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM bytes y LEFT JOIN pieces p ON y.d = p.d
+"""
