@@ -3,6 +3,10 @@
 The quality classifier drops what it scores under 0.5; of equal texts one stays, then of near copies one; the
 sources are mixed to their target weights, with documents repeated or left out; and the mix is packed into sequences of at most
 4096 tokens.
+
+Defined cases, in every stage: null text counts as empty; null doc_id is an id of its own, after all others; null source is a source of its own; rows alike in doc_id and text are
+one document for the stages that choose rows; ties go to the smaller doc_id; texts of any length are taken whole; an empty table gives no rows; further columns, whatever
+their names, are carried along unread. Empty texts are dropped or kept by their score, are one group of equal texts, have no near copies, and take no words of the mix.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import exact_dedup, jaccard, mixing, packing, quality
-from sievework.llm.common import materialize
+from sievework.llm.common import materialize, release
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +50,16 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier has no SQL form; tests hold the pipeline against a brute-force version.
+#: The classifier has no SQL form; tests/llm/test_pipeline_run.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return docs
