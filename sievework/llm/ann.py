@@ -47,7 +47,13 @@ EVERY = 50
 K = 5
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True, initial=0))[1])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -212,6 +218,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, the same for equal vectors wherever they stand."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 

@@ -41,6 +41,9 @@ CACHE_WORDS = 800_000
 CACHE_IDS = 4_000_000
 BLOCK = 8 << 20
 
+#: A text with a piece of every kind, by which a vocabulary is tried.
+PROBE = "The Quick-brown fox's 12.5 naïve ÉTÉ über!? #tag_x 2024,\t(end) I'll <b> a==b...\nNext  line 漢字 été"
+
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, place bigint"
 
 
@@ -55,7 +58,8 @@ class WordIds:
     """Ids of texts by way of the pieces that the pre-tokenizer cuts.
 
     In words of ASCII and Latin-1 letters, digits and plain marks, the pieces are runs of letters, single digits and
-    runs of marks, in lower case; the model alone tokenizes those. Every other word goes through the whole tokenizer as it stands.
+    runs of marks, in lower case; the model alone tokenizes those. Every other word goes through the whole tokenizer as it stands,
+    and so do all texts with a vocabulary for which that isn't so.
     """
 
     _shared: dict = {}
@@ -67,6 +71,15 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.tokenizer.model)
         self.reset()
+        # A vocabulary whose pre-tokenizer cuts otherwise goes through the whole tokenizer, text by text.
+        self.whole = False
+        data = np.frombuffer(PROBE.encode(), np.uint8)
+        try:
+            got = self.texts(data, np.array([0, len(data)]), 0)[0][:-1].tolist()
+        except (KeyError, IndexError, ValueError, OverflowError):
+            got = None
+        self.whole = got != self.tokenizer.encode(PROBE, add_special_tokens=False).ids
+        self.reset()
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -110,6 +123,11 @@ class WordIds:
 
     def texts(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row's followed by the end id, and the rows' offsets."""
+        if self.whole:
+            view = memoryview(buf.tobytes())
+            rows = self.tokenizer.encode_batch([str(view[a:b], "utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)
+            each = [np.array([*r.ids, end_id], np.uint32) for r in rows]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.append(0, np.cumsum([len(x) for x in each]))
         if len(self.known) > CACHE_WORDS or self.used > CACHE_IDS:
             self.reset()
         data, bounds, rows = pieces_of(buf, offsets)

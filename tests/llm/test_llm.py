@@ -358,3 +358,27 @@ def test_pipeline_stages(spark):
         if name != "packing":
             docs = spark.createDataFrame(table[name], docs.schema)
     assert sum(r["length"] for r in table["packing"]) > 0
+
+
+def test_cosines_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e300, 0.0]), (2, [1e-200, 1e-200]), (3, [0.0, 2.0])]
+    got = {(r["rank"], r["vec_id"]): r["score"] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[1, 2] == pytest.approx(1.0) and got[2, 1] == got[3, 3] == pytest.approx(0.5**0.5)
+
+
+def test_other_vocabularies_go_through_the_whole_tokenizer():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    assert not packing.WordIds.of(packing.tokenizer_path()).whole
+    texts = ["", "It's 12 Übung", "  two  spaces\n", "plain words"]
+    ((_, _, buf, offsets),) = chunks(pa.array(texts), 1 << 30)
+    for file in Path(packing.tokenizer_path()).parent.glob("*.json"):
+        try:
+            tokenizer = Tokenizer.from_file(str(file))
+        except Exception:  # noqa: BLE001  not every file there is one of this kind
+            continue
+        ids, at = packing.WordIds.of(str(file)).texts(buf, offsets, 7)
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 7], file.name
