@@ -87,6 +87,11 @@ def scan(files: DataFrame, key: str = "path", text: str = "text", extra: list[tu
     return found.select(key, "line", "rule", severity(F.col("rule")).alias("severity"), "value", F.col("reason").alias("suppressed"))
 
 
+def split(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(active, suppressed) findings."""
+    return findings.where("suppressed is null"), findings.where("suppressed is not null")
+
+
 def checked_patterns(extra: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """A project's own patterns, tried in the driver, so that a bad one is an error before anything runs."""
     from pyspark.sql import SparkSession
