@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .static import LANGUAGES, literal_lines
 
 DEFAULT_SEVERITY = "medium"
 
@@ -87,6 +88,20 @@ def scan(files: DataFrame, key: str = "path", text: str = "text", extra: list[tu
     return found.select(key, "line", "rule", severity(F.col("rule")).alias("severity"), "value", F.col("reason").alias("suppressed"))
 
 
+def scan_project(files: DataFrame, extra: list[tuple[str, str]] | None = None, entropy: bool = True, marker: str = T.MARKER) -> DataFrame:
+    """path, line, rule, severity, value and suppressed of all findings where static analysis is on: of source files only the string literals count, each at its
+    first line and suppressed by a marker there, above or below; all other files are scanned by lines."""
+    source = F.coalesce(F.col("path").rlike(r"\.(?:" + "|".join(LANGUAGES) + ")$"), F.lit(False))
+    code = files.where(source)
+    spoken = literal_lines(code)
+    found = active_hits(pattern_hits(spoken, [(n, p) for n, p, _ in T.PATTERNS] + (extra or []))).select("path", "line", "rule", "value")
+    if entropy:
+        found = found.unionByName(entropy_hits(spoken).select("path", "line", "rule", "value"))
+    marked = ignores(T.lines(code.where(F.contains("text", F.lit(marker))), "path"), "path", marker, following=True).where("reason is not null").select("path", "line", F.col("reason").alias("suppressed"))
+    judged = found.withColumn("severity", severity(F.col("rule"))).join(marked, ["path", "line"], "left")
+    return scan(files.where(~source), "path", extra=extra, entropy=entropy, marker=marker).unionByName(judged)
+
+
 def split(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(active, suppressed) findings."""
     return findings.where("suppressed is null"), findings.where("suppressed is not null")
@@ -132,6 +147,20 @@ def image(files: DataFrame, extra: list[tuple[str, str]] | None = None, entropy:
     return found.groupBy("path", "line", "rule", "value", "severity").agg(F.min("layer").alias("layer"))
 
 
+def image_layers(entries: DataFrame) -> DataFrame:
+    """image, layer and at (its place) of the layer archives that the manifests of saved images (image, path, text) name, in either layout, where they are there; of a layer named twice
+    in a row once. An image without a manifest that names any has its layer.tar files, by path. Names that lead outside the archive are none."""
+    schema = "array<struct<Layers: array<string>>>"
+    normal = lambda p: ~p.rlike(r"^/|(?:^|/)\.{1,2}(?:/|$)") & (p != "")
+    named = entries.where("path = 'manifest.json'").select("image", F.posexplode(F.filter(F.flatten(F.filter(F.transform(F.from_json("text", schema), lambda m: m["Layers"]), lambda x: x.isNotNull())), lambda p: p.isNotNull() & normal(p))).alias("at", "layer"))
+    named = named.join(entries.select("image", F.col("path").alias("layer")), ["image", "layer"], "left_semi")
+    order = Window.partitionBy("image").orderBy("at")
+    named = named.withColumn("before", F.lag("layer").over(order)).where("before is null or before <> layer")
+    bare = entries.where(F.col("path").rlike("(?:^|/)layer\\.tar$")).join(named.select("image").distinct(), "image", "left_anti").select("image", F.col("path").alias("layer"))
+    place = lambda df, by: df.withColumn("at", F.row_number().over(Window.partitionBy("image").orderBy(by))).select("image", "layer", "at")
+    return place(named, "at").unionByName(place(bare, "layer"))
+
+
 def image_files(entries: DataFrame, most: int = 1 << 20) -> DataFrame:
     """Files of layers (layer, path, kind, content binary) that are read: no links, no whiteouts, nothing large, nothing binary; with their text."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -271,6 +271,12 @@ QUERIES = {f.__name__: f for f in (
     requirement_allows, name_normal,
 )}
 ORACLES = {
+    "requirement_allows": """WITH p AS (
+  SELECT p_partkey AS k, p_size AS a, p_partkey % 7 AS b, ['^1.2.0', '~2.1', '>=1.0.0 <3.0.0', '1.x || 3.*', '1.0.0 - 2.0.0', 'nonsense'][CAST(p_partkey % 6 AS INT) + 1] AS requirement FROM part
+)
+SELECT requirement, CASE WHEN k % 6 = 5 OR (k % 11 <> 0 AND k % 13 = 0) THEN NULL WHEN k % 11 = 0 THEN false
+  ELSE CASE k % 6 WHEN 0 THEN a = 1 AND b >= 2 WHEN 1 THEN a = 2 AND b = 1 WHEN 2 THEN a IN (1, 2) WHEN 3 THEN a IN (1, 3) ELSE a = 1 OR (a = 2 AND b = 0) END END AS allowed, count(*) AS n
+FROM p GROUP BY ALL""",
     "advisory_match": f"WITH {_PACKAGES} SELECT name, version, id, hit FROM judged",
     "advisory_checks": f"WITH {_PACKAGES} SELECT name, version, count(*) AS undecided, 'incomplete' AS status FROM judged WHERE hit IS NULL GROUP BY ALL",
     "advisory_fixed_in": f"WITH {_PACKAGES} SELECT name, version, CASE WHEN k < [20, 0, 0, 1] THEN '20.0.0' WHEN k < [30, 0, 0, 1] THEN '30.0.0' END AS fixed_in FROM judged WHERE hit",

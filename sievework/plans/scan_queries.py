@@ -229,6 +229,19 @@ QUERIES = {f.__name__: f for f in (
     exception_theta, exception_expiring, suppression_tally, fingerprint, finding_context,
 )}
 ORACLES = {
+    "baseline_shifted": _EXTRA.replace("WITH", "WITH RECURSIVE", 1) + """,
+h AS (SELECT rule, match, line, row_number() OVER (PARTITION BY rule, match ORDER BY line) - 1 AS occurrence FROM head),
+b AS (SELECT rule, match, line, row_number() OVER (PARTITION BY rule, match ORDER BY line) - 1 AS occurrence FROM base),
+entries AS (SELECT rule, match, list(struct_pack(line := line, occ := occurrence)) AS free FROM b GROUP BY ALL),
+step AS (
+  SELECT g.rule, g.match, CAST(-1 AS BIGINT) AS occurrence, CAST(NULL AS BIGINT) AS line, CAST(NULL AS BIGINT) AS base_line, coalesce(free, []) AS free FROM (SELECT DISTINCT rule, match FROM h) g LEFT JOIN entries e ON g.rule = e.rule AND g.match = e.match
+  UNION ALL
+  SELECT rule, match, occurrence, line, best.line, list_filter(free, lambda x: x.line <> best.line OR x.occ <> best.occ) FROM (
+    SELECT h.rule, h.match, h.occurrence, h.line, s.free, list_sort(list_transform(s.free, lambda x: struct_pack(d := abs(x.line - h.line), o := abs(x.occ - h.occurrence), line := x.line, occ := x.occ)))[1] AS best
+    FROM step s JOIN h ON s.rule = h.rule AND s.match = h.match AND h.occurrence = s.occurrence + 1
+  )
+)
+SELECT rule, 'all' AS path, match, line, occurrence, base_line FROM step WHERE occurrence >= 0""",
     "scan_line_index": f"WITH {_LINES} SELECT doc_id, count(*) AS lines, max(length(content)) AS longest FROM lines GROUP BY doc_id",
     "scan_email_raw": f"WITH {_LINES}, {_hits([('e', EMAIL)])} SELECT doc_id, line, value FROM hits",
     "scan_placeholder_split": f"WITH {_LINES}, {_hits([(n, p) for n, p, _ in T.PATTERNS] + EXTRA)} SELECT rule, NOT {_FALSE} AS active, count(*) AS lines FROM hits GROUP BY ALL",

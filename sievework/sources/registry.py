@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,44 @@ def osv_entries(records: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
+#: Parts of a stored index of advisories.
+SHARDS = 256
+
+
+def shard_of(key):
+    """The part of the index that holds a package: the first byte of its key's MD5."""
+    return F.conv(F.substr(F.md5(key), F.lit(1), F.lit(2)), 16, 10).cast("int") % SHARDS
+
+
+def write_index(entries: DataFrame, root: str, version: int) -> None:
+    """Store the entries of an index as a version of its own, a folder a shard. Readers see a version once it is whole."""
+    rows = entries.withColumn("shard", shard_of(F.col("package_key")))
+    # Packages spread over the tasks of their shard, so that a large ecosystem is no bottleneck.
+    rows.repartition("shard", "package_key").sortWithinPartitions("shard", "package_key").write.mode("errorifexists").partitionBy("shard").parquet(f"{root.rstrip('/')}/version={version}")
+
+
+def versions_of(spark, root: str) -> list[int]:
+    """The versions of an index that are whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().removeprefix("version=")) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_index(spark, root: str, packages: list[str] | None = None) -> DataFrame:
+    """The entries of the newest whole version; of packages named, only their shards are read."""
+    versions = versions_of(spark, root)
+    if not versions:
+        raise FileNotFoundError(f"no whole version of an index in {root}")
+    rows = spark.read.parquet(f"{root.rstrip('/')}/version={versions[-1]}")
+    if packages is not None:
+        shards = sorted({int(hashlib.md5(p.encode()).hexdigest()[:2], 16) % SHARDS for p in packages})
+        rows = rows.where(F.col("shard").isin(*shards) & F.col("package_key").isin(*packages))
+    return rows.drop("shard")
+
+
 NPM = "time map<string,string>, versions map<string, struct<scripts: map<string,string>, gypfile: boolean, _npmUser: struct<name: string>, dist: struct<attestations: string>, deprecated: string, license: string, dependencies: map<string,string>>>"
 
 
