@@ -15,7 +15,7 @@ several tasks, and each gets the leaf's queries. Queries are N / 50 and a leaf's
 sample's size, so raise ``SAMPLE`` with the table.
 
 Defined cases: null and zero vectors, and those with null or non-finite components, take no part, as queries or
-as candidates; rows with null ids take none; of rows with the same id each counts, and a query leaves out all rows with its own id; vectors whose length differs
+as candidates; rows with null ids take none; of rows with the same id the nearest counts, and a query leaves out all rows with its own id; vectors whose length differs
 from the most common one take no part; fewer candidates than k are all returned; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -196,13 +196,20 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES
             return pa.table({"vector": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, x = (_matrix(t.column(n).combine_chunks()) for t, n in ((asking, "q"), (held, "v")))
         ids = held.column("vec_id").to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], x[by_id]
+        heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         near = unit(q) @ unit(x).T
-        keep = min(len(ids), k + 1)
+        # Rows of one id take one place.
+        each = near if len(heads) == len(ids) else np.maximum.reduceat(near, heads, axis=1)
+        keep = min(len(heads), k + 1)
         # Whatever comes within rounding of the last place is scored exactly.
-        bar = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep] - 1e-9
+        bar = np.partition(each, len(heads) - keep, axis=1)[:, len(heads) - keep] - 1e-9
         a, b = np.nonzero(near >= bar[:, None])
         score = cosines(q[a], x[b])
-        order = np.lexsort((ids[b], -score, a))
+        order = np.lexsort((-score, ids[b], a))
+        order = order[np.append(True, (a[order][1:] != a[order][:-1]) | (ids[b[order]][1:] != ids[b[order]][:-1]))]
+        order = order[np.lexsort((ids[b[order]], -score[order], a[order]))]
         place = np.arange(len(order)) - np.searchsorted(a[order], a[order])
         order = order[place < keep]
         return pa.table({"vector": asking.column("vector").combine_chunks().take(pa.array(a[order])), "vec_id": pa.array(ids[b[order]]), "score": pa.array(score[order])})
