@@ -4,7 +4,7 @@ Each tree splits a bounded sample of the vectors by hyperplanes across random di
 until a leaf holds about ``LEAF`` of the sample. Every row of the table is then routed to one leaf of each tree. A
 query goes down all trees at once with one priority queue: the subtrees on the far side of a hyperplane wait
 in it by the margins crossed, whichever tree they belong to, and the most promising is opened next, until the
-opened leaves hold ``SEARCH`` rows. Rows and queries meet by leaf, and cosines in double precision
+opened leaves hold enough rows: how many that takes is measured on the sample. Rows and queries meet by leaf, and cosines in double precision
 rank the candidates exactly.
 
 Scale: trees are a bounded size whatever the table. Of rows with one and the same vector, only the k + 1 with
@@ -36,9 +36,11 @@ TREES = 12
 SAMPLE = 16384
 #: Rows of the sample in a leaf.
 LEAF = 128
-#: The opened leaves hold at least this share of the rows together (a row counts in every tree), and at least this number.
-#: Vectors without structure, such as isotropic noise, need so large a share for a recall of 0.95; clustered ones far less.
-SEARCH_SHARE, SEARCH_LEAST = 0.9, 3000
+#: The opened leaves hold at least that share of the rows together (a row counts in every tree) with which the sample's own searches find
+#: this part of their neighbours, and at least this number of rows. Vectors without structure, such as isotropic noise, need over half of the rows; clustered ones far less.
+RECALL, SEARCH_LEAST = 0.95, 3000
+#: Rows of the sample that are searched to find the share.
+TRIALS = 512
 #: Rows of a leaf that one task handles.
 SPLIT = 4096
 #: Directions tried at a node; the one along which the sample spreads most is taken.
@@ -125,6 +127,27 @@ class Forest:
         return found
 
 
+def share_for(forest: Forest, sample: np.ndarray, k: int, recall: float = RECALL, trials: int = TRIALS) -> float:
+    """The share of the rows that searches must open to find ``recall`` of the k nearest, by rows of the sample against all of it.
+
+    A table's neighbours are nearer than its sample's, and nearer ones share leaves more often, so the table needs no more."""
+    x = sample.astype(np.float32)
+    leaf = forest.route(x)
+    sizes = np.bincount(leaf.ravel(), minlength=forest.leaves)
+    needs = [np.zeros(0)]
+    for i in np.random.default_rng(7).permutation(len(x))[:trials]:
+        near = x @ x[i]
+        near[i] = -np.inf
+        keep = min(k, len(x) - 1)
+        best = np.argpartition(-near, keep)[:keep]
+        order = np.array(forest.search(x[i], sizes, len(x) * len(forest.roots) + 1))
+        before = np.empty(forest.leaves, np.int64)
+        before[order] = np.cumsum(sizes[order]) - sizes[order]
+        needs.append(before[leaf[best]].min(1) + 1)
+    needs = np.concatenate(needs)
+    return float(np.quantile(needs, recall, method="higher")) / len(x) if len(needs) else 1.0
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -139,8 +162,8 @@ def taking_part(table: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
 
-def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, sample: int = SAMPLE, share: float = SEARCH_SHARE, least: int = SEARCH_LEAST) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest rows found for every row whose id is divisible by ``every``."""
+def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, sample: int = SAMPLE, share: float | None = None, least: int = SEARCH_LEAST) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest rows found for every row whose id is divisible by ``every``; without a ``share`` of the rows to open, the sample tells it."""
     spark = table.sparkSession
     ship(spark)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -154,7 +177,9 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES
     fitted = distinct.orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()  # ``sample`` rows at most
     if not fitted:
         return spark.createDataFrame([], schema)
-    forest = Forest(unit(np.array([r["v"] for r in fitted])), trees)
+    known = unit(np.array([r["v"] for r in fitted]))
+    forest = Forest(known, trees)
+    share = share_for(forest, known, k) if share is None else share
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
