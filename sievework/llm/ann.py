@@ -149,13 +149,19 @@ def share_for(forest: Forest, sample: np.ndarray, k: int, recall: float = RECALL
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _kind(table: DataFrame) -> str:
+    """What vectors travel as: all arithmetic is in double precision, but floats take half the room."""
+    own = table.schema["embedding"].dataType.simpleString()
+    return own if own == "array<float>" else "array<double>"
+
+
 def taking_part(table: DataFrame) -> DataFrame:
-    """vec_id and v, an array of doubles, of the rows that can be compared."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v, an array of floats where the table has floats, else of doubles, of the rows that can be compared."""
+    v = F.col("embedding").cast(_kind(table))
     good = F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists("v", lambda x: x != 0)
     rows = table.where("vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where(F.coalesce(good, F.lit(False)))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -210,7 +216,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES
 
     # Each distinct query vector once, wherever its copies are asked.
     wanted = asked.select("vector").distinct().join(distinct, "vector").select("vector", "v")
-    visits = wanted.mapInArrow(tidy(search), "leaf bigint, part int, vector bigint, q array<double>")
+    visits = wanted.mapInArrow(tidy(search), f"leaf bigint, part int, vector bigint, q {_kind(table)}")
     many = [int(i) for i in np.flatnonzero(tasks > 1)]
     counts = F.create_map(*[x for i in many for x in (F.lit(i), F.lit(int(tasks[i])))]) if many else None
     spread = F.coalesce(F.element_at(counts, F.col("leaf").cast("int")), F.lit(1)) if many else F.lit(1)
