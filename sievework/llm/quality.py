@@ -9,7 +9,8 @@ didn't see calibrates the scores.
 
 Scale: the context vectors are sums, merged from one small table a task, of a size that doesn't depend on the
 corpus. The corpus is read twice and never shuffled. The network is fitted on at most ``FIT_ROWS``
-labelled rows, those with the smallest hashes of their ids, in the driver.
+labelled rows, those with the smallest hashes of their ids, in the driver; where documents repeat those ids, on at most four
+times as many, by id.
 
 Defined cases: null and empty texts pool to the zero vector and get that vector's score; labels that are null
 or name no document are left out; of repeated labels each counts; without labels, or with labels of
