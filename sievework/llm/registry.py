@@ -1,8 +1,9 @@
-"""The ten queries and their SQL, where SQL can express them."""
+"""The queries and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from .ann import op4_nearest
+from .best_fit import op12_best_fit
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .language_id import op1_language_id
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_source_mix": op9_source_mix,
     "op10_window_dedup": op10_window_dedup,
+    "op12_best_fit": op12_best_fit,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL}
