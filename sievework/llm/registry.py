@@ -8,6 +8,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .language_id import op1_language_id
 from .license_scan import op5_license_scan
+from .merkle import OP11_SQL, op11_manifest
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op7_pack_sequences
 from .quality import op6_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_source_mix": op9_source_mix,
     "op10_window_dedup": op10_window_dedup,
+    "op11_manifest": op11_manifest,
     "op12_best_fit": op12_best_fit,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL, "op11_manifest": OP11_SQL}
