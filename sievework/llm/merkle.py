@@ -350,7 +350,7 @@ def op11_manifest(spark, sf_dir: str) -> DataFrame:
 
 OP11_SQL = r"""
 WITH RECURSIVE rows_ AS (
-  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  SELECT doc_id, source, lang, n_chars, text, doc_id IS NOT NULL AND list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
               lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) % 2 = 1 AS even,
          coalesce('s' || source, '') AS tree
   FROM documents

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op4_nearest
 from .best_fit import op12_best_fit
+from .enrichment import OP13_SQL, op13_enrichment
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .language_id import op1_language_id
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_window_dedup": op10_window_dedup,
     "op11_manifest": op11_manifest,
     "op12_best_fit": op12_best_fit,
+    "op13_enrichment": op13_enrichment,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL, "op11_manifest": OP11_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_source_mix": OP9_SQL, "op10_window_dedup": OP10_SQL, "op11_manifest": OP11_SQL, "op13_enrichment": OP13_SQL}
