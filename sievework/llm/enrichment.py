@@ -102,15 +102,15 @@ class Enricher(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("slot", STATE)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fed = pd.concat(list(rows), ignore_index=True)
         late = fed[fed["kind"] == LATE]
         if len(late):
             yield said(late.assign(rec="late"))
-        yield from self._advance(fed, timer_values.getCurrentWatermarkInMs(), expired=False)
+        yield from self._advance(fed, timerValues.getCurrentWatermarkInMs(), expired=False)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        yield from self._advance(None, timer_values.getCurrentWatermarkInMs(), expired=True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(None, timerValues.getCurrentWatermarkInMs(), expired=True)
 
     def close(self) -> None:
         pass
@@ -343,40 +343,39 @@ WITH changes AS (
   FROM client_changes WHERE valid_at IS NOT NULL
 ),
 arrived AS (
-  SELECT change_id AS id, client_id AS client, op, valid_at AS at, CAST(floor(100 * balance + 0.5) AS BIGINT) AS cents,
+  SELECT change_id AS id, client_id AS client, op, valid_at AS moment, CAST(floor(100 * balance + 0.5) AS BIGINT) AS cents,
          CAST(greatest(0, least(11, floor((floor(epoch(valid_at) / 86400) + CASE WHEN change_id IS NULL THEN 0 ELSE (xor(crc, 4294967295) % 4) END - 19723) * 12 / 152))) AS BIGINT) AS batch
   FROM changes
 ),
 sold AS (
-  SELECT row_number() OVER () AS uid, sale_id AS id, client_id AS client, sold_at AS at,
+  SELECT row_number() OVER () AS uid, sale_id AS id, client_id AS client, sold_at AS moment,
          CAST(greatest(0, least(11, floor((floor(epoch(arrived_at) / 86400) - 19723) * 12 / 152))) AS BIGINT) AS batch
   FROM sales
 ),
-horizons AS (
-  SELECT k, (SELECT max(at) FROM arrived WHERE batch < k) AS changed, (SELECT max(at) FROM sold WHERE batch < k) AS bought,
-         CASE WHEN changed IS NOT NULL AND bought IS NOT NULL THEN least(changed, bought) END AS h
-  FROM range(13) r(k)
+peaks AS (
+  SELECT k, (SELECT max(moment) FROM arrived WHERE batch < k) AS changed, (SELECT max(moment) FROM sold WHERE batch < k) AS bought FROM range(13) r(k)
 ),
-versions AS (SELECT a.*, row_number() OVER () AS v FROM arrived a JOIN horizons ON k = batch WHERE NOT coalesce(at < changed, false)),
+horizons AS (SELECT *, CASE WHEN changed IS NOT NULL AND bought IS NOT NULL THEN least(changed, bought) END AS h FROM peaks),
+versions AS (SELECT a.*, row_number() OVER () AS v FROM arrived a JOIN horizons ON k = batch WHERE NOT coalesce(moment < changed, false)),
 released AS (
-  SELECT s.*, coalesce((SELECT min(k) FROM horizons WHERE k >= s.batch AND k < 12 AND (s.at IS NULL OR s.at < h)), 12) AS out FROM sold s
+  SELECT s.*, coalesce((SELECT min(k) FROM horizons WHERE k >= s.batch AND k < 12 AND (s.moment IS NULL OR s.moment < h)), 12) AS out FROM sold s
 ),
 -- pruned after batch k: all that had come by then, up to its H, but each client's last
 kept AS (
   SELECT v, k FROM (
-    SELECT v, k, at > h OR h IS NULL AS above, row_number() OVER (PARTITION BY client, k, coalesce(at > h, true) ORDER BY at DESC, id DESC NULLS LAST, op DESC NULLS LAST, cents DESC NULLS LAST) AS n
+    SELECT v, k, moment > h OR h IS NULL AS above, row_number() OVER (PARTITION BY client, k, coalesce(moment > h, true) ORDER BY moment DESC, id DESC NULLS LAST, op DESC NULLS LAST, cents DESC NULLS LAST) AS n
     FROM versions JOIN horizons ON k >= batch AND k < 12
   ) WHERE above OR n = 1
 ),
 held AS (SELECT k + 1 AS out, v FROM kept UNION SELECT batch, v FROM versions),
 pairs AS (
-  SELECT s.uid, w.*, row_number() OVER (PARTITION BY s.uid ORDER BY w.at <= s.at DESC NULLS LAST, w.at DESC, w.id DESC NULLS LAST, w.op DESC NULLS LAST, w.cents DESC NULLS LAST) AS n, count(*) OVER (PARTITION BY s.uid) AS n_held,
-         coalesce(w.at <= s.at, false) AS fits
+  SELECT s.uid, w.*, row_number() OVER (PARTITION BY s.uid ORDER BY w.moment <= s.moment DESC NULLS LAST, w.moment DESC, w.id DESC NULLS LAST, w.op DESC NULLS LAST, w.cents DESC NULLS LAST) AS n, count(*) OVER (PARTITION BY s.uid) AS n_held,
+         coalesce(w.moment <= s.moment, false) AS fits
   FROM released s JOIN versions w USING (client) JOIN held h ON h.v = w.v AND h.out = s.out
 )
 SELECT 'sale' AS rec, s.id, s.out AS batch, CAST(coalesce(p.n_held, 0) AS BIGINT) AS n_held,
-       CASE WHEN fits THEN p.id END AS change_id, CASE WHEN fits THEN p.cents END AS balance_cents, CASE WHEN fits THEN p.op END AS op, CASE WHEN fits THEN epoch_us(p.at) END AS version_at
+       CASE WHEN fits THEN p.id END AS change_id, CASE WHEN fits THEN p.cents END AS balance_cents, CASE WHEN fits THEN p.op END AS op, CASE WHEN fits THEN epoch_us(p.moment) END AS version_at
 FROM released s LEFT JOIN pairs p ON p.uid = s.uid AND p.n = 1
 UNION ALL
-SELECT 'late', id, batch, NULL, NULL, NULL, NULL, NULL FROM arrived JOIN horizons ON k = batch WHERE at < changed
+SELECT 'late', id, batch, NULL, NULL, NULL, NULL, NULL FROM arrived JOIN horizons ON k = batch WHERE moment < changed
 """
