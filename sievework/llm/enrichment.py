@@ -1,8 +1,7 @@
 """Valid-time enrichment of sales with the versions of their clients, as a stateful stream with event-time timers.
 
-Both tables arrive in batches. Every row of a batch carries the largest time of its table so far, which is never late, as its event
-time; so a table's watermark is the largest time of its earlier batches, whatever its own rows' times, and Spark's policy for two
-watermarks, the smaller one, yields H. Changes below their table's watermark are late; the others are versions. A sale waits until H
+Both tables arrive in batches. Each batch of a table has a tick, a row whose event time is the table's largest time so far; all other rows have none, so that no row
+is ever late to Spark. A table's watermark is then the largest time of its earlier batches, and Spark's policy for two watermarks, the smaller one, yields H. Changes below their table's watermark are late; the others are versions. A sale waits until H
 has passed it, then takes its client's last version up to its time. Afterwards all versions up to H but each client's last are
 dropped. Both are events at known times, so each slot of the state holds one timer, at the first of them: a slot without new rows is called when its timer expires, and no other.
 The query is started anew for each batch, on one checkpoint; each start runs one micro-batch. The last batch's event time is the end of all time, so that one more start, fed with nothing but a tick, releases what still waits.
@@ -15,12 +14,13 @@ Only the batches' 12 largest times and a count go to the driver.
 
 Defined cases: null valid_at is ignored, and equal changes count once; null sold_at is emitted at once, without a version; a sale without client has none, and such a
 change is a version of no sale; repeated sales are rows of their own; versions of one client, time and change_id are ordered by op and balance, null first; null arrived_at is the last batch, days before the
-first batch belong to it; null balance gives null cents; empty batches and tables run like others; extra columns, whatever their
-names, are ignored. Times are compared in microseconds; watermarks are in whole milliseconds, cut down, and none before 1970 (where they count as minus infinity).
+first batch belong to that; null balance gives null cents; empty batches and tables run like others; extra columns, whatever their
+names, are ignored. Times are compared in microseconds; watermarks are in whole milliseconds, cut down, and lie between 1970 (before which they count as minus infinity) and the end of 2261.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,20 +30,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import settings, shared_root, ship
 
 BATCHES = 12
 FIRST_DAY, DAYS = 19723, 152
 SLOT_ROWS = 1 << 16
-#: 9999-12-31, after which nothing waits.
-END_MS = 253_402_214_400_000
+#: 2262-01-01, the event time after which nothing waits; pandas' times end in that year.
+END_MS = 9_214_646_400_000
 
 VERSION, SALE, LATE, TICK = range(4)
 HAS_ID, HAS_CLIENT, HAS_TIME, HAS_CENTS = 1, 2, 4, 8
 FED = "kind int, has int, uid bigint, id bigint, client bigint, at bigint, op string, cents bigint, wide boolean, bucket bigint, grid_row int, grid_column int, peak timestamp"
-STATE = "versions binary, waiting binary, timer bigint"
+STATE = "versions binary, waiting binary"
 VERSIONS = pa.schema([("client", pa.int64()), ("at", pa.int64()), ("id", pa.int64()), ("has", pa.int32()), ("op", pa.string()), ("cents", pa.int64()), ("pinned", pa.bool_())])
 WAITING = pa.schema([("client", pa.int64()), ("at", pa.int64()), ("id", pa.int64()), ("has", pa.int32()), ("uid", pa.int64()), ("wide", pa.bool_())])
 #: What a slot says: its last version since pruning (of all, where the slot is the client's only one) and, of wide clients, the one left by pruning.
@@ -53,8 +53,6 @@ SAID = "rec string, id bigint, uid bigint, wide boolean, at bigint, held bigint,
 STREAMING = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.multipleWatermarkPolicy": "min",
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
@@ -95,79 +93,59 @@ def _counts(versions: pd.DataFrame, client: np.ndarray) -> np.ndarray:
     return np.searchsorted(own, client, "right") - np.searchsorted(own, client, "left")
 
 
-class Enricher(StatefulProcessor):
-    """A slot's versions and waiting sales."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("slot", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fed = pd.concat(list(rows), ignore_index=True)
-        late = fed[fed["kind"] == LATE]
+def advance(key, fed: Iterator[pd.DataFrame], state: GroupState, last: bool) -> Iterator[pd.DataFrame]:
+    """A slot's part of a batch: its new rows, or an expired timer, against its versions and waiting sales."""
+    before = state.getOption or (None, None)
+    versions, sales = _unpacked(before[0], VERSIONS), _unpacked(before[1], WAITING)
+    if not state.hasTimedOut:
+        rows = pd.concat(list(fed), ignore_index=True)
+        late = rows[rows["kind"] == LATE]
         if len(late):
             yield said(late.assign(rec="late"))
-        yield from self._advance(fed, timerValues.getCurrentWatermarkInMs(), expired=False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(None, timerValues.getCurrentWatermarkInMs(), expired=True)
-
-    def close(self) -> None:
-        pass
-
-    def _advance(self, fed: pd.DataFrame | None, watermark_ms: int, expired: bool) -> Iterator[pd.DataFrame]:
-        before = self.state.get() if self.state.exists() else (None, None, None)
-        versions, sales = _unpacked(before[0], VERSIONS), _unpacked(before[1], WAITING)
-        if fed is not None:
-            new = fed[(fed["kind"] == VERSION)].assign(pinned=False)
-            versions = _sorted(pd.concat([versions, new[VERSIONS.names]], ignore_index=True).astype({"pinned": bool}))
-            sales = pd.concat([sales, fed.loc[fed["kind"] == SALE, WAITING.names]], ignore_index=True).astype({"wide": bool})
-        horizon = watermark_ms * 1000
-        ready = (sales["has"] & HAS_TIME) == 0
-        if watermark_ms > 0:
-            ready |= sales["at"] < horizon
-        if watermark_ms >= END_MS:
-            ready |= True
-        if ready.any():
-            yield self._emitted(versions, sales[ready])
-        sales = sales[~ready]
-        if watermark_ms > 0 and len(versions):
-            versions = pruned(versions, horizon)
-        # The first moment at which a sale is below H, or a version at H or below it.
-        waits = sales["at"].min() // 1000 if len(sales) else None
-        fresh = versions.loc[~versions["pinned"], "at"]
-        ages = -(-fresh.min() // 1000) - 1 if len(fresh) else None
-        timer = min((int(x) for x in (waits, ages) if x is not None), default=None)
-        if before[2] is not None and before[2] != timer and not expired:
-            self.handle.deleteTimer(before[2])
-        if timer is not None and (expired or before[2] != timer):
-            self.handle.registerTimer(timer)
-        if len(versions) or len(sales):
-            self.state.update((_packed(versions, VERSIONS), _packed(sales, WAITING), timer))
-        elif before[0] is not None:
-            self.state.clear()
-
-    @staticmethod
-    def _emitted(versions: pd.DataFrame, sales: pd.DataFrame) -> pd.DataFrame:
-        sales = sales.reset_index(drop=True)
-        client, at, wide = sales["client"].to_numpy(), sales["at"].to_numpy(), sales["wide"].to_numpy()
-        asks = ((sales["has"] & HAS_CLIENT) > 0).to_numpy()
-        dated = asks & ((sales["has"] & HAS_TIME) > 0).to_numpy()
-        fresh, pinned = (versions[x].reset_index(drop=True) for x in (~versions["pinned"], versions["pinned"]))
-        out = sales.assign(rec="sale", held=np.where(asks, np.where(wide, _counts(fresh, client), _counts(versions, client)), 0))
-        for part, prefix, rows in ((versions, "v", dated & ~wide), (fresh, "v", dated & wide), (pinned, "p", asks & wide)):
-            if not rows.any():
-                continue
-            found = last_up_to(part, client[rows], at[rows] if prefix == "v" else np.full(rows.sum(), np.iinfo(np.int64).max))
-            where, found = np.flatnonzero(rows)[found >= 0], found[found >= 0]
-            for name, flag in (("at", 0), ("id", HAS_ID), ("op", 0), ("cents", HAS_CENTS)):
-                column = f"{prefix}_{name}"
-                if column not in out:
-                    out[column] = None if name == "op" else pd.array([pd.NA] * len(out), "Int64")
-                value = part[name].to_numpy()[found]
-                known = (part["has"].to_numpy()[found] & flag) > 0 if flag else np.ones(len(found), bool)
-                out.loc[where[known], column] = value[known]
-        return said(out)
+        new = rows[rows["kind"] == VERSION].assign(pinned=False)
+        versions = _sorted(pd.concat([versions, new[VERSIONS.names]], ignore_index=True).astype({"pinned": bool}))
+        sales = pd.concat([sales, rows.loc[rows["kind"] == SALE, WAITING.names]], ignore_index=True).astype({"wide": bool})
+    watermark = state.getCurrentWatermarkMs()
+    ready = ((sales["has"] & HAS_TIME) == 0) | last
+    if watermark > 0:
+        ready |= sales["at"] < watermark * 1000
+    if ready.any():
+        yield emitted(versions, sales[ready])
+    sales = sales[~ready]
+    if watermark > 0 and len(versions):
+        versions = pruned(versions, watermark * 1000)
+    if len(versions) or len(sales):
+        state.update((_packed(versions, VERSIONS), _packed(sales, WAITING)))
+    elif state.exists:
+        state.remove()
+    # A timer expires once the watermark is above it: a sale must be below the watermark, a version at it or below.
+    fresh = versions.loc[~versions["pinned"], "at"]
+    events = [*([sales["at"].min() // 1000] if len(sales) else []), *([-(-fresh.min() // 1000) - 1] if len(fresh) else [])]
+    if events:
+        state.setTimeoutTimestamp(int(max(min(*events, END_MS - 1), watermark, 1)))
+
+
+def emitted(versions: pd.DataFrame, sales: pd.DataFrame) -> pd.DataFrame:
+    """SAID of sales that wait no longer."""
+    sales = sales.reset_index(drop=True)
+    client, at, wide = sales["client"].to_numpy(), sales["at"].to_numpy(), sales["wide"].to_numpy()
+    asks = ((sales["has"] & HAS_CLIENT) > 0).to_numpy()
+    dated = asks & ((sales["has"] & HAS_TIME) > 0).to_numpy()
+    fresh, pinned = (versions[x].reset_index(drop=True) for x in (~versions["pinned"], versions["pinned"]))
+    out = sales.assign(rec="sale", held=np.where(asks, np.where(wide, _counts(fresh, client), _counts(versions, client)), 0))
+    for part, prefix, rows in ((versions, "v", dated & ~wide), (fresh, "v", dated & wide), (pinned, "p", asks & wide)):
+        if not rows.any():
+            continue
+        found = last_up_to(part, client[rows], at[rows] if prefix == "v" else np.full(rows.sum(), np.iinfo(np.int64).max))
+        where, found = np.flatnonzero(rows)[found >= 0], found[found >= 0]
+        for name, flag in (("at", 0), ("id", HAS_ID), ("op", 0), ("cents", HAS_CENTS)):
+            column = f"{prefix}_{name}"
+            if column not in out:
+                out[column] = None if name == "op" else pd.array([pd.NA] * len(out), "Int64")
+            value = part[name].to_numpy()[found]
+            known = (part["has"].to_numpy()[found] & flag) > 0 if flag else np.ones(len(found), bool)
+            out.loc[where[known], column] = value[known]
+    return said(out)
 
 
 def pruned(versions: pd.DataFrame, horizon: int) -> pd.DataFrame:
@@ -237,22 +215,23 @@ def _fed(rows: DataFrame, peaks: Peaks, kind: Column) -> DataFrame:
     """Rows (batch, id, client, at, and what else the table has) as FED has them, numbers without nulls."""
     has = _has(**{c: F.col(c) for c in ("id", "client", "at", "cents") if c in rows.columns})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") if c in rows.columns else F.lit(0).cast("bigint")
-    peak = F.when(F.col("batch") >= BATCHES - 1, F.lit(END_MS * 1000)).otherwise(F.greatest(F.coalesce(peaks.column(0), F.lit(0)), F.lit(0)))
+    peak = F.when(F.col("batch") >= BATCHES - 1, F.lit(END_MS * 1000)).otherwise(F.least(F.greatest(F.coalesce(peaks.column(0), F.lit(0)), F.lit(0)), F.lit(END_MS * 1000 - 1000)))
+    peak = F.when(kind == TICK, F.timestamp_micros(peak))
     op = F.col("op").cast("string") if "op" in rows.columns else F.lit(None).cast("string")
     return rows.select(
         "batch", kind.cast("int").alias("kind"), has.cast("int").alias("has"), zero("uid").alias("uid"), zero("id").alias("id"), zero("client").alias("client"), zero("at").alias("at"), op.alias("op"), zero("cents").alias("cents"),
-        (F.col("side") > 1).alias("wide"), F.col("bucket").cast("bigint").alias("bucket"), F.col("grid_row").cast("int").alias("grid_row"), F.col("grid_column").cast("int").alias("grid_column"), F.timestamp_micros(peak).alias("peak"),
+        (F.col("side") > 1).alias("wide"), F.col("bucket").cast("bigint").alias("bucket"), F.col("grid_row").cast("int").alias("grid_row"), F.col("grid_column").cast("int").alias("grid_column"), peak.alias("peak"),
     )
 
 
 def _ticks(spark: SparkSession, peaks: Peaks, batches: int) -> DataFrame:
-    """A row for each batch, so that none is empty and each passes the watermark on."""
+    """A row for each batch, so that none is empty; its event time becomes the table's watermark."""
     rows = spark.range(batches).select(F.col("id").cast("int").alias("batch"), F.lit(1).alias("side"), *(F.lit(0).alias(c) for c in ("bucket", "grid_row", "grid_column")))
     return _fed(rows, peaks, F.lit(TICK))
 
 
 def _cut(spark: SparkSession, sales: DataFrame, changes: DataFrame, folder: str) -> None:
-    """Write both tables by batch, each row with its slot and its table's event time."""
+    """Write both tables by batch, each row with its slot, and a tick for each batch."""
     changed = changes.select("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance").where(F.col("valid_at").isNotNull())
     sold = sales.select(F.monotonically_increasing_id().alias("uid"), F.col("sale_id").cast("bigint").alias("id"), F.col("client_id").cast("bigint").alias("client"), micros(sales, "sold_at").alias("at"), batch_of(day_of(micros(sales, "arrived_at"))).alias("batch"))
     shift = F.crc32(F.col("change_id").cast("string").cast("binary")) % 4
@@ -294,11 +273,11 @@ def _deleted(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """SAID for what arrives in the folders of fed rows; the event time ends at the watermark, so that no row is taken for late there."""
+def stream(spark: SparkSession, folder: str, last: bool) -> DataFrame:
+    """SAID for what arrives in the folders of fed rows."""
     tables = [spark.readStream.schema(FED).option("recursiveFileLookup", "true").parquet(f"{folder}/fed/{name}").withWatermark("peak", "0 seconds") for name in ("sales", "changes")]
-    rows = tables[0].unionByName(tables[1]).drop("peak")
-    return rows.groupBy("bucket", "grid_row", "grid_column").transformWithStateInPandas(Enricher(), SAID, "Append", "EventTime")
+    slots = tables[0].unionByName(tables[1]).groupBy("bucket", "grid_row", "grid_column")
+    return slots.applyInPandasWithState(functools.partial(advance, last=last), SAID, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def enrich(sales: DataFrame, changes: DataFrame) -> DataFrame:
@@ -311,7 +290,7 @@ def enrich(sales: DataFrame, changes: DataFrame) -> DataFrame:
         for batch in range(BATCHES + 1):
             for name in ("sales", "changes"):
                 _moved(spark, f"{folder}/cut/{name}/batch={batch}", f"{folder}/fed/{name}/{batch}")
-            out = stream(spark, folder).withColumn("batch", F.lit(batch).cast("bigint"))
+            out = stream(spark, folder, batch == BATCHES).withColumn("batch", F.lit(batch).cast("bigint"))
             query = out.writeStream.format("parquet").option("path", f"{folder}/said").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
     for part in ("cut", "fed", "checkpoint"):
