@@ -1,7 +1,7 @@
 """Static rules over source text: Python by its syntax tree, JavaScript, TypeScript, Go and Rust by lexers.
 
-Only what needs a program's structure runs in Python, one file a call; suppression, severity and thresholds stay columns. Rules for languages without
-a parser here work on text with comments and strings blanked, so they see calls, not trees; the README lists what that leaves out.
+Only what needs a program's structure runs in Python, one file a call; suppression, severity and thresholds stay columns. JavaScript's rules are joins over
+tokens (operators/taint.py). Those of Go and Rust work on text with comments and strings blanked, so they see calls, not trees; the README lists what that leaves out.
 """
 
 from __future__ import annotations
@@ -15,30 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from . import taint
 
 LANGUAGES = {"ts": "js", "tsx": "js", "js": "js", "jsx": "js", "py": "py", "go": "go", "rs": "rs"}
 
 # Rule names, by the shapes that lexed code has.
-JS_RULES = (
-    ("SAST/DangerouslySetInnerHTML", r"\bdangerouslySetInnerHTML\s*=(?!=)"),
-    ("SAST/InnerHTMLAssignment", r"\.\s*innerHTML\s*=(?!=)"),
-    ("SAST/OuterHTMLAssignment", r"\.\s*outerHTML\s*=(?!=)"),
-    ("SAST/EvalUsage", r"(?<![\w.$])eval\s*\("),
-    ("SAST/FunctionConstructor", r"\bnew\s+Function\s*\("),
-    ("SAST/SetTimeoutString", r"(?<![\w.$])setTimeout\s*\(\s*[\"'`]"),
-    ("SAST/SetIntervalString", r"(?<![\w.$])setInterval\s*\(\s*[\"'`]"),
-    ("SAST/ChildProcessExec", r"\.\s*exec\s*\("),
-    ("SAST/ChildProcessExecSync", r"\.\s*execSync\s*\("),
-    ("SAST/ChildProcessSpawn", r"\.\s*spawn\s*\("),
-    ("SAST/ChildProcessExecFile", r"\.\s*execFile\s*\("),
-    ("SAST/DocumentWrite", r"(?<![\w.$])document\s*\.\s*write\s*\("),
-    ("SAST/DocumentWriteln", r"(?<![\w.$])document\s*\.\s*writeln\s*\("),
-)
 GO_RULES = (("SAST/GoUnsafe", r'(?m)^\s*(?:import\s+)?(?:\w+\s+)?"unsafe"'), ("SAST/GoExecCommand", r"\bexec\s*\.\s*Command\s*\("), ("SAST/GoPanic", r"(?<![\w.])panic\s*\("))
 RUST_RULES = (("SAST/RustUnsafeBlock", r"\bunsafe\s*\{"), ("SAST/RustCommandNew", r"\bCommand\s*::\s*new\s*\("), ("SAST/RustUnwrap", r"\.\s*unwrap\s*\(\s*\)"), ("SAST/RustExpect", r"\.\s*expect\s*\("))
-# Where untrusted values come from, and what makes them safe.
-SOURCES = r"(?:\b(?:req|request|ctx)\s*\.\s*(?:body|query|params|headers|cookies|url)|\blocation\s*\.\s*(?:search|hash|href)|\bwindow\s*\.\s*name|\bdocument\s*\.\s*(?:URL|referrer|cookie)|\bprocess\s*\.\s*argv|\bevent\s*\.\s*data|\bprompt\s*\()"
-SANITIZERS = r"(?:DOMPurify\s*\.\s*sanitize|sanitizeHtml|escapeHtml|encodeURIComponent|encodeURI|parseInt|Number)\s*\("
 NODES = {"js": r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.?])", "go": r"\b(?:if|for|case)\b|&&|\|\|", "rs": r"\b(?:if|for|while|loop)\b|=>|&&|\|\|", "py": r"\b(?:if|elif|for|while|except|and|or)\b"}
 LIMITS = {"LongFunction": 50, "TooManyParameters": 5, "DeepNesting": 4}
 
@@ -86,39 +69,6 @@ def _python(text: str) -> Iterator[tuple[str, int]]:
             yield "SAST/PythonSubprocessShell", n.lineno
 
 
-def tainted_names(code: str) -> tuple[set[str], set[str]]:
-    """(tainted, safe) variables of a file, by a fixpoint over its assignments."""
-    pairs = re.findall(r"\b(?:const|let|var)?\s*([A-Za-z_$][\w$]*)\s*=(?!=|>)\s*([^;\n]+)", code)
-    tainted: set[str] = set()
-    while True:
-        more = {n for n, v in pairs if n not in tainted and not re.search(SANITIZERS, v) and (re.search(SOURCES, v) or any(re.search(rf"(?<![\w.$]){re.escape(t)}(?![\w$])", v) for t in tainted))}
-        if not more:
-            break
-        tainted |= more
-    safe = {n for n, v in pairs if re.match(r"^\s*(?:\"[^\"]*\"|'[^']*'|`[^`$]*`|[0-9.]+|true|false|null)\s*$", v) or re.match(rf"^\s*{SANITIZERS}", v)}
-    return tainted, safe
-
-
-def _javascript(text: str) -> Iterator[tuple[str, int]]:
-    code = blanked(text, "js")
-    tainted, safe = tainted_names(code)
-    for rule, pattern in JS_RULES:
-        for m in re.finditer(pattern, code):
-            line = code.count("\n", 0, m.start()) + 1
-            value = re.match(r"[^;\n]*", code[m.end() :])[0].strip().rstrip(")}").strip()
-            if "HTML" in rule or "DocumentWrite" in rule:
-                # Literals, sanitised values and names that only ever hold those are no sinks.
-                if re.fullmatch(r"(?:\"\s*\"|'\s*'|`[^`$]*`)", value) or re.match(SANITIZERS, value) or value in safe - tainted:
-                    continue
-            if rule == "SAST/ChildProcessExec":
-                # A regular expression's or a query's exec is no shell.
-                receiver = re.search(r"([\w$)/\]]+)\s*$", code[: m.start()])
-                if receiver and (receiver[1].endswith("/") or re.search(r"(?i)(?:re|regex|regexp|pattern|query|cursor|db|stmt)$", receiver[1])):
-                    continue
-            marked = bool(re.search(SOURCES, value)) or any(re.search(rf"(?<![\w.$]){re.escape(t)}(?![\w$])", value) for t in tainted)
-            yield (f"{rule} [tainted]" if marked else rule), line
-
-
 def functions_of(text: str, language: str) -> list[tuple[str, int, int, int, int]]:
     """(name, line, lines, parameters, depth) of a JavaScript or Python file's functions."""
     if language == "py":
@@ -146,7 +96,7 @@ def functions_of(text: str, language: str) -> list[tuple[str, int, int, int, int
 
 
 def scan_text(path: str, text: str) -> list[tuple[str, int]]:
-    """(rule, line) of a source file, complexity rules with their measurement."""
+    """(rule, line) of a source file, complexity rules with their measurement; JavaScript's other rules are in operators/taint.py."""
     language = LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) if "." in path else None
     if language is None:
         return []
@@ -156,7 +106,7 @@ def scan_text(path: str, text: str) -> list[tuple[str, int]]:
         except (SyntaxError, ValueError, RecursionError):
             out = []
     elif language == "js":
-        out = list(_javascript(text))
+        out = []
         for name, line, size, parameters, depth in functions_of(text, "js"):
             for rule, n in (("LongFunction", size), ("TooManyParameters", parameters), ("DeepNesting", depth)):
                 if n > LIMITS[rule]:
@@ -179,7 +129,9 @@ def scan(files: DataFrame, key: str = "path") -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(p, line, rule) for p, t in zip(b["path"], b["text"], strict=True) for rule, line in scan_text(p, t or "")], columns=["path", "line", "rule"])
 
-    return files.select(F.col(key).alias("path"), "text").mapInPandas(run, "path string, line int, rule string")
+    named = files.select(F.col(key).alias("path"), "text")
+    script = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*(e for e, of in LANGUAGES.items() if of == "js"))
+    return named.mapInPandas(run, "path string, line int, rule string").unionByName(taint.scan(named.where(script)))
 
 
 def literal_lines(files: DataFrame) -> DataFrame:
