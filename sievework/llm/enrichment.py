@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .common import settings, shared_root, ship
+from .common import materialize, release, settings, shared_root, ship
 
 BATCHES = 12
 FIRST_DAY, DAYS = 19723, 152
@@ -243,6 +243,7 @@ def _cut(spark: SparkSession, sales: DataFrame, changes: DataFrame, folder: str)
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = F.lit(-(-total // SLOT_ROWS) or 1)
     wide = sizes.where(F.col("client").isNotNull() & (F.col("n") > SLOT_ROWS)).select("client", F.ceil(F.sqrt(F.col("n") / SLOT_ROWS)).cast("int").alias("side"))
+    wide = materialize(wide, "wide-clients")  # few and of a known size: Spark broadcasts them where they are small enough
     late = F.col("at") < change_peaks.column(1)
     alone = F.col("client").isNull() | F.coalesce(F.col("late"), F.lit(False))  # asks no version, or isn't one
     bucket = F.when(alone, F.pmod(F.xxhash64("id", "at"), buckets)).when(F.col("side") > 1, F.xxhash64("client")).otherwise(F.pmod(F.xxhash64("client"), buckets))
@@ -257,6 +258,7 @@ def _cut(spark: SparkSession, sales: DataFrame, changes: DataFrame, folder: str)
 
     dealt(sold.withColumn("late", F.lit(False)), "sales", F.xxhash64("uid"), "grid_row", "grid_column")
     dealt(rows.withColumn("late", F.coalesce(late, F.lit(False))).where("late or client is not null"), "changes", F.xxhash64("id", "at"), "grid_column", "grid_row")
+    release(wide)
 
 
 def _moved(spark: SparkSession, source: str, target: str) -> None:
