@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -27,8 +27,13 @@ def semver_key(version: Column) -> Column:
     return F.when(version.rlike(SEMVER), key)
 
 
-def is_pre(version: Column) -> Column:
-    return F.when(version.rlike(SEMVER), F.regexp_extract(version, SEMVER, 4) != "")
+def is_pre(version: Column, ecosystem: Column | None = None) -> Column:
+    """Whether a version is a pre-release, or one of Python's development releases."""
+    semver = F.when(version.rlike(SEMVER), F.regexp_extract(version, SEMVER, 4) != "")
+    if ecosystem is None:
+        return semver
+    python = F.when(version.rlike(PEP440), (F.regexp_extract(version, PEP440, 3) != "") | (F.regexp_extract(version, PEP440, 8) != ""))
+    return F.when(ecosystem == "PyPI", python).otherwise(semver)
 
 
 # Fixed value: the grammar of Python's versions, in its groups epoch, release, kind and number of a pre-release, two ways to write a post-release, development release and local label.
@@ -62,6 +67,22 @@ def pep440_key(version: Column) -> Column:
     return F.when(version.rlike(PEP440), key)
 
 
+def order_key(version: Column, ecosystem: Column | None = None) -> Column:
+    """A struct that compares as the ecosystem's versions do: Python's by their own rules, all others, and those of no stated ecosystem, by SemVer. Keys of one ecosystem compare; null for what is no version."""
+    semver = semver_key(version)
+    if ecosystem is None:
+        return semver
+    python = pep440_key(version)
+    return F.when(ecosystem == "PyPI", F.when(python.isNotNull(), F.struct(F.lit(None).cast("int").alias("_"), python.alias("python"), F.when(F.lit(False), semver).alias("semver")))).otherwise(
+        F.when(semver.isNotNull(), F.struct(F.lit(None).cast("int").alias("_"), F.when(F.lit(False), python).alias("python"), semver.alias("semver")))
+    )
+
+
+def stated(rows: DataFrame) -> Column | None:
+    """The rows' ecosystem, where they state one."""
+    return F.col("ecosystem") if "ecosystem" in rows.columns else None
+
+
 def in_range(version: Column, events: Column, order=semver_key) -> Column:
     """Whether events (array of struct<kind, version>) have the version affected: introduced turns on from there, fixed off
     from there, last_affected off after it; "0" comes before all; limit is ignored. Null if a version can't be read."""
@@ -90,11 +111,25 @@ def affects(version: Column, versions: Column, ranges: Column, ecosystem: Column
     return named | F.coalesce(ranged, F.when(ranges.isNull() | (F.size(ranges) == 0), F.lit(False)))
 
 
-def lowest_fix(version: Column, events: Column) -> Column:
+def lowest_fix(version: Column, events: Column, ecosystem: Column | None = None) -> Column:
     """The lowest fixed version above this one."""
-    key = semver_key(version)
-    fixes = F.filter(events, lambda e: (e["kind"] == "fixed") & (semver_key(e["version"]) > key))
-    return F.array_min(F.transform(fixes, lambda e: F.struct(semver_key(e["version"]).alias("key"), e["version"].alias("version"))))["version"]
+    k = lambda v: order_key(v, ecosystem)
+    fixes = F.filter(events, lambda e: (e["kind"] == "fixed") & (k(e["version"]) > k(version)))
+    return F.array_min(F.transform(fixes, lambda e: F.struct(k(e["version"]).alias("key"), e["version"].alias("version"))))["version"]
+
+
+def fixed_after(version: Column, ranges: Column, ecosystem: Column) -> Column:
+    """The lowest fix above a version in the ranges (struct<type, events>) other than GIT that hold it or can't be judged: the fix of its own line of releases.
+
+    Where none is above it and a version couldn't be read, the first fix of all ranges."""
+    own = F.filter(ranges, lambda r: r["type"] != "GIT")
+    held = F.filter(own, lambda r: F.coalesce(F.when((ecosystem == "PyPI") & (r["type"] != "SEMVER"), in_range(version, r["events"], pep440_key)).otherwise(in_range(version, r["events"])), F.lit(True)))
+    k = lambda v, r: order_key(v, F.when(r["type"] == "SEMVER", F.lit("")).otherwise(ecosystem))
+    fixes = F.flatten(F.transform(held, lambda r: F.transform(F.filter(r["events"], lambda e: e["kind"] == "fixed"), lambda e: F.struct(k(e["version"], r).alias("key"), e["version"].alias("version"), k(version, r).alias("now")))))
+    best = F.array_min(F.filter(fixes, lambda f: f["key"] > f["now"]))["version"]
+    unread = F.exists(fixes, lambda f: f["key"].isNull()) | F.exists(held, lambda r: k(version, r).isNull())
+    first = F.filter(F.flatten(F.transform(ranges, lambda r: r["events"])), lambda e: e["kind"] == "fixed")
+    return F.coalesce(best, F.when(unread & (F.size(first) > 0), F.get(first, F.lit(0))["version"]))
 
 
 def normal_name(ecosystem: Column, name: Column) -> Column:

@@ -66,6 +66,6 @@ def at_least(severity, threshold: str):
 def safe_targets(findings: DataFrame, entries: DataFrame) -> DataFrame:
     """For each affected package the versions that fix something, lie above it, and that no entry affects."""
     fixed = findings.select("ecosystem", "package_key", "version", F.explode(F.flatten(F.transform("ranges", lambda r: F.filter(r["events"], lambda e: e["kind"] == "fixed")))).alias("e"))
-    above = fixed.where(V.semver_key(F.col("e.version")) > V.semver_key(F.col("version"))).select("ecosystem", "package_key", F.col("version").alias("current"), F.col("e.version").alias("version")).distinct()
-    bad = above.join(entries, ["ecosystem", "package_key"]).where(F.coalesce(V.affects(F.col("version"), F.col("versions"), F.col("ranges")), F.lit(True))).select("ecosystem", "package_key", "current", "version")
+    above = fixed.where(V.order_key(F.col("e.version"), F.col("ecosystem")) > V.order_key(F.col("version"), F.col("ecosystem"))).select("ecosystem", "package_key", F.col("version").alias("current"), F.col("e.version").alias("version")).distinct()
+    bad = above.join(entries, ["ecosystem", "package_key"]).where(F.coalesce(V.affects(F.col("version"), F.col("versions"), F.col("ranges"), F.col("ecosystem")), F.lit(True))).select("ecosystem", "package_key", "current", "version")
     return above.join(bad.distinct(), ["ecosystem", "package_key", "current", "version"], "left_anti")

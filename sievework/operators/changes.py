@@ -10,8 +10,8 @@ from .deps import KINDS
 
 
 def versions_by_name(packages: DataFrame) -> DataFrame:
-    """lockfile, name and the distinct versions, in order."""
-    v = F.array_sort(F.collect_set(F.struct(V.semver_key(F.col("version")).alias("k"), F.col("version").alias("v"))))
+    """lockfile, name and the distinct versions, in order; by the ecosystem's rules where packages state one."""
+    v = F.array_sort(F.collect_set(F.struct(V.order_key(F.col("version"), V.stated(packages)).alias("k"), F.col("version").alias("v"))))
     return packages.groupBy("lockfile", "name").agg(F.transform(v, lambda x: x["v"]).alias("versions"))
 
 
@@ -19,7 +19,7 @@ def changed(packages: DataFrame, previous: DataFrame) -> DataFrame:
     """Packages whose version their name didn't have before, once each, with ``replaces``: the highest version it had, or null."""
     keys = ["lockfile", "name", "version"]
     new = packages.select(*keys).distinct().join(previous.select(*keys), keys, "left_anti")
-    old = previous.groupBy("lockfile", "name").agg(F.max_by("version", F.struct(V.semver_key(F.col("version")), "version")).alias("replaces"))
+    old = previous.groupBy("lockfile", "name").agg(F.max_by("version", F.struct(V.order_key(F.col("version"), V.stated(previous)), "version")).alias("replaces"))
     return new.join(old, ["lockfile", "name"], "left")
 
 
@@ -68,8 +68,9 @@ def parents(edges: DataFrame, vulnerable: DataFrame) -> DataFrame:
 def lowest_parent(releases: DataFrame, targets: DataFrame) -> DataFrame:
     """For each parent (parent, version now, dep) the lowest release above it that permits a target of dep. releases: parent, release,
     dep, low and high: the versions of dep that it admits, from low up to high; pre-releases are taken only from pre-releases."""
-    k = V.semver_key
-    above = releases.where((k(F.col("release")) > k(F.col("version"))) & (V.is_pre(F.col("version")) | ~V.is_pre(F.col("release"))))
+    ecosystem = V.stated(releases)
+    k = lambda v: V.order_key(v, ecosystem)
+    above = releases.where((k(F.col("release")) > k(F.col("version"))) & (V.is_pre(F.col("version"), ecosystem) | ~V.is_pre(F.col("release"), ecosystem)))
     fits = above.join(targets, "dep").where((k(F.col("target")) >= k(F.col("low"))) & (k(F.col("target")) < k(F.col("high"))))
     return fits.groupBy("parent", "version", "dep").agg(F.min_by("release", k(F.col("release"))).alias("to"))
 
@@ -90,6 +91,6 @@ def guidance(vulnerable: DataFrame, requirements: DataFrame, upgrades: DataFrame
 
 def lowest_fix(entries: DataFrame) -> DataFrame:
     """For each package the lowest of its advisories' fixes above its version, and how many have none."""
-    k = V.semver_key
+    k = lambda v: V.order_key(v, V.stated(entries))
     above = F.when(k(F.col("fixed")) > k(F.col("version")), F.col("fixed"))
     return entries.groupBy("name", "version").agg(F.min_by(above, k(above)).alias("fix"), F.count_if(above.isNull()).alias("without"))

@@ -15,14 +15,19 @@ KINDS = ("Added", "Upgraded", "Downgraded", "Removed")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """lockfile, name, from_version, to_version and kind: versions on both sides drop out, the others pair up by name in version order, leftovers are added or removed."""
-    keys = ["lockfile", "name", "version"]
-    by = Window.partitionBy("lockfile", "name").orderBy(V.semver_key(F.col("version")), "version")
+    """lockfile, name, from_version, to_version and kind: versions on both sides drop out, the others pair up by name in version order, leftovers are added or removed.
+
+    Where both sides state an ecosystem, it belongs to the name and its rules order the versions."""
+    both_state = "ecosystem" in old.columns and "ecosystem" in new.columns
+    name = ["lockfile", *(["ecosystem"] if both_state else []), "name"]
+    keys = [*name, "version"]
+    key = lambda c: V.order_key(F.col(c), F.col("ecosystem") if both_state else None)
+    by = Window.partitionBy(*name).orderBy(key("version"), "version")
     left, right = (a.select(*keys).distinct().join(b.select(*keys), keys, "left_anti").withColumn("k", F.row_number().over(by)) for a, b in ((old, new), (new, old)))
-    both = left.withColumnRenamed("version", "from_version").join(right.withColumnRenamed("version", "to_version"), ["lockfile", "name", "k"], "full_outer")
-    up = V.semver_key(F.col("to_version")) >= V.semver_key(F.col("from_version"))
+    both = left.withColumnRenamed("version", "from_version").join(right.withColumnRenamed("version", "to_version"), [*name, "k"], "full_outer")
+    up = key("to_version") >= key("from_version")
     kind = F.when(F.col("from_version").isNull(), "Added").when(F.col("to_version").isNull(), "Removed").when(F.coalesce(up, F.lit(True)), "Upgraded").otherwise("Downgraded")
-    return both.select("lockfile", "name", "from_version", "to_version", kind.alias("kind"))
+    return both.select(*name, "from_version", "to_version", kind.alias("kind"))
 
 
 def why(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -42,11 +47,12 @@ def why(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def why_sql(edges: str, roots: str, most: int = 12) -> str:
-    """The same distances as one recursive query over views, for trees of at most ``most`` levels: deeper nodes have no row, unlike in ``why``."""
+def why_sql(edges: str, roots: str) -> str:
+    """The same distances as one recursive query over views, for trees: it goes by paths, and has no bound of its own. Trees deeper than the session's
+    spark.sql.cteRecursionLevelLimit, cycles, and graphs with more paths than its row limit raise; ``why`` takes them all."""
     return f"""WITH RECURSIVE reach (node, depth) AS (
   SELECT node, 0 FROM {roots} UNION ALL
-  SELECT e.dst, r.depth + 1 FROM reach r JOIN {edges} e ON e.src = r.node WHERE r.depth < {most}
+  SELECT e.dst, r.depth + 1 FROM reach r JOIN {edges} e ON e.src = r.node
 ) SELECT node, min(depth) AS depth FROM reach GROUP BY node"""
 
 
@@ -60,17 +66,20 @@ def orphans(nodes: DataFrame, reached: DataFrame) -> DataFrame:
 
 def previous_release(releases: DataFrame) -> DataFrame:
     """releases with ``previous``: the highest version below; pre-releases are the previous of pre-releases only."""
-    keyed = releases.withColumn("k", V.semver_key(F.col("version"))).withColumn("pre", V.is_pre(F.col("version")))
+    keyed = releases.withColumn("k", V.order_key(F.col("version"), V.stated(releases))).withColumn("pre", V.is_pre(F.col("version"), V.stated(releases)))
     before = Window.partitionBy("package").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     stable = F.last(F.when(~F.col("pre"), F.col("version")), ignorenulls=True).over(before)
     return keyed.withColumn("previous", F.when(F.col("pre"), F.last("version", ignorenulls=True).over(before)).otherwise(stable)).drop("k", "pre")
 
 
 def earlier_publishers(releases: DataFrame) -> DataFrame:
-    """releases with ``earlier``: the distinct publishers of lower versions, sorted."""
-    keyed = releases.withColumn("k", V.semver_key(F.col("version")))
+    """releases with ``earlier``: the distinct publishers of lower versions, sorted.
+
+    Only each publisher's lowest release adds to what comes later, so the running list grows with a package's publishers, not its releases."""
+    keyed = releases.withColumn("k", V.order_key(F.col("version"), V.stated(releases)))
+    own = keyed.withColumn("new", F.when(F.row_number().over(Window.partitionBy("package", "publisher").orderBy("k")) == 1, F.col("publisher")))
     before = Window.partitionBy("package").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.withColumn("earlier", F.array_sort(F.collect_set("publisher").over(before))).drop("k")
+    return own.withColumn("earlier", F.array_sort(F.collect_list("new").over(before))).drop("k", "new")
 
 
 def release_signals(releases: DataFrame, now: Column, cooldown_hours: int = 24) -> DataFrame:
