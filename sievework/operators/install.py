@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import settled, ship
 from . import lint as N
+from . import shell
 
 # What Python files hold that reach for a shell, the network, secrets or hidden code.
 PYTHON_SIGNALS = (
@@ -222,20 +223,6 @@ def hook_decision(installs: Column, findings: Column, unfinished: Column, warnin
     return F.when(installs == 0, F.lit(None)).when(findings > 0, "deny").when((unfinished > 0) | (warnings > 0), "ask").otherwise(clean)
 
 
-# Package managers whose commands install, and the words that do.
-INSTALLERS = ("npm", "pnpm", "yarn", "bun", "pip", "uv", "cargo", "poetry")
-INSTALL_WORDS = ("install", "i", "add", "ci")
-
-
-def commands(line: Column) -> Column:
-    """The simple commands of a shell line, without assignments and wrappers before them."""
-    parts = F.transform(F.split(line, r"&&|\|\||[;|\n]"), lambda p: F.regexp_replace(F.trim(p), r"^(?:(?:[A-Za-z_][A-Za-z0-9_]*=\S*|sudo|env|time|nohup|command)\s+)+", ""))
-    return F.filter(parts, lambda p: p != "")
-
-
 def screened(lines: DataFrame, column: str = "command") -> DataFrame:
-    """One row an install command found in shell lines: manager, names (version parts cut off), and ``unchecked`` where the shell computes its arguments."""
-    words = F.filter(F.split("c", r"\s+"), lambda w: w != "")
-    rows = lines.withColumn("c", F.explode(commands(F.col(column)))).withColumn("w", words).where(F.get("w", F.lit(0)).isin(*INSTALLERS) & F.get("w", F.lit(1)).isin(*INSTALL_WORDS))
-    bare = F.transform(F.filter(F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))), lambda w: ~w.startswith("-")), lambda w: F.regexp_replace(F.regexp_replace(w, "^[\"']|[\"']$", ""), r"(?<=.)(?:@|==|>=|~=).*$", ""))
-    return rows.select(*lines.columns, F.get("w", F.lit(0)).alias("manager"), bare.alias("names"), F.col("c").rlike(r"\$[({A-Za-z]|`").alias("unchecked"))
+    """One row an install command found in shell lines: folder, manager, names (version parts cut off), ``unchecked`` where it can't be planned, and why."""
+    return shell.installs(lines, column).select(*lines.columns, "folder", "manager", "names", F.col("why").isNotNull().alias("unchecked"), "why")

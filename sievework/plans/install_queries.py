@@ -161,16 +161,32 @@ def hook_decisions(spark, sf_dir):
     return p.select("id", decide(False).alias("silent"), decide(True).alias("opted_in"))
 
 
+#: Shell lines by a part's key, $n its number; with folder, manager, names and whether the install is unchecked, for each install in it.
+SHELL_LINES = (
+    ("cd a && CI=1 npm install --save lib$n@1.2 @s/x@2", [("a", "npm", "lib$n @s/x", False)]),
+    ("pip install lib$n==2.0; echo done", [("", "pip", "lib$n", False)]),
+    ("sudo cargo add $(cat lib$n)", [("", "cargo", None, True)]),
+    ("npm run lib$n", []),
+    ("pip3 install -r req$n.txt Lib$n[x]", [("", "pip", "lib$n", False)]),
+    ("python -m pip install 'lib$n >= 2'", [("", "pip", "lib$n", False)]),
+    ("npm --prefix web$n clean-install", [("web$n", "npm", "", False)]),
+    ("echo 'a; npm install lib$n' # yarn add y", []),
+    ("sh -c \"cd w$n && sh -c 'yarn add l$n'\"; /usr/bin/npm i -g x", [("w$n", "yarn", "l$n", False), ("", "npm", None, True)]),
+    ("sudo -u root -D /r$n npm i lib$n", [("/r$n", "npm", "lib$n", False)]),
+    ("uv pip install ./local$n other$n", [("", "pip", "other$n", False)]),
+    ("env -S 'npm install lib$n'", [("", None, None, True)]),
+    ("npm --new-option v install lib$n", [("", "npm", None, True)]),
+    ("(cd b$n; yarn) | tee log", [("b$n", "yarn", "", False)]),
+    ("timeout 5 env A=1 bun --cwd s$n add -d lib$n@3", [("s$n", "bun", "lib$n", False)]),
+    ("cargo add serde$n --features derive && cd t$n && cargo install z", [("", "cargo", "serde$n", False), ("t$n", "cargo", None, True)]),
+)
+
+
 def screened_commands(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    k, name = F.col("p_partkey"), F.concat(F.lit("lib"), F.col("p_partkey").cast("string"))
-    line = (
-        F.when(k % 4 == 0, F.concat(F.lit("cd a && CI=1 npm install --save "), name, F.lit("@1.2 @s/x@2")))
-        .when(k % 4 == 1, F.concat(F.lit("pip install "), name, F.lit("==2.0; echo done")))
-        .when(k % 4 == 2, F.concat(F.lit("sudo cargo add $(cat "), name, F.lit(")")))
-        .otherwise(F.concat(F.lit("npm run "), name))
-    )
-    return I.screened(p.select(k.alias("id"), line.alias("command"))).select("id", "manager", F.array_join("names", " ").alias("names"), "unchecked")
+    k = F.col("p_partkey")
+    line = F.element_at(F.array(*(F.lit(x) for x, _ in SHELL_LINES)), (k % len(SHELL_LINES) + 1).cast("int"))
+    lines = table(spark, sf_dir, "part").select(k.alias("id"), F.replace(line, F.lit("$n"), k.cast("string")).alias("command"))
+    return I.screened(lines).select("id", "folder", "manager", F.array_join("names", " ").alias("names"), "unchecked")
 
 
 def sliding_entropy(spark, sf_dir):
@@ -199,6 +215,8 @@ changes AS (
 _BLOB = """list_max(list_transform(list_filter(regexp_extract_all(t, '[A-Za-z0-9+/=_-]{120,}'), lambda r: regexp_matches(r, '[0-9]') AND regexp_matches(r, '[A-Za-z]')
   AND NOT (r[1] = '/' AND len(list_filter(string_split(r, '/'), lambda s: s <> '')) >= 3 AND len(list_filter(string_split(r, '/'), lambda s: length(s) >= 64)) = 0)), lambda r: length(r)))"""
 
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+_SCREENED = ", ".join(f"({k}, {_quoted(d)}, {_quoted(m)}, {_quoted(n)}, {u})" for k, (_, found) in enumerate(SHELL_LINES) for d, m, n, u in found)
 QUERIES = {f.__name__: f for f in (
     install_build_policy, install_script_verdicts, install_changes, install_foreign_writes, install_new_executables, install_vanished, install_hashes, install_source_builds, install_source_permissions,
     install_build_scripts, script_signals_all_kinds, install_startup_code, install_blocked_writes, script_packages, install_explosion, execution_order, install_gate, hook_decisions, screened_commands, sliding_entropy,
@@ -257,8 +275,8 @@ m AS (SELECT CAST(0 AS BIGINT) AS errors, count(*) FILTER (toxic = 1) AS incompl
 SELECT *, blocking > 0 OR errors > 0 OR incomplete > 0 AS halts FROM n, m""",
     "hook_decisions": """WITH d AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN 'deny' WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN 'ask' END AS x FROM part)
 SELECT id, nullif(x, '') AS silent, CASE WHEN x = '' THEN NULL ELSE coalesce(x, 'allow') END AS opted_in FROM d""",
-    "screened_commands": """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'pip' ELSE 'cargo' END AS manager,
-  CASE p_partkey % 4 WHEN 0 THEN 'lib' || p_partkey || ' @s/x' WHEN 1 THEN 'lib' || p_partkey ELSE '$(cat lib' || p_partkey || ')' END AS names, p_partkey % 4 = 2 AS unchecked FROM part WHERE p_partkey % 4 < 3""",
+    "screened_commands": f"""WITH r(k, folder, manager, names, unchecked) AS (VALUES {_SCREENED})
+SELECT p_partkey AS id, replace(folder, '$n', CAST(p_partkey AS VARCHAR)) AS folder, manager, replace(names, '$n', CAST(p_partkey AS VARCHAR)) AS names, unchecked FROM part JOIN r ON k = p_partkey % {len(SHELL_LINES)}""",
     "sliding_entropy": """WITH t AS (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type, p_name, p_type, md5(p_name)) AS t FROM part)
 SELECT p_partkey, round(coalesce(list_max(list_transform(range(1, length(t) - 62), lambda i: list_aggregate(string_split(substr(t, i, 64), ''), 'entropy'))), 0.0), 6) AS bits FROM t""",
 }
