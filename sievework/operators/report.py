@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import settled
+
 # Ranks of statuses and severities, exit codes, SARIF and GitLab words.
 CHECK_RANK = {"passed": 0, "incomplete": 1, "error": 2}
 SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
@@ -163,8 +165,16 @@ def prometheus(totals: DataFrame, name: str = "sievework_findings") -> DataFrame
 
 
 def annotation_batches(findings: DataFrame, size: int = 50) -> DataFrame:
-    """Findings dealt to batches of ``size`` by file, so that no one task orders them all."""
+    """Findings (path, line, rule) with ``batch``: consecutive ones in the order of path, line and rule, ``size`` a batch but for the last.
+
+    Ranks are a range partition's base plus the place in it, so no one task orders them all; partitions differ from run to run, ranks don't."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("path").orderBy("line", "rule")
-    return findings.withColumn("batch", F.ceil(F.row_number().over(order) / size))
+    order = ["path", "line", "rule"]
+    parted = settled(findings.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parted.groupBy("__part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bases = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    ranked = parted.withColumn("__place", place).join(bases, "__part")
+    return ranked.withColumn("batch", F.ceil((F.col("__base") + F.col("__place")) / size)).drop("__part", "__place", "__base")

@@ -279,7 +279,7 @@ SELECT findings, worst_check, status, CAST(CASE worst_check WHEN 'passed' THEN 0
        CAST(CASE status WHEN 'findings' THEN 1 ELSE 0 END AS INT) AS exit FROM s""",
     "report_sarif_rows": _EXTRA + "SELECT path, line, rule, 'warning' AS level, CAST(line AS INT) AS start_line FROM findings",
     "report_junit_rows": _EXTRA + """SELECT path, line, rule, '<testcase classname="' || path || '" name="' || rule || '"><failure message="line ' || line || '"/></testcase>' AS xml FROM findings""",
-    "report_annotation_batches": _EXTRA + "SELECT path, line, rule, CAST(ceil(row_number() OVER (PARTITION BY path ORDER BY line, rule) / 2.0) AS BIGINT) AS batch FROM findings",
+    "report_annotation_batches": _EXTRA + "SELECT path, line, rule, CAST(ceil(row_number() OVER (ORDER BY path, line, rule) / 2.0) AS BIGINT) AS batch FROM findings",
     "baseline_exact": _EXTRA + """,
 h AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY path, line) AS copy FROM head),
 b AS (SELECT fingerprint, row_number() OVER (PARTITION BY fingerprint) AS copy FROM base)
