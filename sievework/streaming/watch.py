@@ -42,29 +42,37 @@ def changed_stream(polls: DataFrame) -> DataFrame:
 
 
 def phantom_stream(events: DataFrame, end: str = "10 minutes") -> DataFrame:
-    """The stream of ``phantoms``: a path is judged when the watermark passes its last event by ``end``."""
+    """The stream of ``phantoms``: a path is judged, and forgotten, when the watermark passes its last event by ``end``.
+
+    A path's state is its first and last event and the first creation and last deletion, by their times, so batches may come in any order that the watermark still takes;
+    it is as large as one row. An event that comes after its path was judged begins it anew."""
+    wait = pd.Timedelta(end).value // 10**6
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            first, last, created, deleted = state.get
+            _, first, _, last, created, deleted = state.get
             state.remove()
-            if first == "create" and last == "delete":
+            if first == "create" and last == "delete" and created < deleted:
                 yield pd.DataFrame({"path": [key[0]], "created": [pd.Timestamp(created)], "deleted": [pd.Timestamp(deleted)]})
             return
-        first, last, created, deleted = state.get if state.exists else (None, None, None, None)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for r in rows.itertuples(index=False):
-            first = first or r.kind
-            last = r.kind
-            if r.kind == "create":
-                created = created or r.ts.value
-            else:
-                deleted = r.ts.value
-        state.update((first, last, created, deleted))
-        state.setTimeoutTimestamp(int(rows["ts"].max().value // 10**6 + pd.Timedelta(end).value // 10**6))
-
-    schema = "path string, created timestamp, deleted timestamp"
-    return events.withWatermark("ts", "0 seconds").groupBy("path").applyInPandasWithState(step, schema, "first string, last string, created long, deleted long", "append", "EventTimeTimeout")
+        began, first, ended, last, created, deleted = state.get if state.exists else (None,) * 6
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        times = rows["ts"].astype("int64")
+        least = lambda a, b: b if a is None else min(a, b)
+        most = lambda a, b: b if a is None else max(a, b)
+        if began is None or times.iloc[0] < began:
+            began, first = int(times.iloc[0]), rows["kind"].iloc[0]
+        if ended is None or times.iloc[-1] > ended:
+            ended, last = int(times.iloc[-1]), rows["kind"].iloc[-1]
+        if len(made := times[rows["kind"] == "create"]):
+            created = least(created, int(made.min()))
+        if len(gone := times[rows["kind"] == "delete"]):
+            deleted = most(deleted, int(gone.max()))
+        state.update((began, first, ended, last, created, deleted))
+        state.setTimeoutTimestamp(max(ended // 10**6 + wait, state.getCurrentWatermarkMs()))
+
+    schema, kept = "path string, created timestamp, deleted timestamp", "began long, first string, ended long, last string, created long, deleted long"
+    return events.withWatermark("ts", "0 seconds").groupBy("path").applyInPandasWithState(step, schema, kept, "append", "EventTimeTimeout")
 
 
 def windows_stream(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
