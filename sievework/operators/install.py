@@ -209,6 +209,39 @@ def execution_order(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> Dat
     raise ValueError(f"more than {most} levels of dependencies")
 
 
+def script_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """lockfile, node and rank: the order in which a lockfile's packages finish when each is visited after what it depends on, in a cycle too.
+
+    nodes: lockfile, node, at (its place there); edges: lockfile, src, dst, at (their order). Packages are entered by place and dependencies in their order; one that is being visited
+    isn't entered again. Which of a cycle's packages comes first depends on all visits before, so a lockfile, one document, is one group; edges to what it doesn't hold count for nothing."""
+
+    def visit(key: tuple, held: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("at").drop_duplicates("node")
+        known = set(held["node"])
+        needs: dict = {}
+        for src, dst in links.sort_values("at")[["src", "dst"]].itertuples(index=False):
+            if dst in known:
+                needs.setdefault(src, []).append(dst)
+        entered, finished = set(), []
+        for start in held["node"]:
+            path = [(start, iter(needs.get(start, ())))] if start not in entered else []
+            entered.add(start)
+            while path:
+                node, rest = path[-1]
+                new = next((d for d in rest if d not in entered), None)
+                if new is None:
+                    finished.append(node)
+                    path.pop()
+                else:
+                    entered.add(new)
+                    path.append((new, iter(needs.get(new, ()))))
+        return pd.DataFrame({"lockfile": pd.Series([key[0]] * len(finished), dtype=object), "node": pd.Series(finished, dtype=object), "rank": range(len(finished))})
+
+    types = dict(nodes.dtypes)
+    links = edges.select("lockfile", "src", "dst", "at")
+    return nodes.select("lockfile", "node", "at").groupBy("lockfile").cogroup(links.groupBy("lockfile")).applyInPandas(visit, f"lockfile {types['lockfile']}, node {types['node']}, rank bigint")
+
+
 def gate(findings: DataFrame, checks: DataFrame, no_fail: bool = False) -> DataFrame:
     """One row: whether an install halts at this phase, which a finding or a check that didn't finish makes it do."""
     n = findings.agg(F.count_if("blocks").alias("blocking"), F.count_if(~F.col("blocks")).alias("warnings"))

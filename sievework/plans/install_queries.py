@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import install as I
@@ -147,6 +148,16 @@ def execution_order(spark, sf_dir):
     return I.execution_order(edges, nodes)
 
 
+def install_script_order(spark, sf_dir):
+    """A lockfile a nation, whose customers depend on each other like a heap, children after parents, and on their parents, which makes cycles."""
+    by = Window.partitionBy("c_nationkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("lockfile"), (F.row_number().over(by.orderBy("c_custkey")) - 1).alias("at"))
+    nodes = c.select("lockfile", F.concat(F.lit("n"), F.col("at").cast("string")).alias("node"), "at")
+    to = F.array(F.floor((F.col("at") - 1) / 2), F.col("at") * 2 + 1, F.col("at"), F.col("at") * 2 + 2)
+    edges = c.select("lockfile", F.concat(F.lit("n"), F.col("at").cast("string")).alias("src"), F.posexplode(to).alias("nth", "d")).select("lockfile", "src", F.concat(F.lit("n"), F.col("d").cast("string")).alias("dst"), F.col("nth").alias("at"))
+    return I.script_order(nodes, edges)
+
+
 def install_gate(spark, sf_dir):
     found = I.script_verdicts(_parts(spark, sf_dir)).where("rule is not null")
     labels = table(spark, sf_dir, "labels")
@@ -219,7 +230,7 @@ _quoted = lambda x: "NULL" if x is None else f"'{x}'"
 _SCREENED = ", ".join(f"({k}, {_quoted(d)}, {_quoted(m)}, {_quoted(n)}, {u})" for k, (_, found) in enumerate(SHELL_LINES) for d, m, n, u in found)
 QUERIES = {f.__name__: f for f in (
     install_build_policy, install_script_verdicts, install_changes, install_foreign_writes, install_new_executables, install_vanished, install_hashes, install_source_builds, install_source_permissions,
-    install_build_scripts, script_signals_all_kinds, install_startup_code, install_blocked_writes, script_packages, install_explosion, execution_order, install_gate, hook_decisions, screened_commands, sliding_entropy,
+    install_build_scripts, script_signals_all_kinds, install_startup_code, install_blocked_writes, script_packages, install_explosion, execution_order, install_script_order, install_gate, hook_decisions, screened_commands, sliding_entropy,
 )}
 ORACLES = {
     "install_build_policy": f"WITH {_PARTS} SELECT name, 'INSTALL/BuildNotAllowed' AS rule, 'low' AS severity, false AS blocks FROM parts WHERE NOT (version <> '7' AND brand LIKE '%1')",
@@ -269,6 +280,8 @@ SELECT project, extra, 'INSTALL/DependencyExplosion' AS rule FROM n WHERE extra
     "execution_order": """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 10 AND p_partkey // 2 IN (SELECT p_partkey FROM part)),
 r (node, rank) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT src FROM e) UNION ALL SELECT e.src, r.rank + 1 FROM r JOIN e ON e.dst = r.node)
 SELECT node, max(rank) AS rank FROM r GROUP BY node""",
+    "install_script_order": """WITH c AS (SELECT c_nationkey AS lockfile, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)
+SELECT lockfile, 'n' || i AS node, row_number() OVER (PARTITION BY lockfile ORDER BY substr(bin(i + 1), 2) || '~') - 1 AS rank FROM c""",
     "install_gate": f"""{_VERDICTS},
 n AS (SELECT count(*) FILTER (blocks) AS blocking, count(*) FILTER (NOT blocks) AS warnings FROM v WHERE suspicious),
 m AS (SELECT CAST(0 AS BIGINT) AS errors, count(*) FILTER (toxic = 1) AS incomplete FROM labels)

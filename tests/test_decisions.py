@@ -58,3 +58,11 @@ def test_scan_of_files_with_and_without_states(spark):
     rows = S.scan(spark.createDataFrame(files, "path string, text string")).collect()
     got = sorted((r["path"], r["line"], r["suppressed"]) for r in rows if r["value"] == key)
     assert got == [("marked", 2, "old"), ("marked", 3, None), ("plain", 2, None)]
+
+
+def test_scripts_of_cycles_have_an_order(spark):
+    nodes = [("l", n, i) for i, n in enumerate(["app", "b", "a", "c", "lone"])] + [("m", "x", 0)]
+    edges = [("l", "app", "a", 0), ("l", "app", "b", 1), ("l", "a", "c", 0), ("l", "c", "a", 0), ("l", "c", "b", 1), ("l", "b", "b", 0), ("l", "b", "gone", 1), ("m", "x", "a", 0), ("n", "p", "q", 0)]
+    got = I.script_order(spark.createDataFrame(nodes, "lockfile string, node string, at int"), spark.createDataFrame(edges, "lockfile string, src string, dst string, at int")).collect()
+    assert [r["node"] for r in sorted((r for r in got if r["lockfile"] == "l"), key=lambda r: r["rank"])] == ["b", "c", "a", "app", "lone"]
+    assert [(r["lockfile"], r["node"], r["rank"]) for r in got if r["lockfile"] != "l"] == [("m", "x", 0)]
