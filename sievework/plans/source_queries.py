@@ -116,6 +116,38 @@ def npm_history(spark, sf_dir):
     return found.groupBy("package").agg(F.count("*").alias("versions"), F.count_if("install_script").alias("scripts"), F.count("withdrawn").alias("withdrawn"), F.max("published").alias("newest"), F.countDistinct("publisher").alias("publishers"))
 
 
+def _orders_by_customer(spark, sf_dir, item, wrap):
+    """A JSON document a customer around an item an order."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("package"), item.alias("item"))
+    return rows.groupBy("package").agg(F.concat(F.lit(wrap[0]), F.array_join(F.collect_list("item"), ","), F.lit(wrap[1])).alias("json"))
+
+
+def pypi_history(spark, sf_dir):
+    """A version an order with one to three files; a third of the versions has no wheel, a fifth no file, a seventh is yanked."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    file = lambda kind, hour: F.concat(F.lit(f'{{"packagetype":"{kind}","upload_time_iso_8601":"'), day, F.lit(f'T{hour}:00:00Z"'), F.when(k % 7 == 0, F.concat(F.lit(',"yanked":true,"yanked_reason":'), F.when(k % 2 == 0, '""').otherwise('"broken"'))).otherwise(""), F.lit("}"))
+    files = F.when(k % 5 == 0, "").when(k % 3 == 0, file("sdist", "07")).otherwise(F.concat_ws(",", file("sdist", "09"), file("bdist_wheel", "08"), file("bdist_wheel", "10")))
+    item = F.concat(F.lit('"1.'), k.cast("string"), F.lit('":['), files, F.lit("]"))
+    docs = _orders_by_customer(spark, sf_dir, item, ('"releases":{', "}"))
+    expression = F.when(F.col("package") % 4 == 0, '"license_expression":" MIT ",').when(F.col("package") % 4 == 1, '"classifiers":["License :: OSI Approved :: MIT License","Topic :: X","License :: Other"],').otherwise("")
+    info = F.concat(F.lit('{"info":{'), expression, F.lit('"license":'), F.when(F.col("package") % 4 == 2, '" BSD "').otherwise('"a\\nb"'), F.lit("},"))
+    found = R.pypi_releases(docs.select("package", F.concat(info, "json", F.lit("}")).alias("json")))
+    return found.groupBy("package", "license").agg(F.count("*").alias("versions"), F.count_if("install_script").alias("scripts"), F.count_if(F.col("withdrawn") == "yanked").alias("yanked"), F.count_if(F.col("withdrawn") == "broken").alias("broken"), F.max("published").alias("newest"))
+
+
+def crates_history(spark, sf_dir):
+    k = F.col("o_orderkey")
+    item = F.concat(
+        F.lit('{"num":"1.'), k.cast("string"), F.lit('.0","created_at":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T01:02:03.5Z","yanked":'), F.when(k % 6 == 0, "true").otherwise("false"),
+        F.when(k % 12 == 0, ',"yank_message":""').when(k % 12 == 6, ',"yank_message":"bad"').otherwise(""), F.when(k % 4 == 0, ',"trustpub_data":{"provider":"x"}').when(k % 4 == 1, ',"trustpub_data":null').otherwise(""),
+        F.when(k % 3 > 0, F.concat(F.lit(',"published_by":{"login":"'), "o_orderstatus", F.lit('"}'))).otherwise(""), F.lit(',"license":"MIT"}'),
+    )
+    found = R.crate_releases(_orders_by_customer(spark, sf_dir, item, ('{"versions":[', "]}")))
+    return found.groupBy("package").agg(
+        F.count("*").alias("versions"), F.count("install_script").alias("scripts"), F.count_if("provenance").alias("proven"), F.countDistinct("publisher").alias("publishers"), F.count_if(F.col("withdrawn") == "yanked").alias("yanked"), F.count_if(F.col("withdrawn") == "bad").alias("bad"), F.max("published").alias("newest"),
+    )
+
+
 def manifest_documents(spark, sf_dir):
     """One YAML file a nation, one document a customer; some are templates, some broken."""
     text = F.concat(
@@ -157,7 +189,7 @@ def static_literals(spark, sf_dir):
 
 _LI = "SELECT * FROM lineitem"
 QUERIES = {f.__name__: f for f in (
-    lcov_totals, lcov_lines, cobertura_totals, patch_lines, patch_files, patch_complexity, name_status, lockfile_packages, osv_entries, npm_history, manifest_documents, workflow_checkouts, static_rules, static_literals,
+    lcov_totals, lcov_lines, cobertura_totals, patch_lines, patch_files, patch_complexity, name_status, lockfile_packages, osv_entries, npm_history, pypi_history, crates_history, manifest_documents, workflow_checkouts, static_rules, static_literals,
 )}
 ORACLES = {
     "lcov_totals": f"SELECT l_suppkey AS report, 'src/p' || l_partkey || '.py' AS path, count(*) FILTER (WHERE l_quantity > 25) AS hit, count(*) AS found FROM ({_LI}) GROUP BY ALL",
@@ -174,6 +206,10 @@ UNION ALL SELECT 'CargoLock', 'crates.io', 'registry', false, n, h, 0 FROM n UNI
     "osv_entries": "SELECT 'A-' || p_partkey AS id, lower(replace(p_brand, '#', '-')) AS package_key, 'HIGH' AS severity, 'a' AS reference, p_size || '.0.0' AS fixed FROM part WHERE p_partkey % 10 <> 0",
     "npm_history": """SELECT o_custkey AS package, count(*) AS versions, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS scripts, count(*) FILTER (WHERE o_orderkey % 6 = 0) AS withdrawn,
   max(date_trunc('second', o_orderdate)) AS newest, count(DISTINCT o_orderstatus) AS publishers FROM orders GROUP BY 1""",
+    "pypi_history": """SELECT o_custkey AS package, CASE o_custkey % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN 'MIT License OR Other' WHEN 2 THEN 'BSD' END AS license, count(*) AS versions, count(*) FILTER (o_orderkey % 3 = 0) AS scripts,
+  count(*) FILTER (o_orderkey % 14 = 0) AS yanked, count(*) FILTER (o_orderkey % 14 = 7) AS broken, max(CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 3 = 0 THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END) AS newest FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1, 2""",
+    "crates_history": """SELECT o_custkey AS package, count(*) AS versions, CAST(0 AS BIGINT) AS scripts, count(*) FILTER (o_orderkey % 4 = 0) AS proven, count(DISTINCT o_orderstatus) FILTER (o_orderkey % 3 > 0) AS publishers,
+  count(*) FILTER (o_orderkey % 12 = 0) AS yanked, count(*) FILTER (o_orderkey % 12 = 6) AS bad, max(CAST(o_orderdate AS DATE)) + INTERVAL '1 hour 2 minutes 3.5 seconds' AS newest FROM orders GROUP BY 1""",
     "manifest_documents": "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'template' WHEN c_custkey % 7 = 0 THEN 'error' ELSE 'ok' END AS state, count(*) AS n, CAST(sum(CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN c_custkey % 4 END) AS BIGINT) AS replicas FROM customer GROUP BY 1",
     "workflow_checkouts": "SELECT CAST(s_suppkey AS VARCHAR) AS path, 'build' AS job FROM supplier WHERE s_suppkey % 6 = 0",
     "static_rules": """WITH p AS (SELECT p_partkey % 4 AS k, p_size > 25 AS big FROM part)

@@ -82,13 +82,17 @@ PYPI = "info struct<license_expression: string, license: string, classifiers: ar
 
 
 def pypi_releases(projects: DataFrame, column: str = "json") -> DataFrame:
-    """The same of PyPI projects: a version runs code at install time if it has only source distributions, and is withdrawn if all its files are."""
+    """The same of PyPI projects: a version runs code at install time if it has no wheel, and is withdrawn if all its files are, for the first reason given. Versions without files are none.
+
+    The licence is the project's: its expression, else all its licence classifiers, else what its text field says in one short line. Who published isn't told."""
     r = projects.select("package", F.from_json(column, PYPI).alias("r")).select("package", "r.info", F.explode("r.releases").alias("version", "files")).where(F.size("files") > 0)
-    osi = F.get(F.filter(F.coalesce("info.classifiers", F.array().cast("array<string>")), lambda c: c.startswith("License :: ")), F.lit(0))
-    license_ = F.coalesce(F.nullif("info.license_expression", F.lit("")), F.when(F.length("info.license").between(1, 60), F.col("info.license")), F.element_at(F.split(osi, " :: "), -1))
+    classifiers = F.transform(F.filter(F.coalesce("info.classifiers", F.array().cast("array<string>")), lambda c: c.startswith("License :: ")), lambda c: F.element_at(F.split(F.substring(c, 12, 1 << 20), " :: "), -1))
+    text = F.trim("info.license")
+    license_ = F.coalesce(F.nullif(F.trim("info.license_expression"), F.lit("")), F.when(F.size(classifiers) > 0, F.array_join(classifiers, " OR ")), F.when(F.octet_length(text).between(1, 80) & ~text.contains("\n"), text))
+    reasons = F.filter(F.transform("files", lambda f: f["yanked_reason"]), lambda x: x.isNotNull() & (x != ""))
     return r.select(
-        "package", "version", F.array_min(F.transform("files", lambda f: F.try_to_timestamp(f["upload_time_iso_8601"]))).alias("published"), F.forall("files", lambda f: f["packagetype"] == "sdist").alias("install_script"),
-        F.lit(None).cast("string").alias("publisher"), F.lit(None).cast("boolean").alias("provenance"), F.when(F.forall("files", lambda f: F.coalesce(f["yanked"], F.lit(False))), F.coalesce(F.get("files", F.lit(0))["yanked_reason"], F.lit("yanked"))).alias("withdrawn"),
+        "package", "version", F.array_min(F.transform("files", lambda f: F.try_to_timestamp(f["upload_time_iso_8601"]))).alias("published"), (~F.exists("files", lambda f: F.coalesce(f["packagetype"] == "bdist_wheel", F.lit(False)))).alias("install_script"),
+        F.lit(None).cast("string").alias("publisher"), F.lit(None).cast("boolean").alias("provenance"), F.when(F.forall("files", lambda f: F.coalesce(f["yanked"], F.lit(False))), F.coalesce(F.get(reasons, F.lit(0)), F.lit("yanked"))).alias("withdrawn"),
         license_.alias("license"),
     )
 
@@ -97,10 +101,11 @@ CRATES = "versions array<struct<num: string, created_at: string, yanked: boolean
 
 
 def crate_releases(answers: DataFrame, column: str = "json") -> DataFrame:
+    """The same of crates.io's answers: what code runs at build time only the sources tell; provenance is that of trusted publishing."""
     r = answers.select("package", F.explode(F.from_json(column, CRATES)["versions"]).alias("v"))
     return r.select(
         "package", F.col("v.num").alias("version"), F.try_to_timestamp("v.created_at").alias("published"), F.lit(None).cast("boolean").alias("install_script"), F.col("v.published_by.login").alias("publisher"),
-        F.col("v.trustpub_data").isNotNull().alias("provenance"), F.when(F.col("v.yanked"), F.coalesce("v.yank_message", F.lit("yanked"))).alias("withdrawn"), F.col("v.license").alias("license"),
+        F.col("v.trustpub_data").isNotNull().alias("provenance"), F.when(F.col("v.yanked"), F.coalesce(F.nullif("v.yank_message", F.lit("")), F.lit("yanked"))).alias("withdrawn"), F.col("v.license").alias("license"),
     )
 
 
