@@ -86,9 +86,12 @@ def foreign_writes(found: DataFrame, own: Column) -> DataFrame:
 
 
 def vanished(events: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(phantoms, checks): paths that a script created (events: package, path, kind) and that are gone, and packages whose watcher lost events: incomplete."""
+    """(phantoms, checks): paths that a script created (events: package, path, kind) and that are gone, and packages whose watcher lost events: incomplete.
+
+    Where what is there after (path) states packages, a file of one package doesn't stand for another's of the same path."""
+    own = ["package", "path"] if "package" in after.columns else ["path"]
     lost = events.where("kind = 'overflow'").select("package").distinct()
-    gone = events.where("kind = 'create'").select("package", "path").distinct().join(after.select("path").distinct(), "path", "left_anti").join(lost, "package", "left_anti")
+    gone = events.where("kind = 'create'").select("package", "path").distinct().join(after.select(*own).distinct(), own, "left_anti").join(lost, "package", "left_anti").select("package", "path")
     return _verdict(gone, "INSTALL/PhantomFile", "high", True), lost.withColumn("status", F.lit("incomplete"))
 
 

@@ -66,3 +66,11 @@ def test_scripts_of_cycles_have_an_order(spark):
     got = I.script_order(spark.createDataFrame(nodes, "lockfile string, node string, at int"), spark.createDataFrame(edges, "lockfile string, src string, dst string, at int")).collect()
     assert [r["node"] for r in sorted((r for r in got if r["lockfile"] == "l"), key=lambda r: r["rank"])] == ["b", "c", "a", "app", "lone"]
     assert [(r["lockfile"], r["node"], r["rank"]) for r in got if r["lockfile"] != "l"] == [("m", "x", 0)]
+
+
+def test_a_file_of_another_package_doesnt_stand_for_a_phantom(spark):
+    events = spark.createDataFrame([("a", "tmp/x", "create"), ("b", "tmp/x", "create"), ("c", "y", "create"), ("c", "", "overflow")], "package string, path string, kind string")
+    after = spark.createDataFrame([("b", "tmp/x")], "package string, path string")
+    gone, checks = I.vanished(events, after)
+    assert [(r["package"], r["path"]) for r in gone.collect()] == [("a", "tmp/x")] and [r["package"] for r in checks.collect()] == ["c"]
+    assert I.vanished(events, after.select("path"))[0].count() == 0
