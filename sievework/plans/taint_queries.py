@@ -33,8 +33,7 @@ def taint_sinks(spark, sf_dir):
 def taint_names(spark, sf_dir):
     """Safe and tainted names by function."""
     seen = taint._seen(taint.tokens(_programs(spark, sf_dir)))
-    assigned = taint.assignments(seen).join(taint.values(seen), ["path", "value"]).where("scope >= 0")
-    return taint.facts(assigned).groupBy("path").agg(F.count_if("safe").alias("safe"), F.count_if("tainted").alias("tainted"))
+    return taint.facts(taint.assigned(seen).where("scope >= 0")).groupBy("path").agg(F.count_if("safe").alias("safe"), F.count_if("tainted").alias("tainted"))
 
 
 _FACTS = """WITH RECURSIVE s AS (

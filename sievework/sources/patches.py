@@ -38,15 +38,13 @@ def changed_files(changed: DataFrame, key: str = "patch") -> DataFrame:
     return changed.groupBy(key, "path").agg(F.count_if(F.col("kind") == "+").alias("added"), F.count_if(F.col("kind") == "-").alias("removed"))
 
 
+# One entry of name-status output, right behind the one before: renames and copies have two names.
+ENTRY = r"\G\x00*(?:[RC][^\x00]*+\x00+[^\x00]++\x00+[^\x00]++|[^RC\x00][^\x00]*+\x00+[^\x00]++)"
+
+
 def name_status(records: DataFrame, column: str = "raw") -> DataFrame:
-    """status, old and path of NUL-separated name-status output; renames and copies have two names."""
-    parts = F.filter(F.split(F.col(column), "\0", -1), lambda x: x != "")
-    step = F.aggregate(
-        parts,
-        F.struct(F.array().cast("array<struct<status:string,old:string,path:string>>").alias("out"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("old")),
-        lambda s, x: F.when(s["status"].isNull(), F.struct(s["out"].alias("out"), x.alias("status"), F.lit(None).cast("string").alias("old")))
-        .when(s["status"].rlike("^[RC]") & s["old"].isNull(), F.struct(s["out"].alias("out"), s["status"].alias("status"), x.alias("old")))
-        .otherwise(F.struct(F.concat(s["out"], F.array(F.struct(F.substring(s["status"], 1, 1).alias("status"), s["old"].alias("old"), x.alias("path")))).alias("out"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("old"))),
-        lambda s: s["out"],
-    )
-    return records.select(F.inline(step))
+    """status, old and path of NUL-separated name-status output; renames and copies have two names. An entry that isn't whole ends the output."""
+    entries = records.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(ENTRY), 0)).alias("entry"))
+    parts = entries.select(F.filter(F.split("entry", "\0", -1), lambda x: x != "").alias("p"))
+    old = F.when(F.size("p") == 3, F.col("p")[1])
+    return parts.select(F.substring(F.col("p")[0], 1, 1).alias("status"), old.alias("old"), F.element_at("p", -1).alias("path"))

@@ -104,3 +104,13 @@ def test_scan_takes_both_kinds_of_rules(spark):
 @pytest.mark.parametrize("text", ["`", "${", "}", "))) }} ]", "'", "/", "=>", "`${", "`${`${", "a => ", "x = {", "/*"])
 def test_broken_files_end(text):
     assert list(taint.lex(text)) is not None
+
+
+def test_long_chains_take_no_rounds(spark):
+    """A chain of names is followed within its function's group: the number of jobs doesn't grow with its length."""
+    chain = "\n".join(f"n{i} = n{i + 1}" for i in range(300)) + "\nn300 = req.body.x\nel.innerHTML = n0"
+    spark.sparkContext.setJobGroup("chains", "")
+    got = taint.scan(spark.createDataFrame([("a.js", chain)], "path string, text string")).collect()
+    spark.sparkContext.setJobGroup("tests", "")
+    assert [(r["line"], r["rule"]) for r in got] == [(302, MARKED)]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chains")) < 20
