@@ -49,10 +49,14 @@ MIN_LENGTH, BASE64_BITS, HEX_BITS, HEX_LENGTH = 20, 4.5, 3.5, 32
 MARKER = "sievework: ignore"
 
 
+def line_body(text: Column) -> Column:
+    """A text whose line breaks are single characters, without the final one."""
+    return F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n$", "")
+
+
 def lines(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """One row a line: key, line (from 1) and content, without the carriage return; a final line break opens no line."""
-    body = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n$", "")
-    rows = files.select(key, F.posexplode(F.split(body, "\n", -1)).alias("at", "content"))
+    rows = files.select(key, F.posexplode(F.split(line_body(F.col(text)), "\n", -1)).alias("at", "content"))
     return rows.select(key, (F.col("at") + 1).alias("line"), "content")
 
 

@@ -46,13 +46,16 @@ def cobertura_totals(spark, sf_dir):
 
 
 def _patches(spark, sf_dir):
-    """One patch an order, one file a line: two hunks, an added line with plus signs, a removed one."""
-    n = F.col("l_linenumber").cast("string")
-    body = F.concat(
-        F.lit("diff --git a/f"), n, F.lit(".py b/f"), n, F.lit(".py\n--- a/f"), n, F.lit(".py\n+++ b/f"), n, F.lit(".py\n@@ -1,2 +"), F.col("l_partkey").cast("string"),
-        F.lit(",3 @@ head\n-old\n+++ counted\n keep\n+if x and y: pass\n@@ -9 +90 @@\n-gone\n+last"),
-    )
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("patch")).agg(_joined("l_linenumber", body).alias("text"))
+    """One patch an order, one file a line: two hunks, an added line with plus signs, a removed one. Texts are made from the keys once these are together."""
+    def body(x):
+        n = x["n"].cast("string")
+        return F.concat(
+            F.lit("diff --git a/f"), n, F.lit(".py b/f"), n, F.lit(".py\n--- a/f"), n, F.lit(".py\n+++ b/f"), n, F.lit(".py\n@@ -1,2 +"), x["p"],
+            F.lit(",3 @@ head\n-old\n+++ counted\n keep\n+if x and y: pass\n@@ -9 +90 @@\n-gone\n+last"),
+        )
+
+    items = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("p"))))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("patch")).agg(items.alias("i")).select("patch", F.array_join(F.transform("i", body), "\n").alias("text"))
 
 
 def patch_lines(spark, sf_dir):

@@ -1,36 +1,69 @@
-"""Unified diffs and history patches, by windows over their lines."""
+"""Unified diffs and history patches, a patch at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..cluster import ship
+from ..functions.text import line_body
+
+
+HUNK = re.compile(r"@@[^+]*\+([0-9]+)")
+COMMIT = re.compile(r"commit ([0-9a-f]{7,64})([0-9a-f]*)")
+#: Rows of a batch on their way out of the helper.
+BATCH = 20000
+
+
+def changed_lines(body: str) -> Iterator[tuple[str | None, str, str, int, str]]:
+    """commit, path, kind, line and content of a patch's changed lines."""
+    event, commit, path, at = "", None, "", 0
+    for c in body.split("\n"):
+        if c.startswith("diff --git "):
+            event, path = "file", ""
+        elif m := COMMIT.match(c):
+            event, path, commit = "commit", "", m[1] + m[2]
+        elif c.startswith("@@") and (m := HUNK.match(c)):
+            event, at = "hunk", int(m[1])
+        elif event == "file":
+            if c.startswith("+++ "):
+                path = c[6:] if c.startswith("+++ b/") else ""
+        elif event == "hunk" and path:
+            sign = c[:1]
+            if sign in ("+", "-"):
+                yield commit, path, sign, at, c[1:]
+            at += sign not in ("-", "\\")
 
 
 def diff_lines(patches: DataFrame, key: str = "patch", text: str = "text") -> DataFrame:
-    """key, path, kind ('+' or '-'), line in the new file, and content of a patch's changed lines.
+    """key, commit, path, kind ('+' or '-'), line in the new file, and content of a patch's changed lines.
 
     A file's name and a hunk's start carry on to the lines below; a line's number is the hunk's start and the kept or added lines before it. The
-    first header line of a hunk ends the headers, so an added line that begins with plus signs is content."""
-    order = Window.partitionBy(key).orderBy("line")
-    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(patches, key, text)
-    c = F.col("content")
-    start = F.regexp_extract(c, r"^@@[^+]*\+([0-9]+)", 1)
-    rows = rows.withColumn("event", F.when(c.startswith("diff --git "), "file").when(c.startswith("commit ") & c.rlike("^commit [0-9a-f]{7,64}"), "commit").when(c.startswith("@@") & (start != ""), "hunk"))
-    rows = rows.withColumns({
-        "last_event": F.last("event", ignorenulls=True).over(up_to),
-        "commit": F.last(F.when(F.col("event") == "commit", F.regexp_extract(c, "^commit ([0-9a-f]+)", 1)), ignorenulls=True).over(up_to),
-        "hunk": F.last(F.when(F.col("event") == "hunk", F.struct("line", start.cast("long").alias("start"))), ignorenulls=True).over(up_to),
-    })
-    named = F.when((F.col("last_event") == "file") & c.startswith("+++ b/"), F.substr(c, F.lit(7))).when(F.col("event").isin("file", "commit") | ((F.col("last_event") == "file") & c.startswith("+++ ")), "")
-    rows = rows.withColumn("path", F.last(named, ignorenulls=True).over(up_to))
-    body = rows.where((F.col("last_event") == "hunk") & F.col("event").isNull() & (F.coalesce("path", F.lit("")) != ""))
-    moves = F.when(c.startswith("-") | c.startswith("\\"), 0).otherwise(1)
-    within = Window.partitionBy(key, "hunk.line").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumn("at", F.col("hunk.start") + F.coalesce(F.sum(moves).over(within), F.lit(0)))
-    return body.where(c.startswith("+") | c.startswith("-")).select(key, "commit", "path", F.substring(c, 1, 1).alias("kind"), F.col("at").alias("line"), F.substr(c, F.lit(2)).alias("content"))
+    first header line of a hunk ends the headers, so an added line that begins with plus signs is content. A patch is read where it lies: its lines aren't shuffled."""
+    ship(patches.sparkSession)
+    types = dict(patches.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sievework.sources.patches import BATCH, changed_lines
+
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+        names = [key, "commit", "path", "kind", "line", "content"]
+        for b in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for i, body in enumerate(b.column(1).to_pylist()):
+                n = len(rows)
+                rows += changed_lines(body) if body is not None else ()
+                at += [i] * (len(rows) - n)
+                if rows and (len(rows) >= BATCH or i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+                    at, rows = [], []
+
+    return patches.select(key, line_body(F.col(text)).alias("body")).mapInArrow(run, f"`{key}` {types[key]}, commit string, path string, kind string, line long, content string")
 
 
 def changed_files(changed: DataFrame, key: str = "patch") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sievework.sources import coverage as C
 from sievework.sources import patches as P
 
 
@@ -17,3 +18,14 @@ def test_name_status_of_odd_records(spark):
     rows = [(x,) for x in ("\0\0M\0\0a\nb\0", "C75\0o\0p\0R1\0left", "A", "R\0a\0b\0D\0c\0M", "", None)]
     got = {tuple(r) for r in P.name_status(spark.createDataFrame(rows, "raw string")).collect()}
     assert got == {("M", None, "a\nb"), ("C", "o", "p"), ("R", "a", "b"), ("D", None, "c")}
+
+
+def test_texts_are_read_where_they_lie(spark):
+    """Windows over the lines of patches and reports shuffled and sorted every line."""
+    files = spark.createDataFrame([(1, "diff --git a/x b/x\n+++ b/x\n@@ -1 +7 @@\n+a\n-b\n"), (2, None)], "k int, text string")
+    report = spark.createDataFrame([(1, "DA:9,9\nSF:a\nDA:2,1\nDA:1,0\nDA:x,1\nDA:2,3\nend_of_record\nSF:a\nDA:1,4\nLH: 1\nLH:y\nLF:2\nend_of_record\n"), (2, None)], "k int, text string")
+    for df in (P.diff_lines(files, "k"), C.lcov_totals(report, "k"), C.lcov_lines(report, "k")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in P.diff_lines(files, "k").collect()] == [(1, None, "x", "+", 7, "a"), (1, None, "x", "-", 8, "b")]
+    assert [tuple(r) for r in C.lcov_totals(report, "k").collect()] == [(1, "a", 0, 0), (1, "a", 0, 2)]
+    assert sorted(tuple(r) for r in C.lcov_lines(report, "k").collect()) == [(1, "a", 1, 4), (1, "a", 2, 3)]
