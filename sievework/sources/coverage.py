@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import line_body
 
 
 def kind(path: Column, text: Column) -> Column:
@@ -14,24 +14,31 @@ def kind(path: Column, text: Column) -> Column:
     return F.when(path.endswith(".xml"), "cobertura").when(path.endswith(".info") | path.endswith(".lcov"), "lcov").when(head.contains("<?xml") | head.contains("<coverage"), "cobertura").when(head.contains("SF:") | head.contains("TN:"), "lcov")
 
 
-def _named(reports: DataFrame, key: str) -> DataFrame:
-    up_to = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    file = F.when(F.col("content").startswith("SF:"), F.struct("line", F.substr("content", F.lit(4)).alias("path")))
-    return lines(reports, key).withColumn("record", F.last(file, ignorenulls=True).over(up_to)).where("record is not null")
+def _records(reports: DataFrame, key: str) -> DataFrame:
+    """key and record, the lines of each file's record; lines before the first are none's. A report is read where it lies: its lines aren't shuffled."""
+    records = F.filter(F.split(line_body(F.col("text")), r"\n(?=SF:)", -1), lambda r: r.startswith("SF:"))
+    return reports.select(key, F.explode(records).alias("record")).select(key, F.split("record", "\n", -1).alias("record"))
 
 
 def lcov_totals(reports: DataFrame, key: str = "report") -> DataFrame:
     """key, path, hit and found of each record that ends; reports are key and text."""
-    number = lambda tag: F.coalesce(F.max_by(F.when(F.col("content").startswith(tag), F.coalesce(F.trim(F.substr("content", F.lit(4))).try_cast("long"), F.lit(0))), F.when(F.col("content").startswith(tag), F.col("line"))), F.lit(0))
-    rows = _named(reports, key).groupBy(key, "record").agg(number("LH:").alias("hit"), number("LF:").alias("found"), F.max(F.col("content") == "end_of_record").alias("ended"))
-    return rows.where("ended").select(key, "record.path", "hit", "found")
+    number = lambda tag: F.coalesce(F.trim(F.substr(F.try_element_at(F.filter("record", lambda x: x.startswith(tag)), F.lit(-1)), F.lit(4))).try_cast("long"), F.lit(0))
+    ended = _records(reports, key).where(F.array_contains("record", "end_of_record"))
+    return ended.select(key, F.substr(F.col("record")[0], F.lit(4)).alias("path"), number("LH:").alias("hit"), number("LF:").alias("found"))
 
 
 def lcov_lines(reports: DataFrame, key: str = "report") -> DataFrame:
-    """key, path, line and hits; of a line's repeated entries the last counts."""
-    parts = F.split(F.substr("content", F.lit(4)), ",")
-    rows = _named(reports, key).where(F.col("content").startswith("DA:")).select(key, "record.path", F.get(parts, F.lit(0)).try_cast("int").alias("number"), F.get(parts, F.lit(1)).try_cast("long").alias("hits"), "line")
-    return rows.where("number is not null and hits is not null").groupBy(key, "path", F.col("number")).agg(F.max_by("hits", "line").alias("hits")).withColumnRenamed("number", "line")
+    """key, path, line and hits; of a line's repeated entries in a report the last counts. A report is one row."""
+    records = F.filter(F.split(line_body(F.col("text")), r"\n(?=SF:)", -1), lambda r: r.startswith("SF:"))
+    parts = lambda x: F.split(F.substr(x, F.lit(4)), ",")
+    entry = lambda path, x: F.struct(path.alias("path"), F.get(parts(x), F.lit(0)).try_cast("int").alias("line"), F.get(parts(x), F.lit(1)).try_cast("long").alias("hits"))
+    of = lambda r: F.transform(F.filter(F.split(r, "\n", -1), lambda x: x.startswith("DA:")), lambda x: entry(F.substr(F.substring_index(r, "\n", 1), F.lit(4)), x))
+    entries = F.filter(F.flatten(F.transform(records, of)), lambda e: e["line"].isNotNull() & e["hits"].isNotNull())
+    placed = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["path"].alias("path"), e["line"].alias("line"), i.alias("i"), e["hits"].alias("hits"))))
+    rows = reports.select(key, placed.alias("e"))
+    # Entries of one line stand together, in order: the one before another line's is the last.
+    last = F.zip_with("e", F.slice("e", F.lit(2), F.size("e")), lambda a, b: F.when(b.isNull() | (a["path"] != b["path"]) | (a["line"] != b["line"]), a))
+    return rows.where(F.size("e") > 0).select(key, F.inline(F.filter(last, lambda x: x.isNotNull()))).drop("i")
 
 
 COBERTURA = "_filename string, lines struct<line: array<struct<_number: int, _hits: long>>>, methods struct<method: array<struct<lines: struct<line: array<struct<_number: int, _hits: long>>>>>>"
