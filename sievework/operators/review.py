@@ -38,15 +38,22 @@ def new_code_gate(by_file: DataFrame, least: float) -> DataFrame:
     return sums.withColumn("percent", share).withColumn("passed", F.col("percent") >= least)
 
 
+def _endings(path: Column) -> Column:
+    """Every ending of a path that holds its whole last part."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.transform(F.sequence(F.lit(1), F.length(path) - F.length(last) + 1), lambda i: F.substr(path, i))
+
+
 def coverage_file(paths: DataFrame, covered: DataFrame) -> DataFrame:
     """For each changed path the coverage file that is it, or ends with it, or which it ends with: exact first, then the longest, then by name.
 
-    Paths meet by their last part, so this is an equi join."""
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    pairs = paths.withColumn("tail", last("path")).join(covered.select(F.col("path").alias("file")).distinct().withColumn("tail", last("file")), "tail")
-    pairs = pairs.where(F.col("file").endswith(F.col("path")) | F.col("path").endswith(F.col("file")))
-    best = Window.partitionBy("path").orderBy((F.col("file") == F.col("path")).desc(), F.length("file").desc(), "file")
-    return pairs.withColumn("n", F.row_number().over(best)).where("n = 1").select("path", "file")
+    A path meets its equals among the files' endings, of which each has its best file, and its own endings meet the files: equi joins whose keys are single on one side, however many paths share a last part."""
+    files, changed = covered.select(F.col("path").alias("file")).distinct(), paths.select("path").distinct()
+    rank = lambda key: F.struct((F.col("file") != F.col(key)).alias("other"), (-F.length("file")).alias("shorter"), F.col("file"))
+    best = files.select("file", F.explode(_endings(F.col("file"))).alias("path")).groupBy("path").agg(F.min(rank("path")).alias("best"))
+    whole = changed.join(best, "path")
+    own = changed.select("path", F.explode(_endings(F.col("path"))).alias("file")).join(files, "file").select("path", rank("path").alias("best"))
+    return whole.unionByName(own).groupBy("path").agg(F.min("best").alias("best")).select("path", "best.file")
 
 
 def complexity(changes: DataFrame) -> DataFrame:
