@@ -200,15 +200,20 @@ def new_executables(before: DataFrame, after: DataFrame) -> DataFrame:
 def execution_order(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
     """nodes with ``rank``: 0 without dependencies, else one more than the largest rank of what they need, so that dependencies run first.
     Level by level; members of a cycle, and what needs them, have none. More than ``most`` levels are an error, not a guess."""
-    done = nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("rank", F.lit(0))
-    left = edges.select("src", "dst").distinct().where("src <> dst")
+    # Sorted, not broadcast: what is found over all levels would pass through the driver.
+    merged = lambda df: df.hint("merge")
+    left = settled(edges.select("src", "dst").distinct())
+    fresh = settled(nodes.join(merged(left.select(F.col("src").alias("node")).distinct()), "node", "left_anti").select("node"))
+    done, left = fresh.withColumn("rank", F.lit(0)), left.where("src <> dst")
     for level in range(1, most + 2):
-        open_ = settled(left.join(done.select(F.col("node").alias("dst")), "dst", "left_anti"))
-        ready = left.select(F.col("src").alias("node")).distinct().join(open_.select(F.col("src").alias("node")), "node", "left_anti").join(done.select("node"), "node", "left_anti")
-        ready = settled(ready)
-        if ready.isEmpty():
-            return nodes.join(done, "node", "left")
-        done = settled(done.unionByName(ready.withColumn("rank", F.lit(level))))
+        # What is settled has no edges left, so each level meets the last one's nodes only.
+        open_ = settled(left.join(merged(fresh.select(F.col("node").alias("dst"))), "dst", "left_anti"))
+        ready = left.select(F.col("src").alias("node")).distinct().join(merged(open_.select(F.col("src").alias("node"))), "node", "left_anti")
+        fresh, left = settled(ready), open_
+        if fresh.isEmpty():
+            return nodes.join(merged(done), "node", "left")
+        done = done.unionByName(fresh.withColumn("rank", F.lit(level)))
+        done = settled(done) if level % 50 == 0 else done
     raise ValueError(f"more than {most} levels of dependencies")
 
 
