@@ -10,21 +10,29 @@ from pyspark.sql.types import BooleanType
 SEMVER = r"^v?(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?$"
 
 
+def _groups(version: Column, pattern: str, n: int, key) -> Column:
+    """key of the function that gives a pattern's groups, the pattern being matched once; null for what it doesn't match."""
+    found = F.when(version.rlike(pattern), F.split(F.regexp_replace(version, pattern, "".join(f"${i}\x1f" for i in range(1, n + 1))), "\x1f", -1))
+    return F.transform(F.array(found), lambda g: F.when(g.isNotNull(), key(lambda i: g[i - 1])))[0]
+
+
 def semver_key(version: Column) -> Column:
     """A struct that compares as SemVer precedence does; null for what is no version. Build metadata doesn't count.
 
     Releases stand above pre-releases; numeric identifiers below others, and a shorter list of them below a longer one."""
-    part = lambda i: F.regexp_extract(version, SEMVER, i)
     identifier = lambda x: F.struct(
         (~x.rlike("^[0-9]+$")).alias("text"), F.when(x.rlike("^[0-9]+$"), x.cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)")).alias("number"), F.when(x.rlike("^[0-9]+$"), "").otherwise(x).alias("word")
     )
-    pre = F.when(part(4) == "", F.array().cast("array<string>")).otherwise(F.split(part(4), r"\."))
-    key = F.struct(
-        *(part(i).cast("decimal(20,0)").alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch"))),
-        (part(4) == "").alias("release"),
-        F.transform(pre, identifier).alias("pre"),
-    )
-    return F.when(version.rlike(SEMVER), key)
+
+    def key(part) -> Column:
+        pre = F.when(part(4) == "", F.array().cast("array<string>")).otherwise(F.split(part(4), r"\."))
+        return F.struct(
+            *(part(i).cast("decimal(20,0)").alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch"))),
+            (part(4) == "").alias("release"),
+            F.transform(pre, identifier).alias("pre"),
+        )
+
+    return _groups(version, SEMVER, 5, key)
 
 
 def is_pre(version: Column, ecosystem: Column | None = None) -> Column:
@@ -46,25 +54,27 @@ PEP440 = (
 def pep440_key(version: Column) -> Column:
     """A struct that compares as Python's versions do; null for what is none. Trailing zeros of a release don't count; a
     development release is below its pre-releases, those below the release, and that below its post-releases; a local label is above its public version."""
-    part = lambda i: F.lower(F.regexp_extract(version, PEP440, i))
     number = lambda x: F.when(x == "", 0).otherwise(x.cast("decimal(20,0)")).cast("decimal(20,0)")
-    release = F.transform(F.split(F.regexp_replace(part(2), r"(?:\.0+)+$", ""), r"\."), lambda x: x.cast("decimal(20,0)"))
-    post, dev = (part(5) != "") | (part(6) != ""), part(8) != ""
-    kind = F.when(part(3).isin("a", "alpha"), 0).when(part(3).isin("b", "beta"), 1).when(part(3) != "", 2).when(dev & ~post, -1).otherwise(3)
-    label = F.when(part(10) == "", F.array().cast("array<string>")).otherwise(F.split(part(10), "[-_.]"))
     whole = lambda x: x.rlike("^[0-9]+$")
-    local = F.transform(label, lambda x: F.struct(whole(x).alias("number"), F.when(whole(x), x.cast("decimal(20,0)")).alias("value"), F.when(whole(x), "").otherwise(x).alias("word")))
-    key = F.struct(
-        number(part(1)).alias("epoch"),
-        release.alias("release"),
-        kind.alias("kind"),
-        number(part(4)).alias("pre"),
-        F.when(post, number(F.concat(part(5), part(7)))).otherwise(-1).cast("decimal(20,0)").alias("post"),
-        (~dev).alias("final"),
-        number(part(9)).alias("dev"),
-        local.alias("local"),
-    )
-    return F.when(version.rlike(PEP440), key)
+
+    def key(part) -> Column:
+        release = F.transform(F.split(F.regexp_replace(part(2), r"(?:\.0+)+$", ""), r"\."), lambda x: x.cast("decimal(20,0)"))
+        post, dev = (part(5) != "") | (part(6) != ""), part(8) != ""
+        kind = F.when(part(3).isin("a", "alpha"), 0).when(part(3).isin("b", "beta"), 1).when(part(3) != "", 2).when(dev & ~post, -1).otherwise(3)
+        label = F.when(part(10) == "", F.array().cast("array<string>")).otherwise(F.split(part(10), "[-_.]"))
+        local = F.transform(label, lambda x: F.struct(whole(x).alias("number"), F.when(whole(x), x.cast("decimal(20,0)")).alias("value"), F.when(whole(x), "").otherwise(x).alias("word")))
+        return F.struct(
+            number(part(1)).alias("epoch"),
+            release.alias("release"),
+            kind.alias("kind"),
+            number(part(4)).alias("pre"),
+            F.when(post, number(F.concat(part(5), part(7)))).otherwise(-1).cast("decimal(20,0)").alias("post"),
+            (~dev).alias("final"),
+            number(part(9)).alias("dev"),
+            local.alias("local"),
+        )
+
+    return _groups(F.lower(version), PEP440, 10, key)
 
 
 def order_key(version: Column, ecosystem: Column | None = None) -> Column:
@@ -73,9 +83,10 @@ def order_key(version: Column, ecosystem: Column | None = None) -> Column:
     if ecosystem is None:
         return semver
     python = pep440_key(version)
-    return F.when(ecosystem == "PyPI", F.when(python.isNotNull(), F.struct(F.lit(None).cast("int").alias("_"), python.alias("python"), F.when(F.lit(False), semver).alias("semver")))).otherwise(
-        F.when(semver.isNotNull(), F.struct(F.lit(None).cast("int").alias("_"), F.when(F.lit(False), python).alias("python"), semver.alias("semver")))
-    )
+    mine = lambda p: F.when(p.isNotNull(), F.struct(F.lit(None).cast("int").alias("_"), p.alias("python"), F.when(F.lit(False), semver).alias("semver")))
+    other = lambda s: F.when(s.isNotNull(), F.struct(F.lit(None).cast("int").alias("_"), F.when(F.lit(False), python).alias("python"), s.alias("semver")))
+    # A key is made once and then named, as each mention would make it again.
+    return F.when(ecosystem == "PyPI", F.transform(F.array(python), mine)[0]).otherwise(F.transform(F.array(semver), other)[0])
 
 
 def stated(rows: DataFrame) -> Column | None:

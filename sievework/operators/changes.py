@@ -92,5 +92,6 @@ def guidance(vulnerable: DataFrame, requirements: DataFrame, upgrades: DataFrame
 def lowest_fix(entries: DataFrame) -> DataFrame:
     """For each package the lowest of its advisories' fixes above its version, and how many have none."""
     k = lambda v: V.order_key(v, V.stated(entries))
-    above = F.when(k(F.col("fixed")) > k(F.col("version")), F.col("fixed"))
-    return entries.groupBy("name", "version").agg(F.min_by(above, k(above)).alias("fix"), F.count_if(above.isNull()).alias("without"))
+    keyed = entries.select("name", "version", "fixed", k(F.col("fixed")).alias("key"), k(F.col("version")).alias("now"))
+    above = lambda c: F.when(F.col("key") > F.col("now"), F.col(c))
+    return keyed.groupBy("name", "version").agg(F.min_by(above("fixed"), above("key")).alias("fix"), F.count_if(above("fixed").isNull()).alias("without"))
