@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import settled
 from ..operators import report as R
 from ..operators import scan as S
 from ..operators import suppress as U
@@ -26,20 +27,20 @@ def _keyed(spark, sf_dir):
 
 def suppression_known(spark, sf_dir):
     """What a third of the documents has, against the rest as a baseline."""
-    f = _keyed(spark, sf_dir)
+    f = settled(_keyed(spark, sf_dir))
     found, _ = U.known(f.where("half").drop("half"), f.where("not half").drop("half"))
     return found.select("path", "rule", "match", "how", "moved_from")
 
 
 def suppression_pass(spark, sf_dir):
-    f = _keyed(spark, sf_dir)
+    f = settled(_keyed(spark, sf_dir))
     base, baseline = (f.where("not half").where(F.col("rule") == r).drop("half") for r in ("License Line", "IPv4 Address"))
     rows, _ = U.suppression_pass(f.where("half").drop("half"), RULES, F.lit(TODAY).cast("date"), base, baseline)
     return rows.select("path", "rule", "match", "verdict", "detail")
 
 
 def suppression_unclaimed(spark, sf_dir):
-    f = _keyed(spark, sf_dir)
+    f = settled(_keyed(spark, sf_dir))
     _, free = U.known(f.where("half").drop("half"), f.where("not half").drop("half"))
     return free.select("rule", "path", "match")
 
