@@ -32,3 +32,9 @@ def ship(spark: SparkSession) -> None:
 def settled(df: DataFrame) -> DataFrame:
     """df computed once: a checkpoint in the folder that spark.checkpoint.dir names, or kept in memory where the session names none."""
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over the cores, before steps that take much time a row: a small file of many rows is read by a task or two, and what follows would stay with them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))

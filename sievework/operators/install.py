@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import settled, ship
+from ..cluster import settled, ship, spread
 from . import lint as N
 from . import shell
 
@@ -159,18 +159,48 @@ def script_packages(packages: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("name", "hooks", helpers.alias("helpers"), F.concat(signals(F.col("body"), "javascript"), out).alias("signals"), N.longest_blob(F.col("body")).alias("blob"))
 
 
-def _window_bits(data: bytes, width: int) -> float:
-    best, x = 0.0, np.frombuffer(data, np.uint8)
-    for a in range(0, max(0, len(x) - width + 1), 1 << 14):
-        rows = np.sort(np.lib.stride_tricks.sliding_window_view(x[a : a + (1 << 14) + width - 1], width), axis=1)
-        # Runs of equal bytes in a sorted window are its counts.
-        new = np.ones(rows.shape, bool)
-        new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-        at = np.flatnonzero(new.ravel())
-        count = np.diff(np.append(at, new.size))
-        part = count / width * np.log2(count / width)
-        bits = -np.bincount(at // width, part, len(rows))
-        best = max(best, float(bits.max()))
+#: Bytes that are counted at once, and the parts of a bit in which sums are kept, so that adding and taking away leaves no error.
+BLOCK, UNIT = 1 << 20, float(1 << 36)
+
+
+def _block_bits(pieces: list[bytes], width: int) -> np.ndarray:
+    """The largest entropy of the windows of each piece, none of them shorter than a window. A window differs from the one before by a byte in and a byte out, whose counts are differences of ranks."""
+    x, size = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+    n, starts, at = len(x), np.cumsum(size) - size, np.arange(len(x))
+    stride = n + width + 1
+    key = (np.repeat(np.arange(len(pieces)), size) * 256 + x) * stride + at
+    order = np.argsort(key, kind="stable")
+    ranked, rank = key[order], np.empty(n, np.int64)
+    rank[order] = at
+    # f(c) is what a byte that stands c times in a window adds to the sum of c log c.
+    f = np.rint(np.arange(width + 1) * np.log2(np.maximum(np.arange(width + 1), 1)) * UNIT).astype(np.int64)
+    step = np.append(0, np.diff(f))
+    change = step[rank + 1 - np.searchsorted(ranked, key - width + 1)]
+    leaves = np.flatnonzero(at - np.repeat(starts, size) >= width)
+    gone = leaves - width
+    change[leaves] -= step[np.searchsorted(ranked, key[gone] + width) - rank[gone]]
+    total = np.cumsum(change)
+    total -= np.repeat(total[starts] - change[starts], size)
+    total[at - np.repeat(starts, size) < width - 1] = np.iinfo(np.int64).max
+    return np.log2(width) - np.minimum.reduceat(total, starts) / UNIT / width
+
+
+def _window_bits(texts: list[bytes], width: int) -> np.ndarray:
+    """The largest entropy of any window of each text, in blocks of many texts, or of parts of a long one that overlap."""
+    best, held, size = np.zeros(len(texts)), [], 0
+
+    def flush() -> None:
+        if held:
+            np.maximum.at(best, [i for i, _ in held], _block_bits([p for _, p in held], width))
+
+    for i, t in enumerate(texts):
+        for a in range(0, len(t) - width + 1, BLOCK):
+            held.append((i, t[a : a + BLOCK + width - 1]))
+            size += len(held[-1][1])
+            if size >= BLOCK:
+                flush()
+                held, size = [], 0
+    flush()
     return best
 
 
@@ -180,10 +210,10 @@ def sliding_entropy(texts: DataFrame, text: str, width: int = 64) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["bits"] = [_window_bits((t or "").encode(), width) for t in f[text]]
+            f["bits"] = _window_bits([(t or "").encode() for t in f[text]], width)
             yield f
 
-    return texts.mapInPandas(run, ", ".join([f"`{n}` {k}" for n, k in texts.dtypes] + ["bits double"]))
+    return spread(texts).mapInPandas(run, ", ".join([f"`{n}` {k}" for n, k in texts.dtypes] + ["bits double"]))
 
 
 def explosion(new: DataFrame, requested: DataFrame, most: int = 50) -> DataFrame:

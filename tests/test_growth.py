@@ -11,6 +11,7 @@ from sievework.operators import install as I
 from sievework.operators import review as V
 from sievework.operators import suppress as U
 from sievework.sources import coverage as C
+from sievework.operators import install as I
 from sievework.sources import patches as P
 
 
@@ -82,3 +83,19 @@ def test_levels_stay_off_the_driver(spark):
     got = I.execution_order(edges, spark.createDataFrame([(i,) for i in range(1, 9)], "node int"))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert dict(got.collect()) == {1: 2, 2: 1, 3: 0, 4: None, 5: None, 6: None, 7: None, 8: None}
+
+
+def _tasks(found):
+    return found.select(F.spark_partition_id()).distinct().count()
+
+
+def test_entropy_of_a_small_file_of_many_rows_is_spread(spark):
+    texts = spark.range(0, 400, 1, 1).select("id", F.repeat(F.md5(F.col("id").cast("string")), 4).alias("t"))
+    assert _tasks(I.sliding_entropy(texts, "t")) > 1
+
+
+def test_entropy_of_long_texts_and_many_in_a_block():
+    """Parts of a long text overlap by a window less a byte, so the only window of 64 different bytes, across two parts, is found."""
+    n = I.BLOCK - 30
+    got = I._window_bits([b"a" * n + bytes(range(64)) + b"a" * 999, b"", b"a" * 64, b"ab" * 40, bytes(range(63))], 64)
+    assert got.round(9).tolist() == [6.0, 0.0, 0.0, 1.0, 0.0]
