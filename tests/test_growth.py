@@ -12,6 +12,7 @@ from sievework.operators import review as V
 from sievework.operators import suppress as U
 from sievework.sources import coverage as C
 from sievework.operators import install as I
+from sievework.operators import static as A
 from sievework.sources import patches as P
 
 
@@ -99,3 +100,8 @@ def test_entropy_of_long_texts_and_many_in_a_block():
     n = I.BLOCK - 30
     got = I._window_bits([b"a" * n + bytes(range(64)) + b"a" * 999, b"", b"a" * 64, b"ab" * 40, bytes(range(63))], 64)
     assert got.round(9).tolist() == [6.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def test_static_rules_of_a_small_file_of_many_rows_are_spread(spark):
+    files = spark.range(0, 400, 1, 1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("path"), F.lit("eval(x)\ny = 'a'\n").alias("text"))
+    assert _tasks(A.scan(files)) > 1 and _tasks(A.literal_lines(files)) > 1
