@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import settled
+from ..cluster import settled, spread
 
 # Commands that run another command; for each the short options and the long ones that take a value, those that change folder, and the words before the command.
 WRAPPERS = {
@@ -270,7 +270,7 @@ def located(lines: DataFrame) -> DataFrame:
 def installs(lines: DataFrame, column: str = "command", folder: Column | None = None) -> DataFrame:
     """One row an install in shell lines, with the columns of lines: at (its place, by line and nested line), folder, manager, args (null where it can't be planned), names, why (it can't, else null) and text."""
     keep = [F.col(c) for c in lines.columns]
-    level = lines.select(F.struct(*keep).alias("row"), F.col(column).alias("body"), (F.lit("") if folder is None else folder).alias("folder"), F.array().cast("array<int>").alias("above"))
+    level = spread(lines).select(F.struct(*keep).alias("row"), F.col(column).alias("body"), (F.lit("") if folder is None else folder).alias("folder"), F.array().cast("array<int>").alias("above"))
     found = None
     while True:
         each = located(level).withColumn("at", F.array_append("above", F.col("nth"))).drop("above", "nth", "body")

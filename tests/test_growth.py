@@ -105,3 +105,9 @@ def test_entropy_of_long_texts_and_many_in_a_block():
 def test_static_rules_of_a_small_file_of_many_rows_are_spread(spark):
     files = spark.range(0, 400, 1, 1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("path"), F.lit("eval(x)\ny = 'a'\n").alias("text"))
     assert _tasks(A.scan(files)) > 1 and _tasks(A.literal_lines(files)) > 1
+
+
+def test_screening_of_a_small_file_of_many_rows_is_spread(spark):
+    lines = spark.range(0, 400, 1, 1).select("id", F.concat(F.lit("npm i a"), "id").alias("command"))
+    found = I.screened(lines)
+    assert _tasks(found) > 1 and found.count() == 400
