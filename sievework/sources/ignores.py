@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import settled, ship
 
 #: Ignore files, the stronger first.
 NAMES = (".ignore", ".gitignore")
 #: What a single wildcard takes: globs go by bytes, so no sign of several.
 ONE = r"[\x00-.0-\x7f]"
+#: Rows of one folder that meet in a task.
+EACH = 1 << 16
 _RULES = "dir string, name string, rules array<struct<regex:string,negated:boolean,folder:boolean>>"
 
 
@@ -95,9 +97,18 @@ def _above(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
+def _meet(rows: DataFrame, side: DataFrame, how: str = "inner", each: int = EACH) -> DataFrame:
+    """rows (path, dir) with the rows of side that have their dir. Paths share the folders near the root, so those with many rows are dealt over parts, and their rows of side copied into each; such folders are one for ``each`` rows at most."""
+    wide = F.broadcast(settled(rows.groupBy("dir").agg(F.ceil(F.count("*") / each).cast("int").alias("parts")).where("parts > 1")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(wide, "dir", "left").withColumn("part", F.pmod(F.xxhash64("path"), parts).cast("int")).drop("parts")
+    copied = side.join(wide, "dir", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copied, ["dir", "part"], how).drop("part")
+
+
 def _ignored(paths: DataFrame, found: DataFrame, folder: bool, names: tuple[str, ...]) -> DataFrame:
     """The paths whose last rule that takes them ignores them: of the stronger kind of file, then of the deepest folder."""
-    asked = paths.select("path", F.explode(_above(F.col("path"))).alias("dir")).join(found, "dir")
+    asked = _meet(paths.select("path", F.explode(_above(F.col("path"))).alias("dir")), found)
     rest = F.when(F.col("dir") == "", F.col("path")).otherwise(F.substr("path", F.length("dir") + 2))
     takes = lambda r: F.rlike(F.col("rest"), r["regex"]) & (F.lit(folder) | ~r["folder"])
     last = asked.withColumn("rest", rest).withColumn("last", F.try_element_at(F.filter("rules", takes), F.lit(-1))).where("last is not null")
@@ -108,8 +119,8 @@ def _ignored(paths: DataFrame, found: DataFrame, folder: bool, names: tuple[str,
 def walked(files: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
     """files (path, text) that the tree's own ignore files and its VCS folder leave in; files whose names begin with a dot are files like others."""
     files = files.where(~F.col("path").rlike(r"(?:^|/)\.git(?:/|$)"))
-    found, paths = rules(files, names), files.select("path").distinct()
+    found, paths = settled(rules(files, names)), settled(files.select("path").distinct())
     below = paths.select("path", F.explode(F.filter(_above(F.col("path")), lambda d: d != "")).alias("dir"))
     shut = _ignored(below.select(F.col("dir").alias("path")).distinct(), found, True, names)
-    gone = below.join(shut.withColumnRenamed("path", "dir"), "dir", "left_semi").select("path").unionByName(_ignored(paths, found, False, names))
+    gone = _meet(below, shut.withColumnRenamed("path", "dir"), "left_semi").select("path").unionByName(_ignored(paths, found, False, names))
     return files.join(gone.distinct(), "path", "left_anti")

@@ -13,6 +13,7 @@ from sievework.operators import suppress as U
 from sievework.sources import coverage as C
 from sievework.operators import install as I
 from sievework.operators import static as A
+from sievework.sources import ignores as G
 from sievework.sources import patches as P
 
 
@@ -111,3 +112,25 @@ def test_screening_of_a_small_file_of_many_rows_is_spread(spark):
     lines = spark.range(0, 400, 1, 1).select("id", F.concat(F.lit("npm i a"), "id").alias("command"))
     found = I.screened(lines)
     assert _tasks(found) > 1 and found.count() == 400
+
+
+def test_paths_of_one_folder_are_dealt_over_parts(spark):
+    """All paths lie below the root, whose ignore file met them in one task."""
+    rows = spark.range(1000).select(F.concat(F.lit("src/f"), "id").alias("path"), F.explode(F.array(F.lit(""), F.lit("src"))).alias("dir"))
+    side = spark.createDataFrame([("", "a"), ("", "b"), ("src", "c"), ("doc", "d")], "dir string, name string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = G._meet(rows, side.hint("merge"), each=20).withColumn("task", F.spark_partition_id()).collect()
+        kept = G._meet(rows, side.where("dir = 'src'").select("dir"), "left_semi", 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r["path"], r["dir"], r["name"]) for r in got) == sorted((f"src/f{i}", d, n) for i in range(1000) for d, n in (("", "a"), ("", "b"), ("src", "c")))
+    assert len({r["task"] for r in got if r["name"] == "a"}) > 1
+    assert sorted((r["path"], r["dir"]) for r in kept) == sorted((f"src/f{i}", "src") for i in range(1000))
+
+
+def test_tree_of_more_paths_than_meet_in_a_task(spark):
+    n = 2 * G.EACH
+    files = spark.range(n).select(F.concat(F.when(F.col("id") % 2 == 0, "x/").otherwise("out/"), "id", F.when(F.col("id") % 3 == 0, ".log").otherwise(".c")).alias("path"), F.lit("").alias("text"))
+    left = G.walked(files.unionByName(spark.createDataFrame([(".gitignore", "*.log\nout/\n")], "path string, text string"))).where("path <> '.gitignore'")
+    assert left.count() == sum(i % 2 == 0 and i % 3 > 0 for i in range(n)) and left.where("path like 'out/%' or path like '%.log'").isEmpty()
