@@ -7,6 +7,7 @@ with one and the same set are a class and are compared once. The join is exact:
    (``repeats``). Tokens in one document alone can't be shared: a set with fewer than ceil(percent n / 100) others links with nothing and goes no further.
 2. Tokens are put in a global order, rare ones first. Two sets that link share one of the first
    n - ceil(percent n / 100) + 1 tokens of either, so only classes that share such a token meet.
+   Tokens with nearly the same members are one group from there on, so that near copies meet a few times, not once for each token they share.
 3. Every class first meets a few pivots of each of its tokens; links found there join near copies into components,
    by a number of comparisons that is linear in the members.
 4. Tokens whose members are in several components then get a signature tree each: the leaves are members, with a bitmap
@@ -325,9 +326,17 @@ def _coarse(key: tuple, pairs: pa.Table, maps: pa.Table, percent: int) -> pa.Tab
 
 
 def _in_blocks(pairs: DataFrame, side: DataFrame, each: int, compare) -> DataFrame:
-    """The pairs that compare keeps, block by block. Pairs are dealt by both classes, so those of one class with many spread; a class's row of ``side`` goes to a block once."""
+    """The pairs that compare keeps, block by block. Pairs of near copies are dealt together, those of
+    one class with many in parts; a class's row of ``side`` goes to a block once."""
     blocks = max(1, -(-pairs.count() // each))
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).cast("int"))
+    if blocks > 1:
+        # A pair goes where b's least partner goes, or to one of its parts if more than a quarter of a block goes there.
+        home = pairs.groupBy("b").agg(F.min("a").alias("home"), F.count("*").alias("k"))
+        parts = home.groupBy("home").agg(F.ceil(4 * F.sum("k") / each).cast("int").alias("parts"))
+        pairs = pairs.join(home.drop("k").join(parts, "home"), "b").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("home", "part"), F.lit(blocks)).cast("int").alias("block"))
+    else:
+        pairs = pairs.withColumn("block", F.lit(0))
     need = materialize(pairs.select("block", F.explode(F.array("a", "b")).alias("cls")).distinct(), "needed")
     out = materialize(pairs.groupBy("block").cogroup(need.join(side, "cls").groupBy("block")).applyInArrow(compare, "a binary, b binary"), "compared")
     release(need)
@@ -364,6 +373,17 @@ def _sets(docs: DataFrame, own: DataFrame, words: int) -> DataFrame:
     return docs.select("tag", "text").mapInArrow(tidy(wanted), "cls binary, tokens binary")
 
 
+def _merged(each: DataFrame) -> DataFrame:
+    """Members of groups of tokens, from those of each token (token, cls, n, place; k: how many, low and high: their least and greatest hash). Tokens of near copies have
+    nearly the same members, and a pair would be met once for each token it shares. Tokens with the same ends and the same length, but for less than a factor of two, are one group,
+    with each member's first place in it; where their members are more than twice those of the longest list, they stay on their own."""
+    each = each.withColumn("near", F.xxhash64("low", "high", F.floor(F.log2("k"))))
+    merged = each.groupBy("near", "cls").agg(F.first("n").alias("n"), F.min("place").alias("place"), F.max("k").alias("k"))
+    unlike = merged.groupBy("near").agg(F.count("*").alias("all"), F.max("k").alias("k")).where("all > 2 * k").select("near")
+    own = each.join(unlike, "near", "left_semi").select("token", "cls", "n", "place")
+    return merged.join(unlike, "near", "left_anti").select(F.col("near").alias("token"), "cls", "n", "place").unionByName(own)
+
+
 def _may_link(a: Column, b: Column, percent: int) -> Column:
     """Whether the sizes, and the places of a first shared token, of two members allow a link."""
     least = lambda x: (100 + percent) * (x["n"] - x["place"]) >= percent * (a["n"] + b["n"])
@@ -422,9 +442,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     place = materialize(place, "tokens")
     # Of tokens with the same members one does, the first in the order: what shares one of them shares it.
     same = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    lists = place.groupBy("token").agg(F.count("*").alias("k"), F.sum("place").alias("places"), *same).where("k > 1")
-    several = lists.groupBy("k", "x0", "x1").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
-    members = materialize(place.join(several, "token"), "members")
+    h = F.xxhash64("cls")
+    lists = place.groupBy("token").agg(F.count("*").alias("k"), F.sum("place").alias("places"), F.min(h).alias("low"), F.max(h).alias("high"), *same).where("k > 1")
+    several = lists.groupBy("k", "x0", "x1", "low", "high").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token", "k", "low", "high")
+    each = materialize(place.join(several, "token"), "lists")
+    members = materialize(_merged(each), "members")
+    release(each)
     own = materialize(able.join(members.select("cls").distinct(), "cls", "left_semi").drop("tokens"), "signatures")
     release(place, able)
     sets = materialize(_sets(docs, own, words), "sets")
@@ -447,6 +470,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             release(at, pairs)
             continue
         more = linked(own, sets, pairs, percent)
+        if links is not None and more.isEmpty():
+            release(at, pairs, more)
+            continue
         before = [x for x in (links, known) if x is not None]
         links = more if links is None else materialize(links.unionByName(more), "links")
         known = materialize(components(links), "components")

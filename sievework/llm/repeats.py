@@ -7,7 +7,7 @@ that grows with the logarithm of the count. Nothing is broadcast or collected; a
 fingerprint reaches its shard once a chunk, however frequent it is.
 
 A fingerprint has so many bits that there are at least ten values for each item of the corpus: few items that occur once
-look repeated, at any size, and none that repeats looks single. Sorted fingerprints are held as differences, two bytes each or so.
+look repeated, at any size, and none that repeats looks single. Sorted fingerprints are held in two bits more than the logarithm of their mean distance, rows' numbers in as many bits as a chunk has need of.
 """
 
 from __future__ import annotations
@@ -59,12 +59,45 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
-def _differences(x: np.ndarray, base: int) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(base)))
+def _low_bits(x: np.ndarray, width: int) -> np.ndarray:
+    size = next(s for s in (2, 4, 8) if width <= 8 * s)
+    return np.packbits(np.unpackbits(x.astype(f">u{size}").view(np.uint8).reshape(-1, size), axis=1)[:, 8 * size - width :])
 
 
-def _sums(data: bytes, base: int) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64) + np.uint64(base)
+def _from_low_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    size = next(s for s in (2, 4, 8) if width <= 8 * s)
+    bits = np.zeros((n, 8 * size), np.uint8)
+    bits[:, 8 * size - width :] = np.unpackbits(data, count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1).view(f">u{size}").ravel().astype(np.uint64)
+
+
+def pack_bits(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bits each as the largest needs; their count and that width first."""
+    width = int(x.max()).bit_length() if len(x) else 0
+    return len(x).to_bytes(4, "little") + bytes([width]) + _low_bits(x, width).tobytes()
+
+
+def unpack_bits(data: bytes) -> np.ndarray:
+    return _from_low_bits(np.frombuffer(data, np.uint8, offset=5), int.from_bytes(data[:4], "little"), data[4])
+
+
+def pack_sorted(x: np.ndarray, base: int) -> bytes:
+    """Ascending numbers from base on, as low bits and the high bits' differences in unary (Elias-Fano): some two bits more each than the logarithm of their mean distance, however uneven the distances are."""
+    x = x - np.uint64(base)
+    n, most = len(x), int(x[-1]) if len(x) else 0
+    width = max(0, (most // max(1, n)).bit_length() - 1)
+    high = (x >> np.uint64(width)).astype(np.int64) + np.arange(n)
+    unary = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
+    unary[high] = 1
+    return n.to_bytes(4, "little") + bytes([width]) + _low_bits(x, width).tobytes() + np.packbits(unary).tobytes()
+
+
+def unpack_sorted(data: bytes, base: int) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    cut = -(-n * width // 8)
+    rest = np.frombuffer(data, np.uint8, offset=5)
+    high = np.flatnonzero(np.unpackbits(rest[cut:])) - np.arange(n)
+    return ((high.astype(np.uint64) << np.uint64(width)) | _from_low_bits(rest[:cut], n, width)) + np.uint64(base)
 
 
 #: A chunk's row for a shard: distinct fingerprints, how often each occurs, and the chunk's rows that hold them.
@@ -90,9 +123,9 @@ def chunk_rows(chunk: int, prints: np.ndarray, row: np.ndarray, plan: Plan) -> p
         [
             pa.array([chunk] * len(full), pa.int64()),
             pa.array(full, pa.int32()),
-            pa.array([_differences(distinct[cuts[s] : cuts[s + 1]], s << step) for s in full], pa.binary()),
+            pa.array([pack_sorted(distinct[cuts[s] : cuts[s + 1]], s << step) for s in full], pa.binary()),
             pa.array([zlib.compress(pack(counts[cuts[s] : cuts[s + 1]]), 1) for s in full], pa.binary()),
-            pa.array([pack(row[at[s] : at[s + 1]]) for s in full], pa.binary()),
+            pa.array([pack_bits(row[at[s] : at[s + 1]]) for s in full], pa.binary()),
         ],
         names=["chunk", "shard", "prints", "counts", "rows"],
     )
@@ -126,7 +159,7 @@ def _answers(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
     step = plan.bits - plan.shard_bits
     for rows in groups_of(batches, ["shard"]):
         shard = rows.column("shard")[0].as_py()
-        own = [_sums(x, shard << step) for x in rows.column("prints").to_pylist()]
+        own = [unpack_sorted(x, shard << step) for x in rows.column("prints").to_pylist()]
         counts = np.concatenate([unpack(zlib.decompress(x)) for x in rows.column("counts").to_pylist()]).astype(np.int64)
         every = np.concatenate(own)
         order = np.argsort(every)
@@ -141,7 +174,7 @@ def _answers(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
                 rows.column("chunk").combine_chunks(),
                 pa.array([shard] * len(own), pa.int32()),
                 pa.array([zlib.compress(m.tobytes(), 1) for m in marks], pa.binary()),
-                pa.array([_differences(x[m > 0], shard << step) for x, m in zip(own, marks, strict=True)], pa.binary()),
+                pa.array([pack_sorted(x[m > 0], shard << step) for x, m in zip(own, marks, strict=True)], pa.binary()),
             ],
             names=["chunk", "shard", "marks", "repeated"],
         )
@@ -161,7 +194,7 @@ def repeated_items(counts: list[bytes], rows: list[bytes], shards: list[int], ma
         times, mark = unpack(zlib.decompress(c)).astype(np.int64), np.frombuffer(zlib.decompress(m), np.uint8)
         often = mark > 0
         if often.any():
-            row.append(unpack(r)[np.repeat(often, times)].astype(np.int64))
-            prints.append(np.repeat(_sums(p, s << step), times[often]))
+            row.append(unpack_bits(r)[np.repeat(often, times)].astype(np.int64))
+            prints.append(np.repeat(unpack_sorted(p, s << step), times[often]))
             kind.append(np.repeat(mark[often], times[often]))
     return np.concatenate(row), np.concatenate(prints), np.concatenate(kind)

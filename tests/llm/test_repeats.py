@@ -85,6 +85,98 @@ def test_bands_and_parts_lose_no_link(spark):
     assert len({c for _, c in want}) < 160
 
 
+def test_prints_and_rows_take_few_bits():
+    """Near what their distances ask for, not a whole number of bytes that the largest distance sets."""
+    rng = np.random.default_rng(8)
+    plan = repeats.Plan(40, 2, 1 << 19)
+    prints = np.unique(rng.integers(0, 1 << 40, 20000).astype(np.uint64))
+    for x in (prints, np.append(prints, prints)):
+        sent = repeats.chunk_rows(0, x, np.arange(len(x)) % 1100, plan)
+        assert 8 * sum(map(len, sent.column("prints").to_pylist())) < len(prints) * (np.log2((1 << 40) / len(prints)) + 3)
+        assert 8 * sum(map(len, sent.column("rows").to_pylist())) < len(x) * 11.1
+    back = pa.Table.from_batches(repeats._answers(iter([sent]), plan))
+    assert 8 * sum(map(len, back.column("repeated").to_pylist())) < len(prints) * (np.log2((1 << 40) / len(prints)) + 3)
+    for base in (0, 7 << 40):
+        for y in ([], [0], [5], [0, 1, 2, 3], [0, 1 << 50], [1 << 61]):
+            y = np.array(y, np.uint64) + np.uint64(base)
+            assert repeats.unpack_sorted(repeats.pack_sorted(y, base), base).tolist() == y.tolist()
+    for y in ([], [0], [0, 0], [3], [255, 1], [1 << 40, 0]):
+        assert repeats.unpack_bits(repeats.pack_bits(np.array(y, np.int64))).tolist() == y
+
+
+def _kept_tables(monkeypatch, name):
+    """Rows of the tables that jaccard writes under that name."""
+    kept, write = [], jaccard.materialize
+
+    def materialize(df, n):
+        out = write(df, n)
+        if n == name:
+            kept.append(out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", materialize)
+    return kept
+
+
+def test_near_copies_meet_a_few_times(spark, monkeypatch):
+    """Not once for each token that they share; and copies of several texts, some of which link and some don't, lose no link."""
+    rng = np.random.default_rng(9)
+    base = [[f"w{b}x{i}" for i in range(160)] for b in range(3)]
+    rows = []
+    for i in range(120):
+        words = list(base[i % 3])
+        for at in rng.choice(160, int(rng.integers(1, 5)), replace=False):
+            words[at] = f"y{rng.integers(1 << 30)}"
+        rows.append((i, " ".join(words)))
+    kept = _kept_tables(monkeypatch, "members")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert got == dict(enumerate(root))
+    assert 3 < len(set(root)) < 120
+    groups = {}
+    for r in kept[0]:
+        groups.setdefault(r["token"], []).append(bytes(r["cls"]))
+    met = Counter((a, b) for g in groups.values() for a in g for b in g if a < b)
+    assert sum(met.values()) < 8 * len(met)
+
+
+def test_tokens_with_unlike_members_stay_alone(spark):
+    """Lists with the same ends and about the same length, but little else in common, aren't made one large group."""
+    like = [(0, [1, 2, 3, 4, 9]), (1, [1, 2, 3, 5, 9])]
+    unlike = [(10 + i, [100, 199, *range(110 + 3 * i, 113 + 3 * i)]) for i in range(6)]
+    rows = [(t, c.to_bytes(2, "big"), 50, i, len(g), min(g), max(g)) for t, g in like + unlike for i, c in enumerate(g)]
+    got = jaccard._merged(spark.createDataFrame(rows, "token long, cls binary, n long, place int, k long, low long, high long")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["token"], {})[int.from_bytes(r["cls"], "big")] = r["place"]
+    assert {t: set(g) for t, g in groups.items() if t in dict(unlike)} == {t: set(g) for t, g in unlike}
+    assert [g for t, g in groups.items() if t not in dict(unlike)] == [{1: 0, 2: 1, 3: 2, 4: 3, 5: 3, 9: 4}]
+
+
+def test_a_set_goes_to_few_blocks(spark, monkeypatch):
+    """Pairs of near copies are compared in one block, or in its parts where they are many."""
+    pairs = [(f"{c:03d}{a:03d}".encode(), f"{c:03d}{b:03d}".encode()) for c in range(40) for b in range(6) for a in range(b)]
+    pairs += [(b"900000", f"9{b:05d}".encode()) for b in range(1, 400)]
+    own = sorted({x for p in pairs for x in p})
+    side = spark.createDataFrame([(x, int(x)) for x in own], "cls binary, v long")
+    kept = _kept_tables(monkeypatch, "needed")
+
+    def compare(key, pairs, side):
+        assert set(pairs.column("a").to_pylist()) | set(pairs.column("b").to_pylist()) == set(side.column("cls").to_pylist())
+        return pairs.select(["a", "b"])
+
+    got = jaccard._in_blocks(spark.createDataFrame(pairs, "a binary, b binary"), side, 50, compare).collect()
+    assert sorted((bytes(r["a"]), bytes(r["b"])) for r in got) == sorted(pairs)
+    assert len(kept[0]) < 1.5 * len(own)
+    assert max(Counter(r["block"] for r in kept[0]).values()) < 200
+
+
 def test_minima_fill_all_shards_alike_and_sketches_grow(spark):
     keys = np.sort(mix(np.arange(400000, dtype=np.uint64)).reshape(-1, 100), axis=1)[:, 0]
     count = 1 << 20
