@@ -8,21 +8,23 @@ from ..operators import taint
 
 
 def _programs(spark, sf_dir):
-    """Names v0 to v3; a statement's kind and the names it uses follow from the item's keys."""
+    """Names v0 to v3; a statement's kind and the names it uses follow from the item's keys. Texts are made from these once they are together."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     name = lambda c: F.concat(F.lit("v"), (c % 4).cast("int").cast("string"))
-    kind, k, j = F.col("l_partkey") % 6, name(F.col("l_suppkey")), name(F.col("l_quantity").cast("long"))
-    value = (
-        F.when(kind == 0, F.lit("req.query")).when(kind == 1, F.lit("'it''s' /* req.body */".replace("''", "\\'")))
-        .when(kind == 2, F.concat(F.lit("DOMPurify.sanitize("), k, F.lit(" + req.body.x)"))).when(kind == 3, F.concat(F.lit("`a${"), k, F.lit("}b` + ("), j, F.lit(")")))
-        .when(kind == 4, F.concat(k, F.lit("\n  + 'x'"))).otherwise(F.concat(F.lit("run(1, ["), k, F.lit("])")))
-    )
-    target = name(F.col("l_linenumber"))
-    line = F.concat(F.lit("  "), target, F.lit(" = "), value, F.when(F.col("l_suppkey") % 2 == 0, ";").otherwise(""), F.lit("\n  el.innerHTML = "), target, F.lit(";\n"))
-    odd = F.col("l_linenumber") % 2 == 1
-    body = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("l_linenumber", line.alias("s"))))), lambda x: x["s"]), "")
-    text = F.concat(F.lit("let v0, v1, v2, v3 = req.body;\nfunction f() {\n"), body(odd), F.lit("}\nconst g = (a) => {\n"), body(~odd), F.lit("}\n"))
-    return li.groupBy("l_orderkey").agg(text.alias("text")).select(F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("path"), "text")
+
+    def line(x):
+        kind, k, j, target = x["kind"], name(x["k"]), name(x["j"]), name(x["n"])
+        value = (
+            F.when(kind == 0, F.lit("req.query")).when(kind == 1, F.lit("'it''s' /* req.body */".replace("''", "\\'")))
+            .when(kind == 2, F.concat(F.lit("DOMPurify.sanitize("), k, F.lit(" + req.body.x)"))).when(kind == 3, F.concat(F.lit("`a${"), k, F.lit("}b` + ("), j, F.lit(")")))
+            .when(kind == 4, F.concat(k, F.lit("\n  + 'x'"))).otherwise(F.concat(F.lit("run(1, ["), k, F.lit("])")))
+        )
+        return F.concat(F.lit("  "), target, F.lit(" = "), value, F.when(x["k"] % 2 == 0, ";").otherwise(""), F.lit("\n  el.innerHTML = "), target, F.lit(";\n"))
+
+    item = F.struct(F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 6).cast("tinyint").alias("kind"), (F.col("l_suppkey") % 4).cast("tinyint").alias("k"), (F.col("l_quantity").cast("long") % 4).cast("tinyint").alias("j"))
+    body = lambda odd: F.array_join(F.transform(F.filter("items", lambda x: (x["n"] % 2 == 1) == odd), line), "")
+    text = F.concat(F.lit("let v0, v1, v2, v3 = req.body;\nfunction f() {\n"), body(F.lit(True)), F.lit("}\nconst g = (a) => {\n"), body(F.lit(False)), F.lit("}\n"))
+    return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items")).select(F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("path"), text.alias("text"))
 
 
 def taint_sinks(spark, sf_dir):
@@ -32,8 +34,7 @@ def taint_sinks(spark, sf_dir):
 
 def taint_names(spark, sf_dir):
     """Safe and tainted names by function."""
-    seen = taint._seen(taint.tokens(_programs(spark, sf_dir)))
-    return taint.facts(taint.assigned(seen).where("scope >= 0")).groupBy("path").agg(F.count_if("safe").alias("safe"), F.count_if("tainted").alias("tainted"))
+    return taint.names(_programs(spark, sf_dir)).where("scope >= 0").groupBy("path").agg(F.count_if("safe").alias("safe"), F.count_if("tainted").alias("tainted"))
 
 
 _FACTS = """WITH RECURSIVE s AS (

@@ -114,3 +114,39 @@ def test_long_chains_take_no_rounds(spark):
     spark.sparkContext.setJobGroup("tests", "")
     assert [(r["line"], r["rule"]) for r in got] == [(302, MARKED)]
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chains")) < 20
+
+
+def test_pieces_read_as_the_whole_text():
+    """A text is read a piece at a time, by steps kept from other texts; its rows are those of one piece."""
+    rng = random.Random(5)
+    parts = [
+        "a", "b.c", "x = ", " = ", "req.body", "'s'", "`t`", "`a${", "}", "}`", "{", "(", ")", "[", "]", ";", ";\n", "{\n", "}\n", "\n", "\n  ", ".d", "\n .e", "?", ":", " => ", "function f(", ") {\n", ") => {\n", "/*", "*/",
+        "// c;\n", "/re/", "el.innerHTML = ", "el.innerHTML = v;\n", "dangerouslySetInnerHTML={{__html: ", "}}", "__html: ", "eval(", "cp.exec(", "const k: string = ", "await ", " + ", "!", "\\", "${", ",", "clean(", "const g = (a) => {\n",
+        "if (x) {\n", "});\n", "v = w;\n", "v = 'a' + w;\n", "v = req.query.x;\n", "'un;\n", "const o = {\n", "};\n", "/* x;\n y */",
+    ]
+    kept = taint.Reader()
+    rows = lambda found: sorted(((*r[:4], r[4].kinds, r[4].around, r[4].name, r[4].known, r[4].rule) for r in found), key=repr)
+    for i in range(4000):
+        kept.missed = taint.PATIENCE + 1 if i % 50 == 0 else 0
+        text, whole = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))), taint.Reader()
+        step = whole._step(whole.start, text, True)
+        assert rows(kept.read(text)) == rows((a, v, line + 1, f, x) for a, v, line, f, x in step.rows), text
+
+
+def test_recurring_lines_are_read_once():
+    """Each token of each file was looked at again, which took over a millisecond a file, and each value was a row that was shuffled."""
+    reader = taint.Reader()
+    texts = [f"function f() {{\n  v{i % 4} = req.query;\n  el.innerHTML = v{i % 3};\n}}\nconst g = (a) => {{\n  v1 = a\n  el.innerHTML = v{i % 4};\n}}\n" for i in range(500)]
+    for text in texts:
+        reader.judge(text)
+    assert reader.steps < 60
+    made = reader.made
+    for i in range(2 * taint.STEPS):
+        reader.judge(f"a{i} = b{i};\n")
+    assert reader.steps <= taint.STEPS + 1 and len(reader.items) <= taint.STEPS + 1
+    assert reader.made - made < taint.STEPS  # lines that never recur are seldom tried
+
+
+def test_values_are_not_shuffled(spark):
+    df = taint.scan(spark.createDataFrame([("a.js", "el.innerHTML = x")], "path string, text string"))
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
