@@ -150,3 +150,12 @@ def test_recurring_lines_are_read_once():
 def test_values_are_not_shuffled(spark):
     df = taint.scan(spark.createDataFrame([("a.js", "el.innerHTML = x")], "path string, text string"))
     assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_of_functions_leave_whole(spark):
+    """Names come out by function without groups of shuffled values, also those of a value that goes on behind its line and of a function within it."""
+    text = "const g = (a) => {\n  v0 = req.query;\n  v1 = v0 + 'x';\n  v2 = 'y';\n}\nv3 = 'a' +\n  v4;\nconst v4 = 'b';\n"
+    df = taint.names(spark.createDataFrame([("a.js", text), ("b.js", None)], "path string, text string"))
+    got = {(r["scope"] >= 0, r["name"], r["safe"], r["tainted"]) for r in df.collect()}
+    assert got == {(True, "v0", False, True), (True, "v1", False, True), (True, "v2", True, False), (False, "v3", True, False), (False, "v4", True, False)}
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
