@@ -36,5 +36,9 @@ def settled(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df dealt evenly over the cores, before steps that take much time a row: a small file of many rows is read by a task or two, and what follows would stay with them."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    return df.repartition(parts(df.sparkSession))
+
+
+def parts(spark: SparkSession) -> int:
+    """How many parts rows are dealt into that take much time each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

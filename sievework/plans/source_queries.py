@@ -79,22 +79,23 @@ def name_status(spark, sf_dir):
 
 
 def lockfile_packages(spark, sf_dir):
-    """One lockfile of each of three formats a brand."""
+    """One lockfile of each of three formats a brand, in parts, as a brand's packages are too many to be put together in one task."""
     part = table(spark, sf_dir, "part")
-    v = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0"))
-    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-    npm = F.concat(F.lit('"node_modules/'), name, F.lit('": {"version": "'), v, F.lit('", "resolved": "https://registry.invalid/p/-/p.tgz"'), F.when(F.col("p_size") % 2 == 0, ', "integrity": "sha512-x"').otherwise(""), F.lit("}"))
-    cargo = F.concat(F.lit('[[package]]\nname = "'), name, F.lit('"\nversion = "'), v, F.lit('"\nsource = "registry+https://index.invalid"\n'), F.when(F.col("p_size") % 2 == 0, 'checksum = "ab"\n').otherwise(""))
-    pinned = F.concat(name, F.lit("=="), v, F.when(F.col("p_size") % 2 == 0, " \\\n    --hash=sha256:ab").otherwise(""))
-    texts = part.groupBy("p_brand").agg(
-        F.array(
-            F.struct(F.lit("package-lock.json").alias("f"), F.concat(F.lit('{"lockfileVersion": 3, "packages": {"": {"name": "root"},'), F.array_join(F.collect_list(npm), ","), F.lit("}}")).alias("t")),
-            F.struct(F.lit("Cargo.lock").alias("f"), F.array_join(F.collect_list(cargo), "\n").alias("t")),
-            F.struct(F.lit("requirements.txt").alias("f"), F.array_join(F.collect_list(pinned), "\n").alias("t")),
-        ).alias("files")
-    )
-    files = texts.select("p_brand", F.inline("files")).select(F.concat_ws("/", "p_brand", "f").alias("path"), F.col("t").alias("text"))
-    found = K.packages(files)
+
+    def texts(x):
+        v, name, even = F.concat(F.lit("1."), x["s"].cast("string"), F.lit(".0")), F.concat(F.lit("p"), x["k"].cast("string")), x["s"] % 2 == 0
+        npm = F.concat(F.lit(',"node_modules/'), name, F.lit('": {"version": "'), v, F.lit('", "resolved": "https://registry.invalid/p/-/p.tgz"'), F.when(even, ', "integrity": "sha512-x"').otherwise(""), F.lit("}"))
+        cargo = F.concat(F.lit('[[package]]\nname = "'), name, F.lit('"\nversion = "'), v, F.lit('"\nsource = "registry+https://index.invalid"\n'), F.when(even, 'checksum = "ab"\n').otherwise(""), F.lit("\n"))
+        return npm, cargo, F.concat(name, F.lit("=="), v, F.when(even, " \\\n    --hash=sha256:ab").otherwise(""), F.lit("\n"))
+
+    names = ("package-lock.json", "Cargo.lock", "requirements.txt")
+    items = F.collect_list(F.struct(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")))
+    grouped = part.where("p_partkey is not null and p_size is not null").groupBy("p_brand", F.pmod("p_partkey", F.lit(64)).cast("int").alias("n")).agg(items.alias("items"))
+    joined = lambda k: F.array_join(F.transform("items", lambda x: texts(x)[k]), "")
+    made = F.array(*(F.struct(F.lit(f).alias("f"), joined(k).alias("t")) for k, f in enumerate(names)))
+    ends = F.array(F.struct(F.lit(-1).alias("n"), F.lit('{"lockfileVersion": 3, "packages": {"": {"name": "root"}').alias("t")), F.struct(F.lit(64).alias("n"), F.lit("}}").alias("t")))
+    files = grouped.select("p_brand", "n", F.inline(made)).unionByName(part.select("p_brand").distinct().select("p_brand", F.lit(names[0]).alias("f"), F.inline(ends)))
+    found = K.packages(files.select(F.concat_ws("/", "p_brand", "f").alias("path"), "n", F.col("t").alias("text")), "n")
     return found.groupBy("format", "ecosystem", "source_kind", "member").agg(F.count("*").alias("packages"), F.count("integrity").alias("hashed"), F.count("error").alias("errors"))
 
 
